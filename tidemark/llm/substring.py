@@ -9,6 +9,7 @@ for each bounded shard.
    anchors and neighbouring windows mostly share one. An aggregation finds anchors of two documents.
 2. Passages: stretches of windows with one such anchor leave with their words. The list of anchors is
    sent as a Bloom filter of at most MAX_BITS bits; beyond that a shuffled semi join takes its place.
+   A task folds equal passages before they are dealt out, so a hot passage is a row for each task.
 3. Shards: the distinct passages with their least document, sorted by anchor, go into suffix automata;
    the same passages are streamed through for matching statistics and each window's least document.
 4. Occurrences join that list, and texts are rewritten without the removed words.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ WINDOW, K = 13, 6
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 #: A shard's automaton is closed at the end of the anchor that takes it past this many words.
 SHARD_WORDS = 50_000
+#: Passages that a task gathers to fold equal ones before they are dealt out.
+TASK_ROWS = 200_000
 _SPACE = byte_class("space")
 
 
@@ -93,38 +97,65 @@ def bloom_of(anchors: DataFrame, n: int) -> Bloom | None:
     return Bloom(bits, table)
 
 
-def _passages(width: int, k: int, bloom, batches) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for a, w, anchor, begin, n in stretches(b.column(2), width, k):
-            if bloom is not None:
-                ok = bloom.value.has(anchor)
-                anchor, begin, n = anchor[ok], begin[ok], n[ok]
-            if not len(begin):
-                continue
+def body_hash(body: bytes) -> int:
+    """Signed, as Spark's long."""
+    h = xxhash.xxh64_intdigest(body)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _bodies(width: int, k: int, bloom, texts) -> Iterator[tuple]:
+    """(row, place in its text, anchor, body) as arrays of every stretch whose anchor the filter knows."""
+    for a, w, anchor, begin, n in stretches(texts, width, k):
+        if bloom is not None:
+            ok = bloom.value.has(anchor)
+            anchor, begin, n = anchor[ok], begin[ok], n[ok]
+        if len(begin):
             row = w.doc[begin]
             j = w.joined()
             line = j.data.tobytes()
             body = [line[s:e] for s, e in zip(j.start[begin].tolist(), j.end[begin + n + width - 2].tolist(), strict=True)]
-            row_at = pa.array(a + row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(body, pa.binary()), b.column(0).take(row_at), b.column(1).take(row_at), pa.array((begin - w.first[row]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["anchor", "body", "k", "tie", "at", "n"],
-            )
+            yield a + row, begin - w.first[row], anchor, body
+
+
+def _occurrences(width: int, k: int, bloom, batches) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for row, at, anchor, body in _bodies(width, k, bloom, b.column(2)):
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array([body_hash(x) for x in body], pa.int64()), b.column(0).take(row), b.column(1).take(row), pa.array(at.astype(np.int32))], ["anchor", "h", "k", "tie", "at"])
+
+
+def _passages(width: int, k: int, bloom, batches) -> Iterator[pa.RecordBatch]:
+    """(anchor, body, lo, hi): least and greatest document of a passage among some rows of this task."""
+    parts, size = [], 0
+
+    def flush():
+        t = pa.concat_tables(parts).group_by(["anchor", "body"]).aggregate([("k", "min"), ("k", "max")])
+        return t.select(["anchor", "body", "k_min", "k_max"]).rename_columns(["anchor", "body", "lo", "hi"]).combine_chunks().to_batches()
+
+    for b in batches:
+        for row, _, anchor, body in _bodies(width, k, bloom, b.column(1)):
+            parts.append(pa.table({"anchor": anchor, "body": pa.array(body, pa.binary()), "k": b.column(0).take(pa.array(row))}))
+            size += len(body)
+            if size >= TASK_ROWS:
+                yield from flush()
+                parts, size = [], 0
+    if size:
+        yield from flush()
 
 
 def _match(width: int, batches) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, body, least) sorted by anchor and least -> each body's windows' least documents."""
+    """Rows (anchor, body, lo, hi) sorted by anchor -> each body's windows' least documents, where a later document has one."""
 
     def solve(shard):
         auto = SuffixAutomaton()
-        words = [body.split(b" ") for _, body, _ in shard]
-        for x, (_, _, least) in sorted(zip(words, shard, strict=True), key=lambda y: y[1][2]):
-            auto.add(x, least)
+        words = [r[1].split(b" ") for r in shard]
+        for x, r in sorted(zip(words, shard, strict=True), key=lambda y: y[1][2]):
+            auto.add(x, r[2])
         return [auto.least_of_windows(x, width) for x in words]
 
     def rows():
         for b in batches:
-            yield from zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
+            yield from zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)
 
     def shards():
         group, shard, size = [], [], 0
@@ -145,13 +176,12 @@ def _match(width: int, batches) -> Iterator[pa.RecordBatch]:
             yield shard, solve(shard)
 
     def batch(ready):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in ready], pa.int64()), pa.array([x[1] for x in ready], pa.binary()), pa.array([x[2] for x in ready], pa.list_(pa.int64()))], ["anchor", "body", "leasts"]
-        )
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*ready, strict=True), kinds, strict=True)], ["anchor", "h", "leasts"])
 
     ready = []
     for shard, leasts in shards():
-        ready += [(r[0], r[1], x) for r, x in zip(shard, leasts, strict=True)]
+        ready += [(r[0], body_hash(r[1]), x) for r, x in zip(shard, leasts, strict=True) if min(x) < r[3]]
         if len(ready) >= 5000:
             yield batch(ready)
             ready = []
@@ -162,7 +192,7 @@ def _match(width: int, batches) -> Iterator[pa.RecordBatch]:
 def repeated_windows(docs: DataFrame, width: int = WINDOW, k: int = K) -> DataFrame:
     """(k, tie, starts): of every row that has any, the places of windows that start in an earlier document.
 
-    docs: (k, tie, text binary); k orders documents, tie tells rows of one k apart.
+    docs: (k long, tie int, text binary); k orders documents, tie tells rows of one k apart.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -171,16 +201,13 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, k: int = K) -> DataFr
     shared = materialise(shared, "anchors")
     filter_ = bloom_of(shared, shared.count())
     sent = None if filter_ is None else spark.sparkContext.broadcast(filter_)
-    found = docs.select("k", "tie", "text").mapInArrow(lambda it: _passages(width, k, sent, it), "anchor long, body binary, k long, tie long, at int, n int")
+    found = docs.select("k", "text").mapInArrow(lambda it: _passages(width, k, sent, it), "anchor long, body binary, lo long, hi long")
+    each = docs.select("k", "tie", "text").mapInArrow(lambda it: _occurrences(width, k, sent, it), "anchor long, h long, k long, tie int, at int")
     if filter_ is None:
-        found = found.join(shared, "anchor", "left_semi")
-    found = materialise(found, "passages")
-    reference = found.groupBy("anchor", "body").agg(F.min("k").alias("least"))
-    several = reference.repartition("anchor").sortWithinPartitions("anchor", "least")
-    matched = several.mapInArrow(lambda it: _match(width, it), "anchor long, body binary, leasts array<long>")
-    matched = matched.select("anchor", F.xxhash64("body").alias("h"), F.octet_length("body").alias("len"), "leasts")
-    each = found.select("anchor", F.xxhash64("body").alias("h"), F.octet_length("body").alias("len"), "k", "tie", "at")
-    hit = each.join(matched, ["anchor", "h", "len"]).where(F.exists("leasts", lambda x: x < F.col("k")))
+        found, each = (x.join(shared, "anchor", "left_semi") for x in (found, each))
+    several = found.repartition("anchor").groupBy("anchor", "body").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).sortWithinPartitions("anchor")
+    matched = several.mapInArrow(lambda it: _match(width, it), "anchor long, h long, leasts array<long>")
+    hit = each.join(matched, ["anchor", "h"]).where(F.exists("leasts", lambda x: x < F.col("k")))
     starts = F.filter(F.transform("leasts", lambda x, i: F.when(x < F.col("k"), F.col("at") + i)), lambda x: x.isNotNull())
     return hit.select("k", "tie", starts.alias("s")).groupBy("k", "tie").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("starts"))
 
@@ -227,7 +254,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, k: int = K, key: str =
     """
     kind = docs.schema[key].dataType.simpleString()
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("_key"), doc_key(F.col(key)).alias("k"), F.xxhash64(body).alias("tie"), body.cast("binary").alias("text"))
+    rows = docs.select(F.col(key).alias("_key"), doc_key(F.col(key)).alias("k"), F.hash(body).alias("tie"), body.cast("binary").alias("text"))
     starts = repeated_windows(rows.select("k", "tie", "text"), width, k)
     joined = rows.join(starts, ["k", "tie"], "left").select("_key", "text", "starts")
     out = joined.mapInArrow(lambda it: _rewrite(width, it), f"_key {kind}, n_words long, spans array<struct<`from`:long,`to`:long>>, kept binary")
