@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.runtime import read_table, ship
@@ -171,7 +171,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", li
     return out.withColumnRenamed("_key", key)
 
 
-def is_contaminated(n_hit, n_words) -> F.Column:
+def is_contaminated(n_hit, n_words) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 

@@ -8,22 +8,30 @@ Ordering by size makes the emitted words follow the target closely, whatever the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import read_table
+from tidemark.llm.runtime import read_table, ship
+from tidemark.llm.textops import byte_class, slices, split_words
 
 #: Weights of the sources in code-point order, null last, repeating.
 WEIGHTS = (3, 1, 2)
 #: Rows of one source and size class are ranked in this many parts.
 PARTS = 16
 BUDGET, CEILING = 1.5, 2.0
+_SPACE = byte_class("space")
 
 
-def n_words(text) -> F.Column:
-    """Count of [^\\x20\\x09-\\x0D]+ in the text; 0 for null."""
-    squeezed = F.trim(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " "))
-    return F.coalesce(F.when(squeezed == "", 0).otherwise(F.length(squeezed) - F.length(F.translate(squeezed, " ", "")) + 1), F.lit(0)).cast("long")
+def count_words(texts: pa.Array) -> pa.Array:
+    """Of each text the number of [^\\x20\\x09-\\x0D]+; 0 for null."""
+    n = [np.diff(split_words(data, off, _SPACE).first) for _, _, data, off in slices(texts)]
+    return pa.array(np.concatenate(n) if n else [], pa.int64())
+
+
+def n_words(text) -> Column:
+    return F.arrow_udf(count_words, "long")(text.cast("string"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ceiling: float = CEILING) -> DataFrame:
@@ -45,7 +53,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ceiling:
     return s.withColumn("level", level).select("source", "source_size", F.least(cap, F.coalesce(F.col("level") * F.col("w"), cap)).cast("double").alias("target"))
 
 
-def size_class(size) -> F.Column:
+def size_class(size) -> Column:
     """Sizes that agree in their six leading binary digits share a class: at most 32 classes an octave."""
     unit = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(size)) - 6, F.lit(0)))
     return F.floor(size / unit) * unit.cast("long")
@@ -59,6 +67,7 @@ def sample_copies(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ceil
     agree on the rows emitted. An empty table, or one without words, has no copies. Other columns
     pass through; those named like an added column are replaced.
     """
+    ship(docs.sparkSession)
     docs = docs.drop("size", "source_size", "target", "copies", "_src", "_class", "_part", "_rank", "_base")
     src = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     rows = docs.withColumn("size", n_words(F.col("text"))).withColumn("_src", src)

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 ROOT = Path(__file__).resolve().parents[2]
 #: A null doc_id orders after every other one.
 LAST_ID = 2**63 - 1
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2500
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where PYTHONPATH does not hold it already."""
+    """Lets Python workers import this package where PYTHONPATH does not hold it already, and keeps Arrow batches of whole texts small."""
+    if int(spark.conf.get(BATCH)) > BATCH_ROWS:
+        spark.conf.set(BATCH, BATCH_ROWS)
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     sc = spark.sparkContext

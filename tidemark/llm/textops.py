@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text is handled in slices of about this many bytes (a longer text is a slice of its own).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U = np.uint64
 
 

@@ -8,6 +8,7 @@ comes from its highest window. Trained here in numpy on a bounded sample of labe
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +26,9 @@ SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_WINDOWS = 3000, 6000, 24_000
 WORD_BUCKETS, GRAM_BUCKETS, EMBED, HIDDEN, ATTEND = 1 << 14, 1 << 14, 12, 12, 8
 GRAMS = (3, 4, 5)
 UPDATES, BATCH, RATE = 450, 96, 0.01
-CHUNK = 2048
+#: Share of words whose own embedding is hidden in an update, so that characters are learned from too.
+BLIND = 0.25
+CHUNK, EMBED_WORDS = 2048, 20_000
 _ALNUM = byte_class("alnum")
 f32 = np.float32
 
@@ -70,6 +73,24 @@ def inputs_of(data: np.ndarray, off: np.ndarray) -> Inputs:
     return Inputs((h % np.uint64(WORD_BUCKETS)).astype(np.int32), gram[order], np.searchsorted(own[order], np.arange(len(size) + 1)), place.astype(np.int64), w.first)
 
 
+def together(parts: list[Inputs]) -> Inputs:
+    """One after another; a word of two parts is there twice."""
+    ahead = lambda sizes: np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    words, grams, places = (ahead([len(x) for x in xs]) for xs in ([p.word for p in parts], [p.gram for p in parts], [p.place for p in parts]))
+    last = lambda xs, at: np.concatenate([*(x[:-1] + a for x, a in zip(xs, at, strict=True)), [xs[-1][-1] + at[-1]]])
+    return Inputs(
+        np.concatenate([p.word for p in parts]), np.concatenate([p.gram for p in parts]), last([p.gram_at for p in parts], grams),
+        np.concatenate([p.place + a for p, a in zip(parts, words, strict=True)]), last([p.first for p in parts], places),
+    )
+
+
+def subset(x: Inputs, words: np.ndarray) -> Inputs:
+    """Some of the distinct words, without places."""
+    n = np.diff(x.gram_at)[words]
+    at = np.repeat(x.gram_at[words] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+    return Inputs(x.word[words], x.gram[at], np.concatenate([[0], np.cumsum(n)]), np.zeros(0, int), np.zeros(0, int))
+
+
 def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, words) of every window; the last of a text ends with it. A wordless text has none."""
     n = np.diff(first)
@@ -101,9 +122,14 @@ class Network:
 
     def embed(self, x: Inputs) -> np.ndarray:
         n = np.diff(x.gram_at)
-        chars = np.add.reduceat(self.p["Ec"][x.gram], x.gram_at[:-1], axis=0) if len(x.gram) else np.zeros((len(n), EMBED), f32)
-        chars *= (n > 0)[:, None] / np.sqrt(np.maximum(n, 1)).astype(f32)[:, None]
-        return np.concatenate([self.p["Ew"][x.word], chars], axis=1)
+        out = np.empty((len(n), 2 * EMBED), f32)
+        out[:, :EMBED] = self.p["Ew"][x.word]
+        for a in range(0, len(n), EMBED_WORDS):
+            at = x.gram_at[a : a + EMBED_WORDS + 1]
+            own = self.p["Ec"][x.gram[at[0] : at[-1]]]
+            sums = np.add.reduceat(own, at[:-1] - at[0], axis=0) if len(own) else 0
+            out[a : a + EMBED_WORDS, EMBED:] = sums / np.sqrt(np.maximum(np.diff(at), 1)).astype(f32)[:, None]
+        return out
 
     def gru(self, g: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
         """g: (time, batch, 3 HIDDEN) inputs by step; mask: (time, batch, 1). States by step."""
@@ -144,6 +170,18 @@ class Network:
             out[i] = self.pool(h, mask)[3]
         return out
 
+    def logits_in_parts(self, x: Inputs, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The same for many texts at once, without holding all their words' inputs."""
+        out = np.empty(len(begin), f32)
+        for a in range(0, len(begin), CHUNK):
+            b, k = begin[a : a + CHUNK], n[a : a + CHUNK]
+            at = x.place[np.minimum(b + np.arange(WINDOW)[:, None], len(x.place) - 1)].T
+            used, local = np.unique(at, return_inverse=True)
+            part = subset(x, used)
+            part.place = local.ravel()
+            out[a : a + CHUNK] = self.logits(part, np.arange(len(b)) * WINDOW, k)
+        return out
+
     def highest(self, x: Inputs) -> np.ndarray:
         """The highest window's logit of each text; nan for wordless ones."""
         text, begin, n = windows_of(x.first)
@@ -154,23 +192,25 @@ class Network:
     def probability(self, best: np.ndarray) -> np.ndarray:
         return np.where(np.isnan(best), self.rate, 1 / (1 + np.exp(-np.clip(self.scale[0] * best + self.scale[1], -30, 30))))
 
-    def gradients(self, x: Inputs, begin: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+    def gradients(self, x: Inputs, begin: np.ndarray, n: np.ndarray, y: np.ndarray, keep_word: np.ndarray) -> dict:
         p, H = self.p, HIDDEN
         t = np.arange(int(n.max()))[:, None]
         at = x.place[np.minimum(begin + t, len(x.place) - 1)]
         used, local = np.unique(at, return_inverse=True)
         local = local.reshape(at.shape)
-        sub_n = np.diff(x.gram_at)[used]
-        sub = np.repeat(x.gram_at[used] - np.concatenate([[0], np.cumsum(sub_n)[:-1]]), sub_n) + np.arange(int(sub_n.sum()))
-        part = Inputs(x.word[used], x.gram[sub], np.concatenate([[0], np.cumsum(sub_n)]), np.zeros(0, int), np.zeros(0, int))
+        part = subset(x, used)
+        sub_n = np.diff(part.gram_at)
+        # words that are known by their characters alone in this update
+        only = keep_word[used % len(keep_word)][:, None]
         e = self.embed(part)
+        e[:, :EMBED] *= only
         mask = (t < n).astype(f32)[..., None]
         keeps, hs = {"f": [], "b": []}, []
         for d in "fb":
             hs.append(self.gru((e @ p[f"W{d}"] + p[f"b{d}"])[local], mask, d, keeps[d]))
         h = np.concatenate(hs, axis=2)
         q, w, pooled, logit = self.pool(h, mask)
-        dl = ((_sig(logit) - y) * weight / weight.sum()).astype(f32)
+        dl = ((_sig(logit) - y) / len(y)).astype(f32)
         g = {"o": pooled.T @ dl, "c": np.array([dl.sum()], f32)}
         dp = dl[:, None] * p["o"]
         dh = w[..., None] * dp
@@ -198,7 +238,7 @@ class Network:
             g |= {f"U{d}": dU, f"b{d}": flat.sum(axis=0), f"W{d}": e.T @ word}
             dx += word @ p[f"W{d}"].T
         g["Ew"], g["Ec"] = np.zeros_like(p["Ew"]), np.zeros_like(p["Ec"])
-        np.add.at(g["Ew"], part.word, dx[:, :EMBED])
+        np.add.at(g["Ew"], part.word, dx[:, :EMBED] * only)
         np.add.at(g["Ec"], part.gram, np.repeat(dx[:, EMBED:] / np.sqrt(np.maximum(sub_n, 1))[:, None], sub_n, axis=0).astype(f32))
         return g
 
@@ -219,9 +259,7 @@ def train(texts: list[str], labels: list[int], rate: float | None = None, seed:
         return net
     rate = float(y.mean()) if rate is None else rate
     net.rate = min(rate, 0.499)
-    body = "".join(texts).encode()
-    off = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
-    x = inputs_of(np.frombuffer(body, np.uint8), off)
+    x = together([inputs_of(data, off) for _, _, data, off in slices(pa.array(texts, pa.string()))])
     text, begin, n = windows_of(x.first)
     if len(text) > SAMPLE_WINDOWS:
         keep = np.sort(r.permutation(len(text))[:SAMPLE_WINDOWS])
@@ -230,7 +268,7 @@ def train(texts: list[str], labels: list[int], rate: float | None = None, seed:
     m, v = ({k: np.zeros_like(a) for k, a in net.p.items()} for _ in range(2))
     for step in range(1, UPDATES + 1):
         if step in (UPDATES // 3, UPDATES * 2 // 3):
-            score = net.logits(x, begin, n)
+            score = net.logits_in_parts(x, begin, n)
             top = np.full(len(y), -np.inf)
             np.maximum.at(top, text, score)
             mine = np.flatnonzero(y[text] == 1)
@@ -239,15 +277,17 @@ def train(texts: list[str], labels: list[int], rate: float | None = None, seed:
             neg = np.flatnonzero(y[text] == 0)
             neg = np.concatenate([neg, neg[np.argsort(-score[neg])[: len(neg) // 2]]])
         i = np.concatenate([r.choice(pos, BATCH // 3), r.choice(neg, BATCH - BATCH // 3)])
-        g = net.gradients(x, begin[i], n[i], y[text[i]], np.ones(len(i), f32))
+        g = net.gradients(x, begin[i], n[i], y[text[i]], (r.random(9973) >= BLIND).astype(f32))
         lr = RATE * min(1, (UPDATES - step + 1) / (UPDATES * 0.4))
         for k, a in net.p.items():
             d = np.clip(g[k], -1, 1)
             m[k] += 0.1 * (d - m[k])
             v[k] += 0.01 * (d * d - v[k])
             a -= (lr * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(f32)
-    best = net.highest(x)
-    ok = ~np.isnan(best)
+    text, begin, n = windows_of(x.first)
+    best = np.full(len(y), -np.inf)
+    np.maximum.at(best, text, net.logits_in_parts(x, begin, n))
+    ok = ~np.isinf(best)
     s, z = best[ok], y[ok]
     share = z.mean()
     weight = np.where(z == 1, rate / max(share, 1e-9), (1 - rate) / max(1 - share, 1e-9))
@@ -261,20 +301,36 @@ def train(texts: list[str], labels: list[int], rate: float | None = None, seed:
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int], float]:
-    """Texts and labels of at most `rows` rows of each class outside fold 0 (least hashes first), and the share of label 1."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, text, toxic, rate): at most `rows` labelled rows of each class outside fold 0, least hashes first, and the share of label 1.
+
+    Rows of docs of more than `chars` characters or null text are left out; a doc_id that is there
+    several times is sampled with its first text.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rate = known.agg(F.avg("toxic")).first()[0]
     order = F.xxhash64(F.lit("toxicity"), "doc_id")
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(rows).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(rows))
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.length("text") <= chars).select("doc_id", "text", "toxic")
-    out = sorted(found.limit(4 * rows).collect(), key=lambda r: (r.doc_id, r.text))
-    return [r.text for r in out], [int(r.toxic) for r in out], float(rate or 0.0)
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.length("text") <= chars)
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).withColumn("rate", F.lit(float(rate or 0.0)))
+
+
+def _train(batches) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)), key=lambda r: r[0])
+    net = train([r[1] for r in rows], [r[2] for r in rows], rows[0][3] if rows else None)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    """Learns `toxic` of labels (doc_id, toxic) from texts alone; rows with another label or of fold 0 are not learned from."""
-    return train(*labelled_sample(docs, labels))
+    """Learns `toxic` of labels (doc_id, toxic) from texts alone; rows with another label or of fold 0 are not learned from.
+
+    One task trains on the sample, which is bounded by SAMPLE_ROWS and SAMPLE_CHARS, and returns the
+    network, which has a fixed size. Without labels of both classes every text gets their share.
+    """
+    ship(docs.sparkSession)
+    sample = labelled_sample(docs, labels).select("doc_id", "text", "toxic", "rate")
+    made = sample.coalesce(1).mapInArrow(_train, "net binary").collect()
+    return pickle.loads(made[0].net) if made else train([], [])
 
 
 def _score(net, batches) -> Iterator[pa.RecordBatch]:
