@@ -47,13 +47,13 @@ def fingerprint(docs: DataFrame, text: str = "text", hash_of: Callable[[Column],
     aggregation and are never gathered.
     """
     rows = docs.drop("fingerprint", "copies").withColumn("_canon", canonical(F.col(text))).withColumn("_hash", hash_of(F.col("_canon")))
-    counts = rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("n"), F.min("_canon").alias("a"), F.max("_canon").alias("b"))
-    counts = counts.select("_hash", "n", (F.col("a") != F.col("b")).alias("split"))
+    counts = rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.min("_canon").alias("_a"), F.max("_canon").alias("_b"))
+    counts = counts.select("_hash", "_n", (F.col("_a") != F.col("_b")).alias("_split"))
     out = rows.join(counts, "_hash")
-    mark = F.when(F.col("split"), F.concat("_hash", F.lit("-"), F.sha2("_canon", 256))).otherwise(F.col("_hash"))
+    mark = F.when(F.col("_split"), F.concat("_hash", F.lit("-"), F.sha2("_canon", 256))).otherwise(F.col("_hash"))
     out = out.withColumn("fingerprint", mark)
-    again = out.where("split").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("m"))
-    return out.join(again, "fingerprint", "left").withColumn("copies", F.coalesce("m", "n")).drop("_canon", "_hash", "n", "split", "m")
+    again = out.where("_split").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("_m"))
+    return out.join(again, "fingerprint", "left").withColumn("copies", F.coalesce("_m", "_n")).drop("_canon", "_hash", "_n", "_split", "_m")
 
 
 def likeness(a: Column, b: Column) -> Column:
