@@ -2,9 +2,9 @@
 
 64-bit SimHash fingerprints over word shingles; distinct fingerprints are looked up under
 2^(radius+1) - 1 structured bit masks. Each bit position has a vector of radius+1 bits, and the mask
-of a nonzero vector v keeps the positions whose vector is orthogonal to v. Any `radius` positions
-span a proper subspace, so some v is orthogonal to them all: every pair within the radius agrees
-under some mask and meets in some table.
+of a nonzero vector v drops the positions whose vector is orthogonal to v. Any `radius` positions
+span a proper subspace, so some v is orthogonal to them all: its mask drops every bit in which a pair
+within the radius differs, and the pair meets in that table.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def masks(radius: int = RADIUS, seed: int = 7) -> np.ndarray:
     out = []
     for bits in np.array_split(np.arange(64), parts):
         vectors = np.random.default_rng(seed).permutation(np.resize(every, len(bits)))
-        out += [sum(1 << int(i) for i, x in zip(bits, vectors, strict=True) if not odd[x & v]) for v in every]
+        out += [sum(1 << int(i) for i, x in zip(bits, vectors, strict=True) if odd[x & v]) for v in every]
     return np.array(out, np.uint64)
 
 
