@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.runtime import read_table, ship
+from tidemark.llm.textops import give_back
 
 LENGTH = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -25,7 +26,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
 #: Pieces are packed together in blocks of about this many ids, which bounds a task's memory.
-BLOCK_IDS = 4_000_000
+BLOCK_IDS = 2_000_000
 _ENCODERS: dict[str, object] = {}
 
 
@@ -122,8 +123,10 @@ def _pack(length: int, path: str, batches) -> Iterator[pa.RecordBatch]:
             if size >= BLOCK_IDS:
                 yield from rows(pieces)
                 pieces, size = [], 0
+                give_back()
     if pieces:
         yield from rows(pieces)
+    give_back()
 
 
 PACKED = "pack_id long, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_offsets array<long>, n_ids int"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,6 +115,13 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: Python workers are kept between tasks and would hold it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of neighbouring rows, about SLICE_BYTES each. Null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -130,6 +139,7 @@ def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nda
         b = min(b, n)
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
+    give_back()
 
 
 def split_words(data: np.ndarray, off: np.ndarray, inside: np.ndarray, lower: bool = False) -> Words:
