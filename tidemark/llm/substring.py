@@ -10,6 +10,8 @@ for each bounded shard.
 2. Passages: stretches of windows with one such anchor leave with their words. The list of anchors is
    sent as a Bloom filter of at most MAX_BITS bits; beyond that a shuffled semi join takes its place.
    A task folds equal passages before they are dealt out, so a hot passage is a row for each task.
+   An anchor of more than HOT stretches may have any number of wordings: its windows leave one by one
+   and are dealt out by their own hash, so that no task gathers them.
 3. Shards: the distinct passages with their least document, sorted by anchor, go into suffix automata;
    the same passages are streamed through for matching statistics and each window's least document.
 4. Occurrences join that list, and texts are rewritten without the removed words.
@@ -33,6 +35,8 @@ WINDOW, K = 13, 6
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 #: A shard's automaton is closed at the end of the anchor that takes it past this many words.
 SHARD_WORDS = 50_000
+#: Stretches of an anchor from which its windows are dealt out one by one.
+HOT = 50_000
 #: Passages that a task gathers to fold equal ones before they are dealt out.
 TASK_ROWS = 200_000
 _SPACE = byte_class("space")
@@ -79,8 +83,13 @@ class Bloom:
         return ok
 
 
+NOTHING, EVERYTHING = Bloom(8, np.zeros(1, np.uint8)), Bloom(8, np.full(1, 255, np.uint8))
+
+
 def bloom_of(anchors: DataFrame, n: int) -> Bloom | None:
     """None where the list is too long for MAX_BITS."""
+    if not n:
+        return NOTHING
     if n * 4 > MAX_BITS:
         return None
     bits = MIN_BITS
@@ -97,44 +106,60 @@ def bloom_of(anchors: DataFrame, n: int) -> Bloom | None:
     return Bloom(bits, table)
 
 
-def body_hash(body: bytes) -> int:
-    """Signed, as Spark's long."""
-    h = xxhash.xxh64_intdigest(body)
+def _signed(h: int) -> int:
+    """As Spark's long."""
     return h - (1 << 64) if h >> 63 else h
 
 
-def _bodies(width: int, k: int, bloom, texts) -> Iterator[tuple]:
-    """(row, place in its text, anchor, body) as arrays of every stretch whose anchor the filter knows."""
+def body_hash(body: bytes) -> int:
+    return _signed(xxhash.xxh64_intdigest(body))
+
+
+def _bodies(width: int, k: int, filters, texts) -> Iterator[tuple]:
+    """(row, place in its text, anchor, key to deal by, body) as arrays of every stretch whose anchor the first filter knows.
+
+    Stretches of anchors that the second filter knows are cut into windows with keys of their own. A
+    filter answers alike everywhere, so windows that it takes for hot by chance meet all the same.
+    """
+    known, hot = filters.value
     for a, w, anchor, begin, n in stretches(texts, width, k):
-        if bloom is not None:
-            ok = bloom.value.has(anchor)
-            anchor, begin, n = anchor[ok], begin[ok], n[ok]
+        ok = known.has(anchor)
+        anchor, begin, n = anchor[ok], begin[ok], n[ok]
         if len(begin):
+            often = hot.has(anchor)
+            if often.any():
+                each = np.where(often, n, 1)
+                step = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+                anchor, begin, n, often = (np.repeat(x, each) for x in (anchor, begin, n, often))
+                begin, n = begin + step, np.where(often, 1, n)
             row = w.doc[begin]
             j = w.joined()
             line = j.data.tobytes()
             body = [line[s:e] for s, e in zip(j.start[begin].tolist(), j.end[begin + n + width - 2].tolist(), strict=True)]
-            yield a + row, begin - w.first[row], anchor, body
+            key = anchor.copy()
+            for i in np.flatnonzero(often):
+                key[i] = _signed(xxhash.xxh3_64_intdigest(body[i]))
+            yield a + row, begin - w.first[row], anchor, key, body
 
 
-def _occurrences(width: int, k: int, bloom, batches) -> Iterator[pa.RecordBatch]:
+def _occurrences(width: int, k: int, filters, batches) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for row, at, anchor, body in _bodies(width, k, bloom, b.column(2)):
+        for row, at, anchor, key, body in _bodies(width, k, filters, b.column(2)):
             row = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array([body_hash(x) for x in body], pa.int64()), b.column(0).take(row), b.column(1).take(row), pa.array(at.astype(np.int32))], ["anchor", "h", "k", "tie", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key), pa.array([body_hash(x) for x in body], pa.int64()), b.column(0).take(row), b.column(1).take(row), pa.array(at.astype(np.int32))], ["anchor", "key", "h", "k", "tie", "at"])
 
 
-def _passages(width: int, k: int, bloom, batches) -> Iterator[pa.RecordBatch]:
-    """(anchor, body, lo, hi): least and greatest document of a passage among some rows of this task."""
+def _passages(width: int, k: int, filters, batches) -> Iterator[pa.RecordBatch]:
+    """(anchor, key, body, lo, hi): least and greatest document of a passage among some rows of this task."""
     parts, size = [], 0
 
     def flush():
-        t = pa.concat_tables(parts).group_by(["anchor", "body"]).aggregate([("k", "min"), ("k", "max")])
-        return t.select(["anchor", "body", "k_min", "k_max"]).rename_columns(["anchor", "body", "lo", "hi"]).combine_chunks().to_batches()
+        t = pa.concat_tables(parts).group_by(["anchor", "key", "body"]).aggregate([("k", "min"), ("k", "max")])
+        return t.select(["anchor", "key", "body", "k_min", "k_max"]).rename_columns(["anchor", "key", "body", "lo", "hi"]).combine_chunks().to_batches()
 
     for b in batches:
-        for row, _, anchor, body in _bodies(width, k, bloom, b.column(1)):
-            parts.append(pa.table({"anchor": anchor, "body": pa.array(body, pa.binary()), "k": b.column(0).take(pa.array(row))}))
+        for row, _, anchor, key, body in _bodies(width, k, filters, b.column(1)):
+            parts.append(pa.table({"anchor": anchor, "key": key, "body": pa.array(body, pa.binary()), "k": b.column(0).take(pa.array(row))}))
             size += len(body)
             if size >= TASK_ROWS:
                 yield from flush()
@@ -144,7 +169,7 @@ def _passages(width: int, k: int, bloom, batches) -> Iterator[pa.RecordBatch]:
 
 
 def _match(width: int, batches) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, body, lo, hi) sorted by anchor -> each body's windows' least documents, where a later document has one."""
+    """Rows (key, body, lo, hi) sorted by key -> each body's windows' least documents, where a later document has one."""
 
     def solve(shard):
         auto = SuffixAutomaton()
@@ -177,7 +202,7 @@ def _match(width: int, batches) -> Iterator[pa.RecordBatch]:
 
     def batch(ready):
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*ready, strict=True), kinds, strict=True)], ["anchor", "h", "leasts"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*ready, strict=True), kinds, strict=True)], ["key", "h", "leasts"])
 
     ready = []
     for shard, leasts in shards():
@@ -189,7 +214,7 @@ def _match(width: int, batches) -> Iterator[pa.RecordBatch]:
         yield batch(ready)
 
 
-def repeated_windows(docs: DataFrame, width: int = WINDOW, k: int = K) -> DataFrame:
+def repeated_windows(docs: DataFrame, width: int = WINDOW, k: int = K, hot: int | None = None) -> DataFrame:
     """(k, tie, starts): of every row that has any, the places of windows that start in an earlier document.
 
     docs: (k long, tie int, text binary); k orders documents, tie tells rows of one k apart.
@@ -197,17 +222,19 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, k: int = K) -> DataFr
     spark = docs.sparkSession
     ship(spark)
     at = docs.select("k", "text").mapInArrow(lambda it: _anchors(width, k, it), "anchor long, k long")
-    shared = at.groupBy("anchor").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("anchor")
-    shared = materialise(shared, "anchors")
-    filter_ = bloom_of(shared, shared.count())
-    sent = None if filter_ is None else spark.sparkContext.broadcast(filter_)
-    found = docs.select("k", "text").mapInArrow(lambda it: _passages(width, k, sent, it), "anchor long, body binary, lo long, hi long")
-    each = docs.select("k", "tie", "text").mapInArrow(lambda it: _occurrences(width, k, sent, it), "anchor long, h long, k long, tie int, at int")
-    if filter_ is None:
+    shared = at.groupBy("anchor").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    shared = materialise(shared.select("anchor", (F.col("n") > (HOT if hot is None else hot)).alias("hot")), "anchors")
+    n, n_hot = shared.agg(F.count(F.lit(1)), F.count_if("hot")).first()
+    known, often = bloom_of(shared.select("anchor"), n), bloom_of(shared.where("hot").select("anchor"), n_hot)
+    sent = spark.sparkContext.broadcast((known or EVERYTHING, often or EVERYTHING))
+    found = docs.select("k", "text").mapInArrow(lambda it: _passages(width, k, sent, it), "anchor long, key long, body binary, lo long, hi long")
+    each = docs.select("k", "tie", "text").mapInArrow(lambda it: _occurrences(width, k, sent, it), "anchor long, key long, h long, k long, tie int, at int")
+    if known is None:
         found, each = (x.join(shared, "anchor", "left_semi") for x in (found, each))
-    several = found.repartition("anchor").groupBy("anchor", "body").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).sortWithinPartitions("anchor")
-    matched = several.mapInArrow(lambda it: _match(width, it), "anchor long, h long, leasts array<long>")
-    hit = each.join(matched, ["anchor", "h"]).where(F.exists("leasts", lambda x: x < F.col("k")))
+    found, each = found.drop("anchor"), each.drop("anchor")
+    several = found.repartition("key").groupBy("key", "body").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).sortWithinPartitions("key")
+    matched = several.mapInArrow(lambda it: _match(width, it), "key long, h long, leasts array<long>")
+    hit = each.join(matched, ["key", "h"]).where(F.exists("leasts", lambda x: x < F.col("k")))
     starts = F.filter(F.transform("leasts", lambda x, i: F.when(x < F.col("k"), F.col("at") + i)), lambda x: x.isNotNull())
     return hit.select("k", "tie", starts.alias("s")).groupBy("k", "tie").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("starts"))
 
@@ -244,7 +271,7 @@ def _rewrite(width: int, batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["_key", "n_words", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, width: int = WINDOW, k: int = K, key: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WINDOW, k: int = K, key: str = "doc_id", hot: int | None = None) -> DataFrame:
     """key, n_words, spans (removed word ranges) and kept (words joined by one space, binary) of every row.
 
     Words are runs of anything but ASCII whitespace, unchanged. Null and wordless texts have no words.
@@ -255,7 +282,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, k: int = K, key: str =
     kind = docs.schema[key].dataType.simpleString()
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("_key"), doc_key(F.col(key)).alias("k"), F.hash(body).alias("tie"), body.cast("binary").alias("text"))
-    starts = repeated_windows(rows.select("k", "tie", "text"), width, k)
+    starts = repeated_windows(rows.select("k", "tie", "text"), width, k, hot)
     joined = rows.join(starts, ["k", "tie"], "left").select("_key", "text", "starts")
     out = joined.mapInArrow(lambda it: _rewrite(width, it), f"_key {kind}, n_words long, spans array<struct<`from`:long,`to`:long>>, kept binary")
     return out.withColumnRenamed("_key", key)
