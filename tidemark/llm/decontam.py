@@ -4,25 +4,31 @@ Every benchmark item is cut into windows of WINDOW consecutive words (a shorter
 A window is contained only if all its shingles are, so one of them, its rarest in the corpus, is the
 necessary prefix. Documents are probed with prefix shingles alone; a hit is kept if the document has
 room for the whole window around it (length and positional bounds) and the words agree one by one.
+
+A benchmark of at most BLOCK_BYTES is one broadcast block, probed in one map-only scan. A larger one is
+read block by block, of which only one is broadcast at a time; the occurrences that each finds are
+written, and documents' hit words and items are counted over all of them by a shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import read_table, ship
+from tidemark.llm.runtime import doc_key, materialise, read_table, ship
 from tidemark.llm.textops import Words, byte_class, ngrams, slices, split_words
 
 WINDOW = 13
 SHINGLE = 5
-#: Benchmark items are probed in blocks of about this many bytes, each broadcast by itself.
-BLOCK_BYTES = 32 << 20
+#: Benchmark items are probed in blocks of about this many bytes, each broadcast by itself (a window of two to six bytes takes some 250 in memory).
+BLOCK_BYTES = 4 << 20
 _ALNUM = byte_class("alnum")
 
 
@@ -87,71 +93,113 @@ def _count(windows, batches) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(list(total.values()), pa.int64())], ["shingle", "n"])
 
 
-def _clean(blocks, at: int, batches) -> Iterator[pa.RecordBatch]:
+def _hits(windows: Windows | None, w: Words, rows: int) -> tuple[np.ndarray, list[set]]:
+    """Of each text the number of hit words, and the items that hit."""
+    hit = np.zeros(len(w), bool)
+    found: list[set] = [set() for _ in range(rows)]
+    for item, x, y in windows.hits(w, w.hashes()) if windows else ():
+        hit[x:y] = True
+        found[w.doc[x]].add(windows.items[item])
+    total = np.concatenate([[0], np.cumsum(hit)])
+    return total[w.first[1:]] - total[w.first[:-1]], found
+
+
+def _clean(windows, at: int, batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
         for a, b, w in tokens(batch.column(at)):
-            n_hit = _hits(blocks.value, w, b - a)[0]
+            n_hit = _hits(windows.value, w, b - a)[0]
             ok.append(~((n_hit > 0) & (20 * n_hit >= np.diff(w.first))))
         yield batch.filter(pa.array(np.concatenate(ok))) if ok else batch
 
 
-def _hits(blocks, w: Words, rows: int) -> tuple[np.ndarray, list[set]]:
-    h = w.hashes()
-    hit = np.zeros(len(w), bool)
-    found: list[set] = [set() for _ in range(rows)]
-    for windows in blocks:
-        for item, x, y in windows.hits(w, h):
-            hit[x:y] = True
-            found[w.doc[x]].add(windows.items[item])
-    total = np.concatenate([[0], np.cumsum(hit)])
-    return total[w.first[1:]] - total[w.first[:-1]], found
-
-
-def _probe(blocks, batches) -> Iterator[pa.RecordBatch]:
+def _probe(windows, batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, w in tokens(batch.column(1)):
-            n, (n_hit, found) = np.diff(w.first), _hits(blocks.value, w, b - a)
+            n, (n_hit, found) = np.diff(w.first), _hits(windows.value, w, b - a)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(s) for s in found], pa.list_(pa.string()))],
                 ["_key", "n_words", "n_hit", "items"],
             )
 
 
-def item_blocks(items: DataFrame, limit: int) -> list[list[tuple[str, bytes]]]:
-    """Items in blocks of at most `limit` bytes (a longer item is a block), read one after another."""
-    blocks, size = [[]], 0
+def _spans(windows, batches) -> Iterator[pa.RecordBatch]:
+    """(k, tie, item, a, b) of every occurrence; a, b: its words in the text."""
+    for batch in batches:
+        for start, _, w in tokens(batch.column(2)):
+            found = [(w.doc[x], windows.value.items[item], x - w.first[w.doc[x]], y - w.first[w.doc[x]]) for item, x, y in windows.value.hits(w, w.hashes())]
+            if found:
+                row, item, a, b = zip(*found, strict=True)
+                at = pa.array(start + np.array(row))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(item, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["k", "tie", "item", "a", "b"])
+
+
+def count_words(texts: pa.Array) -> pa.Array:
+    n = [np.diff(w.first) for _, _, w in tokens(texts)]
+    return pa.array(np.concatenate(n) if n else [], pa.int64())
+
+
+def item_blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Items in blocks of at most `limit` bytes (a longer item is a block), one after another."""
+    block, size = [], 0
     for r in items.select(F.col("item_id").cast("string").alias("i"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t")).toLocalIterator():
-        if blocks[-1] and size + len(r.t) > limit:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.i, bytes(r.t)))
+        if block and size + len(r.t) > limit:
+            yield block
+            block, size = [], 0
+        block.append((r.i, bytes(r.t)))
         size += len(r.t)
-    return blocks
-
-
-def prepared(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES):
-    """The broadcast blocks of windows, with prefixes chosen by their counts in docs."""
-    spark = docs.sparkSession
-    ship(spark)
-    sc = spark.sparkContext
-    blocks = []
-    for items in item_blocks(benchmark, limit):
-        windows = Windows(items)
-        if windows.rows:
-            sent = sc.broadcast(windows)
-            counted = docs.select(F.col("text").cast("binary")).mapInArrow(lambda it, s=sent: _count(s, it), "shingle long, n long")
-            counts = {int(r.shingle) % 2**64: r.n for r in counted.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}
-            windows.set_counts(counts)
-            blocks.append(windows)
-    return sc.broadcast(blocks)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    yield block
+
+
+def prepared(texts: DataFrame, items: list[tuple[str, bytes]]):
+    """The broadcast windows of a block, with prefixes chosen by their counts in texts (column text, binary); a broadcast None if it has none."""
+    sc = texts.sparkSession.sparkContext
+    windows = Windows(items)
+    if not windows.rows:
+        return sc.broadcast(None)
+    sent = sc.broadcast(windows)
+    counted = texts.select("text").mapInArrow(lambda it: _count(sent, it), "shingle long, n long")
+    # a row for each shingle of the block at most
+    windows.set_counts({int(r.shingle) % 2**64: r.n for r in counted.groupBy("shingle").agg(F.sum("n").alias("n")).collect()})
+    sent.unpersist()
+    return sc.broadcast(windows)
+
+
+def _with_hits(docs: DataFrame, blocks: Iterator[list]) -> DataFrame:
+    """docs (k, tie, text binary and more) with n_words, n_hit and items, over any number of blocks. Equal rows of (k, tie) have equal texts."""
+    parts = []
+    for items in blocks:
+        sent = prepared(docs, items)
+        if sent.value:
+            found = docs.select("k", "tie", "text").mapInArrow(lambda it, s=sent: _spans(s, it), "k long, tie long, item string, a long, b long")
+            parts.append(materialise(found.distinct(), "spans"))
+        sent.unpersist()
+    rows = docs.withColumn("n_words", F.arrow_udf(count_words, "long")("text"))
+    if not parts:
+        return rows.withColumn("n_hit", F.lit(0).cast("long")).withColumn("items", F.array().cast("array<string>"))
+    found = reduce(DataFrame.unionByName, parts)
+    words = found.select("k", "tie", "a", "b").distinct().select("k", "tie", F.explode(F.sequence("a", F.col("b") - 1)).alias("p")).distinct()
+    words = words.groupBy("k", "tie").agg(F.count(F.lit(1)).alias("n_hit"))
+    items = found.groupBy("k", "tie").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    rows = rows.join(words, ["k", "tie"], "left").join(items, ["k", "tie"], "left")
+    return rows.withColumn("n_hit", F.coalesce("n_hit", F.lit(0))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+
+
+def _named(docs: DataFrame, key: str, *more) -> DataFrame:
+    return docs.select(doc_key(F.col(key)).alias("k"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tie"), F.col("text").cast("binary").alias("text"), *more)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with all columns, of which hit words are none or under a twentieth."""
-    shared = prepared(docs, benchmark)
-    at = docs.columns.index("text")
-    return docs.mapInArrow(lambda it: _clean(shared, at, it), docs.schema)
+    ship(docs.sparkSession)
+    blocks = item_blocks(benchmark, limit)
+    head = list(islice(blocks, 2))
+    if len(head) == 1:
+        shared = prepared(docs.select(F.col("text").cast("binary")), head[0])
+        at = docs.columns.index("text")
+        return docs.mapInArrow(lambda it: _clean(shared, at, it), docs.schema)
+    rows = _with_hits(_named(docs, "doc_id", F.struct(*docs.columns).alias("row")), chain(head, blocks))
+    return rows.where(~is_contaminated(F.col("n_hit"), F.col("n_words"))).select("row.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", limit: int = BLOCK_BYTES) -> DataFrame:
@@ -161,13 +209,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", li
     wordless text has 0 words and no hit; a null or wordless item has no window. Items with equal
     windows are all reported; repeated rows of docs each give a row. Only `key`, `text`, `item_id`
     are read, so other columns cannot clash. An empty benchmark finds nothing. The benchmark is the
-    query set: each block of at most `limit` bytes is counted, then all blocks are probed in one scan.
+    query set, taken in blocks of at most `limit` bytes.
     """
-    shared = prepared(docs, benchmark, limit)
-    kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("_key"), F.col("text").cast("binary")).mapInArrow(
-        lambda it: _probe(shared, it), f"_key {kind}, n_words long, n_hit long, items array<string>"
-    )
+    ship(docs.sparkSession)
+    blocks = item_blocks(benchmark, limit)
+    head = list(islice(blocks, 2))
+    if len(head) == 1:
+        rows = docs.select(F.col(key).alias("_key"), F.col("text").cast("binary").alias("text"))
+        shared = prepared(rows, head[0])
+        out = rows.mapInArrow(lambda it: _probe(shared, it), f"_key {docs.schema[key].dataType.simpleString()}, n_words long, n_hit long, items array<string>")
+    else:
+        out = _with_hits(_named(docs, key, F.col(key).alias("_key")), chain(head, blocks)).select("_key", "n_words", "n_hit", "items")
     return out.withColumnRenamed("_key", key)
 
 
