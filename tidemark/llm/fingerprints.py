@@ -20,8 +20,9 @@ from tidemark.llm.runtime import doc_key, materialise, read_table
 
 #: Ids of documents that need a byte comparison are broadcast up to this many rows, else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Stretches of neighbouring ids. Only one row of each is looked at by a single task.
-STRETCHES = 512
+#: Neighbouring ids are cut at this many quantiles, and evenly between two of them into stretches of about so many rows.
+#: Only one row of each stretch is looked at by a single task.
+QUANTILES, STRETCH_ROWS = 512, 100_000
 
 
 def canonical(text: Column) -> Column:
@@ -61,16 +62,24 @@ def likeness(a: Column, b: Column) -> Column:
     return (a == b).cast("double")
 
 
-def with_next(docs: DataFrame, key: str = "k", stretches: int = STRETCHES) -> DataFrame:
+def with_next(docs: DataFrame, key: str = "k", quantiles: int = QUANTILES, rows: int = STRETCH_ROWS) -> DataFrame:
     """docs (key, tie and more columns) with a struct `n` of the next row in key order; the last gets the first's.
 
-    Rows are dealt by stretches of keys, cut at quantiles; inside a stretch a window finds the next
-    row, and the last row of a stretch takes the first of the next, of which there are `stretches`.
-    Rows with equal keys are ordered by `tie`.
+    Rows are dealt by stretches of keys, whose number grows with the rows; inside a stretch a window
+    finds the next row, and the last row of a stretch takes the first of the next. Rows with equal
+    keys are ordered by `tie`.
     """
-    cuts = docs.select(F.percentile_approx(key, [i / stretches for i in range(1, stretches)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
+    cuts, n = docs.select(F.percentile_approx(key, [i / quantiles for i in range(1, quantiles)], 10_000), F.count(F.lit(1))).first()
+    cuts = sorted(set(cuts or []))
     at = F.lit(0) if not cuts else F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key)))
+    finer = -(-n // (quantiles * rows))
+    if finer > 1 and len(cuts) > 1:
+        # the place of a key between its two cuts; keys before the first and after the last use the nearest two
+        of = F.array(*[F.lit(c).cast("double") for c in cuts])
+        low = F.element_at(of, F.least(F.greatest(at, F.lit(1)), F.lit(len(cuts) - 1)))
+        high = F.element_at(of, F.least(F.greatest(at, F.lit(1)), F.lit(len(cuts) - 1)) + 1)
+        share = F.when(at == 0, (F.col(key) - (low - (high - low))) / (high - low)).when(at == len(cuts), (F.col(key) - high) / (high - low)).otherwise((F.col(key) - low) / (high - low))
+        at = at * finer + F.floor(F.least(F.greatest(share * finer, F.lit(0.0)), F.lit(finer - 1.0)))
     rows = docs.withColumn("stretch", at.cast("int"))
     inner = Window.partitionBy("stretch").orderBy(key, "tie")
     row = F.struct(*docs.columns)
