@@ -112,6 +112,16 @@ def test_edited_texts(spark, table, rows):
     assert len(set(seen.values())) == len(seen)
 
 
+@pytest.mark.parametrize(("quantiles", "rows"), [(4, 3), (2, 1), (3, 1000), (1, 5)])
+def test_next_rows_over_many_stretches(spark, quantiles, rows):
+    r = np.random.default_rng(6)
+    keys = sorted(int(x) for x in [*r.integers(-50, 50, 30), *r.integers(0, 10**12, 30), *[7] * 9, 2**63 - 1])
+    every = [(k, i, f"t{i}") for i, k in enumerate(keys)]
+    df = spark.createDataFrame([every[i] for i in r.permutation(len(every))], "k long, tie long, text string").repartition(5)
+    got = {x.tie: x.n.tie for x in fingerprints.with_next(df, "k", quantiles, rows).collect()}
+    assert got == {i: (i + 1) % len(every) for i in range(len(every))}
+
+
 # 2 and 10
 
 
@@ -143,15 +153,15 @@ def test_automaton_knows_the_first_document_of_each_window(docs, width):
     assert auto.least_of_windows(["z"] * width, width) == [None]
 
 
-@pytest.mark.parametrize("bits", [substring.MAX_BITS, 0])
-def test_substrings_against_brute_force(spark, monkeypatch, bits):
+@pytest.mark.parametrize(("bits", "hot"), [(substring.MAX_BITS, None), (0, None), (substring.MAX_BITS, 4), (substring.MAX_BITS, 0), (0, 4)])
+def test_substrings_against_brute_force(spark, monkeypatch, bits, hot):
     monkeypatch.setattr(substring, "MAX_BITS", bits)  # 0: the shuffled join instead of the filter
     r = np.random.default_rng(3)
     parts = [[f"w{x}" for x in r.integers(0, 50, 20)] for _ in range(6)]
     docs = [(i, sum((parts[r.integers(6)][r.integers(0, 5) : r.integers(12, 20)] if r.random() < 0.6 else [f"u{x}" for x in r.integers(0, 9, 7)] for _ in range(r.integers(1, 6))), [])) for i in range(60)]
     df = spark.createDataFrame([(i, "  ".join(w)) for i, w in docs], "doc_id long, text string").repartition(5)
     want = brute_windows(docs, 13, lambda f, me: f[0] < me[0])
-    for row in substring.remove_repeats(df).collect():
+    for row in substring.remove_repeats(df, hot=hot).collect():
         gone = want[row.doc_id]
         assert bytes(row.kept).decode().split() == [w for j, w in enumerate(docs[row.doc_id][1]) if j not in gone]
         assert sum(s["to"] - s["from"] for s in row.spans) == len(gone)
@@ -422,10 +432,11 @@ def test_contamination_against_brute_force(spark, odd, empty):
                             hit |= set(range(p, p + n))
                             found.add(str(i))
             assert (row.n_words, row.n_hit, row.items) == (len(text), len(hit), sorted(found))
-    kept = {r.doc_id for r in decontam.drop_contaminated(df, bench).collect()}
-    assert kept == {r.doc_id for r in decontam.contamination(df, bench).collect() if not (r.n_hit and 20 * r.n_hit >= r.n_words)}
+    kept, again = ({r.doc_id for r in decontam.drop_contaminated(df, bench, limit).collect()} for limit in (decontam.BLOCK_BYTES, 100))
+    assert kept == again == {r.doc_id for r in decontam.contamination(df, bench).collect() if not (r.n_hit and 20 * r.n_hit >= r.n_words)}
     assert decontam.contamination(odd, bench.where("false")).where("n_hit > 0").count() == 0 and decontam.contamination(odd, bench).count() == len(ODD)
-    assert decontam.contamination(empty, bench).count() == 0
+    assert decontam.contamination(empty, bench).count() == 0 and decontam.contamination(empty, bench, limit=40).count() == 0
+    assert decontam.contamination(odd, bench, limit=40).count() == len(ODD) and decontam.drop_contaminated(odd, bench, 100).columns == odd.columns
 
 
 # 9

@@ -157,11 +157,11 @@ def position_ids(cu_seqlens, length: int) -> np.ndarray:
     return np.arange(length) - start
 
 
-def unpack(rows) -> dict:
-    """Texts' ids by document, from (ids, cu_seqlens, doc_ids, doc_offsets) rows: the inverse of packing."""
+def unpack(rows, kind: str = "<u2") -> dict:
+    """Texts' ids by document, from (ids, cu_seqlens, doc_ids, doc_offsets) rows: the inverse of packing. kind: `<u4` for a larger vocabulary."""
     parts: dict = {}
     for ids, cu, keys, offsets in rows:
-        ids = np.frombuffer(ids, "<u2")
+        ids = np.frombuffer(ids, kind)
         for k, o, a, b in zip(keys, offsets, cu[:-1], cu[1:], strict=True):
             parts.setdefault(k, []).append((o, ids[a:b]))
     return {k: np.concatenate([x for _, x in sorted(v, key=lambda y: y[0])]) for k, v in parts.items()}
