@@ -303,6 +303,15 @@ def test_shards(spark, odd, empty):
     assert len(got) == len(ODD) and {r.size for r in got if r.doc_id in (3, 4)} == {1} and sharding.assign_shards(empty).count() == 0
 
 
+def test_slots_of_a_hot_group_in_many_parts(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 200, "copy").otherwise(F.col("id").cast("string")).alias("text"))
+    one, many = (sharding.assign_shards(docs, 4, part_rows=n).collect() for n in (10**6, 3))
+    assert {(r.doc_id, r.shard) for r in one} == {(r.doc_id, r.shard) for r in many} and len({r.shard for r in many if r.doc_id < 200}) == 1
+    for s in range(4):
+        own = [r.slot for r in many if r.shard == s]
+        assert sorted(own) == list(range(len(own)))
+
+
 # 6
 
 

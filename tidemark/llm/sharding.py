@@ -19,8 +19,8 @@ from tidemark.llm.runtime import doc_key, materialise, read_table
 UNITS = 4096
 #: A group of more than 1/HEAVY of all bytes is a unit of its own, so there are fewer than HEAVY of them.
 HEAVY = 8192
-#: Rows of a unit are numbered in this many parts, so that a hot group is not numbered by one task.
-PARTS = 16
+#: Rows of a unit are numbered in this many parts and one more for each PART_ROWS rows it has, so that one task never numbers a hot group.
+PARTS, PART_ROWS = 16, 1_000_000
 
 
 def lpt(sizes: list[tuple[str, int]], shards: int) -> dict[str, int]:
@@ -34,7 +34,7 @@ def lpt(sizes: list[tuple[str, int]], shards: int) -> dict[str, int]:
     return out
 
 
-def assign_shards(docs: DataFrame, shards: int = 16, text: str = "text", key: str = "doc_id", units: int = UNITS) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 16, text: str = "text", key: str = "doc_id", units: int = UNITS, part_rows: int = PART_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row of docs.
 
     Null texts are empty (size 1, checksum 0) and form one group with empty texts. Rows that agree
@@ -49,25 +49,26 @@ def assign_shards(docs: DataFrame, shards: int = 16, text: str = "text", key: st
         F.crc32(F.col("t").cast("binary")).alias("text_crc32"),
         F.sha2("t", 256).alias("digest"),
     )
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(doc_key(F.col("doc_id"))), F.lit(PARTS)).cast("int"))
     rows = materialise(rows, "shard-rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
     light = F.concat(F.lit("u"), F.pmod(F.xxhash64("digest"), F.lit(units)).cast("string"))
     groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
     heavy = [r[0] for r in groups.where(F.col("bytes") * HEAVY > total).select("digest").collect()]
     unit = F.when(F.col("digest").isin(heavy), F.col("digest")).otherwise(light) if heavy else light
-    parts = rows.withColumn("unit", unit)
-    counts = parts.groupBy("unit", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-    sizes = counts.groupBy("unit").agg(F.sum("bytes").alias("bytes")).collect()
+    rows = rows.withColumn("unit", unit)
+    # fewer than UNITS + HEAVY rows, whatever the input
+    sizes = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()
     shard_of = lpt([(r.unit, r.bytes) for r in sizes], shards)
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(list(shard_of.items()), "unit string, shard int")
-    # at most (UNITS + HEAVY) * PARTS rows, whatever the input
+    plan = docs.sparkSession.createDataFrame([(r.unit, shard_of[r.unit], PARTS + r.n // part_rows) for r in sizes], "unit string, shard int, parts long")
+    part = F.pmod(F.xxhash64(doc_key(F.col("doc_id"))), F.col("parts"))
+    parts = rows.join(F.broadcast(plan), "unit").withColumn("part", part).drop("parts")
+    counts = parts.groupBy("shard", "unit", "part").agg(F.count(F.lit(1)).alias("n"))
+    # at most (UNITS + HEAVY) * PARTS rows and one more for each part_rows rows
     ahead = Window.partitionBy("shard").orderBy("unit", "part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.join(F.broadcast(plan), "unit").select("unit", "part", "shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    base = counts.select("unit", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     inner = Window.partitionBy("unit", "part").orderBy("doc_id", "digest")
     numbered = parts.withColumn("at", F.row_number().over(inner))
-    return numbered.join(F.broadcast(base), ["unit", "part"]).select(
+    return numbered.join(base, ["unit", "part"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("at") - 1).cast("long").alias("slot")
     )
 
