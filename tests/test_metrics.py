@@ -163,3 +163,10 @@ def test_day_partitions_are_pruned(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
     assert scan.earliest_ms(spark.read.parquet(str(tmp_path)), got.limit(0)) == 0
+
+
+def test_country_table(spark):
+    from tidemark.sources import enrich
+
+    names = dict(enrich.countries(spark).collect())
+    assert not names or (names["DE"] == "Germany" and all(len(c) == 2 for c in names))

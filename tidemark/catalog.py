@@ -100,6 +100,21 @@ _add(
     f"SELECT p.id, p.name, {_n(*[(c, f'coalesce(sum(r.{c}), 0)') for c in ('pageviews', 'visitors', 'events')])} FROM projects p LEFT JOIN sources s ON s.project_id = p.id LEFT JOIN {_ROLL} r ON r.source = s.uri GROUP BY 1, 2",
 )
 _add("unassigned", lambda s, d: metrics.unassigned(_rollup(s, d), adapter.sources(s)), f"SELECT r.* FROM {_ROLL} r LEFT JOIN sources s ON r.source = s.uri WHERE s.project_id IS NULL")
+_add(
+    "unassigned_total",
+    lambda s, d: metrics.unassigned_total(metrics.unassigned(_rollup(s, d), adapter.sources(s))),
+    f"SELECT {_n(('total', 'coalesce(sum(r.pageviews + r.events), 0)'))} FROM {_ROLL} r LEFT JOIN sources s ON r.source = s.uri WHERE s.project_id IS NULL",
+)
+_add(
+    "panel_without_events",
+    lambda s, d: metrics.panel(metrics.breakdown(_facts(s, d), "country").withColumn("events", F.lit(0).cast("long")), "events"),
+    f"SELECT key, pageviews AS value FROM ({_break_sql('country', 'is_unique_user')}) ORDER BY value DESC, key LIMIT 8",
+)
+_add(
+    "panel_events_only",
+    lambda s, d: metrics.panel(metrics.event_names(_facts(s, d)).select("key", F.lit(0).cast("long").alias("pageviews"), F.lit(0).cast("long").alias("visitors"), F.col("n").alias("events")), "visitors"),
+    f"SELECT key, n AS value FROM ({_count_sql('event_name', f'{_IN} AND {_EV}')}) ORDER BY value DESC, key LIMIT 8",
+)
 _add(
     "share_percent",
     lambda s, d: metrics.shares(metrics.breakdown(_facts(s, d), "country"), "pageviews"),
@@ -174,6 +189,11 @@ _EVT = f"{_IN} AND {_EV} AND event_name = 'signup'"
 _named = lambda s, d: details.named_events(_facts(s, d), "signup")
 for _name, _column in (("country", "country"), ("language", "language"), ("page", "pathname")):
     _add(f"count_by_{_name}", lambda s, d, c=_column: metrics.count_by(_named(s, d), c), _count_sql(_column, _EVT))
+_add(
+    "country_names",
+    lambda s, d: metrics.named(metrics.count_by(_named(s, d), "country"), adapter.country_names(s)),
+    f"SELECT key, n, CASE key WHEN 'US' THEN 'United States' WHEN 'DE' THEN 'Germany' WHEN 'FR' THEN 'France' ELSE key END AS label FROM ({_count_sql('country', _EVT)})",
+)
 _add("event_detail_summary", lambda s, d: details.detail_summary(_named(s, d), "source"), f"SELECT * FROM (SELECT {_span}, {_last('source:source')} FROM f WHERE {_EVT}) WHERE n > 0")
 _add("event_trend", lambda s, d: details.trend(_named(s, d), START, END, []), f"SELECT CAST({_place} AS INTEGER) AS place, {_n(('n', 'count(*)'))} FROM f WHERE {_EVT} GROUP BY 1")
 _add(
@@ -292,6 +312,19 @@ _add("primary_language", lambda s, d: _docs(s, d).select("doc_id", text.primary_
 _add("utm_extract", lambda s, d: _pages(s, d).select("page_id", text.utm(F.concat("url", F.when(F.locate("?", F.col("url")) > 0, "&").otherwise("?"), F.lit("utm_source=a&utm_source=+b%20"), "page_id"), "utm_source").alias("utm_source")), "SELECT page_id, 'b ' || page_id AS utm_source FROM pages WHERE url NOT LIKE '%#%' UNION ALL SELECT page_id, NULL FROM pages WHERE url LIKE '%#%'", "")
 _add("strip_urls", lambda s, d: _pages(s, d).select("page_id", text.strip_urls(F.concat(F.lit("at ("), "url", F.lit(") end"))).alias("t")), "SELECT page_id, regexp_replace('at (' || url || ') end', '[A-Za-z]+://[^ \\t\\n\\r)\\]}>\"''`,;]*', '', 'g') AS t FROM pages", "")
 _add("strip_digits", lambda s, d: _docs(s, d).select("doc_id", F.length(text.collapse(text.strip_digits(F.lower("text")))).cast("long").alias("n")), None, "")
+
+
+def _masked(s, d) -> DataFrame:
+    h = F.md5(F.col("url").cast("binary"))
+    part = lambda a, n: F.substring(h, a, n)
+    uuid = F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12))
+    line = F.concat_ws(" ", F.lit("at"), uuid, F.concat(F.lit("0x"), part(1, 6)), F.concat(part(1, 12), F.lit("1")), F.lit("end"))
+    return _pages(s, d).select("page_id", text.mask_ids(line).alias("t"))
+
+
+_add("mask_ids", _masked, "SELECT page_id, 'at <uuid> <addr> <hash> end' AS t FROM pages", "")
+_add("normal_frame", lambda s, d: _pages(s, d).select("page_id", text.normal_frame(F.concat(F.lit("  At Handler ("), F.lit("/srv/app/lib/Util.js:"), "page_id", F.lit(":2)  x"), "page_id", F.lit("?q=1"))).alias("t")), "SELECT page_id, 'at handler (util.js::) x' AS t FROM pages", "")
+_add("version_label", lambda s, d: adapter.facts(s, d).select("seq", text.version_label(text.source_label("source"), "app_version").alias("label")), "SELECT seq, regexp_replace(source, '^(https|http|app|pixel)://', '') || CASE WHEN app_version IS NULL THEN '' ELSE ' @ ' || app_version END AS label FROM f")
 _add("metadata_split", lambda s, d: adapter.facts(s, d).where("metadata_json IS NOT NULL").select("seq", F.size(text.metadata_part("metadata_json", True)).cast("long").alias("tags"), F.size(text.metadata_part("metadata_json", False)).cast("long").alias("context")), f"SELECT seq, {_n(('tags', '1'), ('context', '0'))} FROM f WHERE metadata_json IS NOT NULL")
 
 

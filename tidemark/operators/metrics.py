@@ -111,3 +111,27 @@ def shares(rows: DataFrame, value: str, limit: int = 8) -> DataFrame:
     top = rows.orderBy(F.desc(value), "key").limit(limit)
     total = F.sum(value).over(Window.partitionBy())
     return top.select("key", F.col(value).alias("value"), F.when(total > 0, F.col(value) * 100.0 / total).alias("share"))
+
+
+def unassigned_total(rows: DataFrame) -> DataFrame:
+    """Page loads and events of all unassigned sources; 0 where there are none."""
+    return rows.agg(F.coalesce(F.sum(F.col("pageviews") + F.col("events")), F.lit(0)).alias("total"))
+
+
+def panel(rows: DataFrame, metric: str, limit: int = 8) -> DataFrame:
+    """(key, value): the top rows of a breakdown (key, pageviews, visitors, events) by what the whole panel can show.
+
+    `events` falls back to pageviews where no row has events, a view metric to events where no row has views.
+    rows is a breakdown, of TOP rows at most.
+    """
+    most = lambda c: F.coalesce(F.max(c).over(Window.partitionBy()), F.lit(0))
+    if metric == "events":
+        value = F.when(most("events") > 0, F.col("events")).otherwise(F.col("pageviews"))
+    else:
+        value = F.when((most(metric) == 0) & (most("events") > 0), F.col("events")).otherwise(F.col(metric))
+    return rows.select("key", value.alias("value")).orderBy(F.desc("value"), "key").limit(limit)
+
+
+def named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows with `label`: the name of their key in names (code, name), or the key."""
+    return rows.join(names, rows["key"] == names["code"], "left").withColumn("label", F.coalesce("name", "key")).drop("code", "name")

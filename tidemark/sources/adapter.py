@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import fingerprint, referrer_group
 from tidemark.schema import COLUMNS, DAY_MS, FACT
 
+
 def _pick(i: Column, *values) -> Column:
     """The i-th value; None is null."""
     out = F.lit(None).cast("string")
@@ -18,6 +19,15 @@ def _pick(i: Column, *values) -> Column:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a folder as fact rows; a folder's files are listed when it is first asked for."""
+    # plans, not rows: thirty columns take a second or two to describe
+    plans = spark.__dict__.setdefault("_tidemark_facts", {})
+    if sf_dir not in plans:
+        plans[sf_dir] = _facts(spark, sf_dir)
+    return plans[sf_dir]
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     ms = F.expr("unix_micros(cast(ts as timestamp)) div 1000")
     e = e.select(F.col("event_id").alias("e"), F.col("user_id").alias("u"), "event_type", "value", "props", ms.alias("ms"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("k"))
@@ -70,6 +80,11 @@ def sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "uri string, project_id string")
 
 
+def country_names(spark: SparkSession) -> DataFrame:
+    """Names of some of the countries; the others show their code."""
+    return spark.createDataFrame([("US", "United States"), ("DE", "Germany"), ("FR", "France")], "code string, name string")
+
+
 def triage(spark: SparkSession) -> DataFrame:
     rows = [("p0", "https://site0.example.com", 1_706_000_000_000, None), ("p0", "https://site1.example.com", 1_800_000_000_000, None), ("p1", "app://svc2", None, 1_704_000_000_000)]
     return spark.createDataFrame(rows, "project_id string, source string, resolved_ms long, muted_ms long")

@@ -105,3 +105,14 @@ def zones(spark) -> DataFrame:
             if target in found:
                 found.setdefault(alias, found[target])
     return spark.createDataFrame(sorted(found.items()), "zone string, country string")
+
+
+def countries(spark) -> DataFrame:
+    """(code, name) of this machine's country table; empty where it has none."""
+    import os
+
+    at, rows = "/usr/share/zoneinfo/iso3166.tab", []
+    if os.path.exists(at):
+        with open(at, encoding="utf-8") as f:
+            rows = [tuple(x.rstrip("\n").split("\t")[:2]) for x in f if x[:1] not in "#\n"]
+    return spark.createDataFrame(rows, "code string, name string")
