@@ -407,6 +407,45 @@ def test_one_of_each_group_stays(spark, odd, empty):
     assert simhash.keep_first(odd).columns == odd.columns and simhash.keep_first(empty).count() == 0
 
 
+def brute_sets(texts):
+    """Sets of five-word shingles; a shorter text is one shingle."""
+    return [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := words_of(lower(t))) else set() for t in texts]
+
+
+def brute_groups(texts):
+    """The least place of each text's group, from links between all pairs that are 4/5 alike."""
+    sets, up = brute_sets(texts), simhash.Forest(len(texts))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                up.join(np.array([i]), np.array([j]))
+    return up.roots().tolist()
+
+
+def edited(t, kind, r):
+    w, new = t.split(), lambda n: [f"n{x}" for x in r.integers(0, 10**9, n)]
+    return " ".join({"append 20%": lambda: w + new(len(w) // 5), "append 10%": lambda: w + new(len(w) // 10), "cut 19%": lambda: w[: len(w) - 19 * len(w) // 100], "every 50th": lambda: [x if (i + 1) % 50 else new(1)[0] for i, x in enumerate(w)]}[kind]())
+
+
+def test_no_pair_of_near_copies_is_lost(spark):
+    r = np.random.default_rng(3)
+    base = [" ".join(t.split()[:600]) for t in (x.text for x in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()) if len((t or "").split()) >= 40]
+    texts = [*base, *[edited(t, k, r) for t in base for k in ("append 20%", "append 10%", "cut 19%", "every 50th")]]
+    texts += ["same start " * 3 + " ".join(f"v{x}" for x in r.integers(0, 10**6, 60)) for _ in range(30)] + [None, "", "a b", "A  B", "a b c"]
+    want = brute_groups(texts)
+    kept = simhash.keep_first(spark.createDataFrame([(int(i), texts[i]) for i in r.permutation(len(texts))], "doc_id long, text string"))
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(want)) and len(set(want)) < len(texts) - 2 * len(base)
+
+
+def test_large_group_of_near_copies(spark):
+    """More than HOT texts under one shingle; the last one is alike to a copy only, not to the first."""
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*base[:j], "edit", *base[j + 1 :]]) for j in range(5, 290, 7)] + [" ".join([*base[:270], *[f"z{i}" for i in range(30)]])] + ["else " * 9]
+    kept = simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(brute_groups(texts)))
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=15))
 def test_components(spark, edges):

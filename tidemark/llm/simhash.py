@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
+from tidemark.llm.jaccard import keep_first as keep_first
 from tidemark.llm.runtime import LAST_ID, doc_key, materialise, read_table, ship
 from tidemark.llm.textops import byte_class, slices, split_words
 
@@ -200,19 +201,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, k
     return rows.join(of, "node").select(key, "fp", F.when(F.col("component_id") < LAST_ID, F.col("component_id")).alias("component_id"))
 
 
-#: Two texts whose sets of five-word shingles are 0.8 alike differ in up to 14 of 64 bits, too many to
-#: look up; over two-word shingles they differ in up to 8. The stage looks those up and confirms by the
-#: five-word fingerprint, from which unrelated texts differ in 32 bits give or take 4.
-STAGE = {"width": 2, "radius": 8, "confirm": (5, 16)}
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """Of every group of near copies the row with the least doc_id (of rows equal in doc_id, any one), with all its columns."""
-    at = near_duplicates(docs, **STAGE)
-    first = at.where(doc_key(F.col("doc_id")) == F.coalesce("component_id", F.lit(LAST_ID))).select(doc_key(F.col("doc_id")).alias("_first")).distinct()
-    return docs.withColumn("_k", doc_key(F.col("doc_id"))).join(first, F.col("_k") == F.col("_first"), "left_semi").dropDuplicates(["_k"]).drop("_k")
-
-
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
