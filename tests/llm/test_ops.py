@@ -438,6 +438,20 @@ def test_no_pair_of_near_copies_is_lost(spark):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(want)) and len(set(want)) < len(texts) - 2 * len(base)
 
 
+def test_texts_that_share_a_passage_stay(spark):
+    r = np.random.default_rng(4)
+    new = lambda n: [f"v{x}" for x in r.integers(0, 10**9, n)]
+    texts = []
+    for share in (670, 720, 770, 820, 850):
+        passage = new(share)
+        texts += [" ".join([*passage, *new(1000 - share)]) for _ in range(4)]
+    a, b, *_ = brute_sets(texts[:2])
+    c, d = brute_sets(texts[-2:])
+    assert 0.49 < len(a & b) / len(a | b) and len(c & d) / len(c | d) < 0.75
+    kept = simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(x.doc_id for x in kept.collect()) == list(range(len(texts)))
+
+
 def test_large_group_of_near_copies(spark):
     """More than HOT texts under one shingle; the last one is alike to a copy only, not to the first."""
     base = [f"w{i}" for i in range(300)]
