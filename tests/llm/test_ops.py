@@ -452,6 +452,14 @@ def test_texts_that_share_a_passage_stay(spark):
     assert sorted(x.doc_id for x in kept.collect()) == list(range(len(texts)))
 
 
+def test_rows_that_share_an_id_or_have_none_stay(spark):
+    r = np.random.default_rng(5)
+    a, b, c, d, e, f = (" ".join(f"v{x}" for x in r.integers(0, 10**9, 40)) for _ in range(6))
+    rows = [(None, a), (None, b), (None, c), (None, c), (7, d), (7, e), (7, d), (3, b), (3, f)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((x.doc_id or 0, x.text) for x in kept.collect()) == sorted([(0, a), (0, c), (7, d), (7, e), (3, b), (3, f)])
+
+
 def test_large_group_of_near_copies(spark):
     """More than HOT texts under one shingle; the last one is alike to a copy only, not to the first."""
     base = [f"w{i}" for i in range(300)]
