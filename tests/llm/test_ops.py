@@ -268,6 +268,16 @@ def test_scores_against_brute_force(spark, odd, order):
         assert abs(got[i].score - want) <= 0.02 * len(t) + 1e-6, (i, got[i].score, want)
 
 
+def test_every_gram_of_the_query_is_kept(spark, table, monkeypatch):
+    texts = [f"a b c once{i} twice{i // 2}" for i in range(60)]
+    made, fit = [], ngram_lm.fit
+    monkeypatch.setattr(ngram_lm, "fit", lambda *x, **y: made.append(fit(*x, **y)) or made[-1])
+    rows = ngram_lm.op4_ngram_score(spark, table(list(enumerate(texts)))).collect()
+    train = [(0, *texts[r.doc_id].split(), 0) for r in rows if not r.held_out]
+    grams = [len({t[i : i + n] for t in train for i in range(len(t) - n + 1)}) for n in (2, 3)]
+    assert [int(g.base[-1]) for g in made[0].grams] == grams and all(math.isfinite(r.score) for r in rows)
+
+
 def test_scores_of_empty_tables(empty, odd):
     trie = ngram_lm.fit(empty)
     assert ngram_lm.score(empty, trie).count() == 0

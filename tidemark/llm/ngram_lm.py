@@ -1,7 +1,7 @@
 """N-gram scoring over an Elias-Fano trie.
 
 Level 1 holds the words of the training texts: their hashes as Elias-Fano sequences, exact counts.
-Level n holds n-grams that occur MIN_COUNT times or more below their context, a node of level n - 1:
+Level n holds n-grams that occur min_count times or more below their context, a node of level n - 1:
 monotone pointers from contexts to their children, and the children's words made monotone by adding
 the last value of the context before, both Elias-Fano coded. A child is found by successor search
 relative to its context. Probabilities are smoothed by interpolated absolute discounting and stored
@@ -28,6 +28,8 @@ from tidemark.llm.runtime import crc_fold, materialise, new_folder, read_table,
 from tidemark.llm.textops import byte_class, slices, split_words
 
 ORDER, MIN_COUNT, DISCOUNT = 2, 2, 0.75
+#: What the registered query trains: trigrams, and every n-gram however rare.
+QUERY = {"order": 3, "min_count": 1}
 #: Entries of a shard, about.
 SHARD_ROWS = 250_000
 #: Tokens that a task counts before it hands their n-grams on.
@@ -248,7 +250,7 @@ def _count_words(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["h", "n"])
 
 
-def _count_grams(sent, batches) -> Iterator[pa.RecordBatch]:
+def _count_grams(sent, min_count: int, batches) -> Iterator[pa.RecordBatch]:
     """(context, word, lower node, n) of the level that comes next."""
     trie = sent.value
     parts, size = [], 0
@@ -264,7 +266,7 @@ def _count_grams(sent, batches) -> Iterator[pa.RecordBatch]:
         for _, _, data, off in slices(b.column(0)):
             h, first = token_hashes(data, off)
             word, count = trie.ids(h)
-            node, often = word, count >= MIN_COUNT
+            node, often = word, count >= min_count
             for _, node, _ in trie.walk(word, first):
                 pass
             context = np.concatenate([[-1], node[:-1]])
@@ -352,7 +354,7 @@ def fit(texts: DataFrame, order: int = ORDER, folder: str | None = None, min_cou
     contexts = vocabulary
     for n in range(2, order + 1):
         sent = spark.sparkContext.broadcast(trie)  # folder name and shard bounds only
-        counted = raw.mapInArrow(lambda it, s=sent: _count_grams(s, it), "context long, word long, lower long, n long")
+        counted = raw.mapInArrow(lambda it, s=sent: _count_grams(s, min_count, it), "context long, word long, lower long, n long")
         kept = materialise(counted.groupBy("context", "word").agg(F.first("lower").alias("lower"), F.sum("n").alias("n")).where(F.col("n") >= min_count), f"grams{n}")
         size = kept.count()
         if not size:
@@ -389,7 +391,7 @@ def score(docs: DataFrame, trie: Trie, key: str = "doc_id") -> DataFrame:
 
 def op4_ngram_score(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    trie = fit(docs.where(F.coalesce(crc_fold(F.col("doc_id")) != 1, F.lit(True))))
+    trie = fit(docs.where(F.coalesce(crc_fold(F.col("doc_id")) != 1, F.lit(True))), **QUERY)
     out = score(docs, trie)
     return out.select("doc_id", F.coalesce(crc_fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(int(trie.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
 
