@@ -174,6 +174,16 @@ def test_substring_edges(odd, empty):
     assert substring.remove_repeats(odd).count() == len(ODD) and substring.remove_repeats(empty).count() == 0
 
 
+def test_texts_without_id_of_equal_short_hash_are_told_apart(spark):
+    ids = spark.range(200_000)
+    a = ids.select(F.concat(F.lit(P + " "), F.col("id").cast("string")).alias("a"))
+    b = ids.select(F.concat_ws(" ", *[F.concat(F.lit(f"q{i}x"), F.col("id").cast("string")) for i in range(15)]).alias("b"))
+    pair = a.join(b, F.hash("a") == F.hash("b")).orderBy("a").first()
+    docs = spark.createDataFrame([(1, P), (None, pair.a), (None, pair.b)], "doc_id long, text string")
+    kept = [bytes(r.kept).decode() for r in substring.remove_repeats(docs).collect() if r.doc_id is None]
+    assert sorted(kept) == sorted([pair.a.split()[-1], pair.b])
+
+
 def test_lines_against_brute_force(spark):
     r = np.random.default_rng(5)
     docs = [(i, [f"line {x}" for x in r.integers(0, 6, r.integers(0, 12))]) for i in range(40)]

@@ -217,7 +217,7 @@ def _match(width: int, batches) -> Iterator[pa.RecordBatch]:
 def repeated_windows(docs: DataFrame, width: int = WINDOW, k: int = K, hot: int | None = None) -> DataFrame:
     """(k, tie, starts): of every row that has any, the places of windows that start in an earlier document.
 
-    docs: (k long, tie int, text binary); k orders documents, tie tells rows of one k apart.
+    docs: (k long, tie long, text binary); k orders documents, tie tells rows of one k apart.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -228,7 +228,7 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, k: int = K, hot: int
     known, often = bloom_of(shared.select("anchor"), n), bloom_of(shared.where("hot").select("anchor"), n_hot)
     sent = spark.sparkContext.broadcast((known or EVERYTHING, often or EVERYTHING))
     found = docs.select("k", "text").mapInArrow(lambda it: _passages(width, k, sent, it), "anchor long, key long, body binary, lo long, hi long")
-    each = docs.select("k", "tie", "text").mapInArrow(lambda it: _occurrences(width, k, sent, it), "anchor long, key long, h long, k long, tie int, at int")
+    each = docs.select("k", "tie", "text").mapInArrow(lambda it: _occurrences(width, k, sent, it), "anchor long, key long, h long, k long, tie long, at int")
     if known is None:
         found, each = (x.join(shared, "anchor", "left_semi") for x in (found, each))
     found, each = found.drop("anchor"), each.drop("anchor")
@@ -281,7 +281,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, k: int = K, key: str =
     """
     kind = docs.schema[key].dataType.simpleString()
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("_key"), doc_key(F.col(key)).alias("k"), F.hash(body).alias("tie"), body.cast("binary").alias("text"))
+    rows = docs.select(F.col(key).alias("_key"), doc_key(F.col(key)).alias("k"), F.xxhash64(body).alias("tie"), body.cast("binary").alias("text"))
     starts = repeated_windows(rows.select("k", "tie", "text"), width, k, hot)
     joined = rows.join(starts, ["k", "tie"], "left").select("_key", "text", "starts")
     out = joined.mapInArrow(lambda it: _rewrite(width, it), f"_key {kind}, n_words long, spans array<struct<`from`:long,`to`:long>>, kept binary")
