@@ -1,9 +1,10 @@
-"""Line deduplication by winnowing over line hashes.
+"""Line deduplication by windows of lines.
 
-Every window of WIDTH lines gives its least line hash as a fingerprint, so any run of WIDTH lines or
-more that occurs twice shares one. Fingerprints that occur once are dropped; the positions of the
-others are joined by the content of the windows around them, which extends a match line by line to
-both sides as far as it goes. Every run but its first occurrence is deleted.
+Every window of WIDTH lines leaves as a row with its least line hash and a digest of its content. The
+least hash only sorts out windows before the join: one whose least hash no other window has cannot
+repeat. Of windows of equal content all but the first are marked, and a repeated run of WIDTH lines
+or more is the union of its windows; nothing is winnowed or extended line by line. Every run but its
+first occurrence is deleted.
 """
 
 from __future__ import annotations
