@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import automaton, components, decontam, eliasfano, fingerprints, linededup, mixing, ngram_lm, packing, sharding, simhash, substring, textops, toxicity
+from tidemark.llm import automaton, components, decontam, eliasfano, fingerprints, jaccard, linededup, mixing, ngram_lm, packing, sharding, simhash, substring, textops, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -422,9 +422,9 @@ def test_one_of_each_group_stays(spark, odd, empty):
     r = np.random.default_rng(0)
     base = [" ".join(f"w{x}" for x in r.integers(0, 10**6, 300)) for _ in range(5)]
     rows = [(10 * i, t) for i, t in enumerate(base)] + [(10 * i + 1, " ".join("edit" if j == 7 else w for j, w in enumerate(t.split()))) for i, t in enumerate(base)] + [(0, base[0])]
-    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(x.doc_id for x in kept.collect()) == [0, 10, 20, 30, 40]
-    assert simhash.keep_first(odd).columns == odd.columns and simhash.keep_first(empty).count() == 0
+    assert jaccard.keep_first(odd).columns == odd.columns and jaccard.keep_first(empty).count() == 0
 
 
 def brute_sets(texts):
@@ -454,7 +454,7 @@ def test_no_pair_of_near_copies_is_lost(spark):
     texts = [*base, *[edited(t, k, r) for t in base for k in ("append 20%", "append 10%", "cut 19%", "every 50th")]]
     texts += ["same start " * 3 + " ".join(f"v{x}" for x in r.integers(0, 10**6, 60)) for _ in range(30)] + [None, "", "a b", "A  B", "a b c"]
     want = brute_groups(texts)
-    kept = simhash.keep_first(spark.createDataFrame([(int(i), texts[i]) for i in r.permutation(len(texts))], "doc_id long, text string"))
+    kept = jaccard.keep_first(spark.createDataFrame([(int(i), texts[i]) for i in r.permutation(len(texts))], "doc_id long, text string"))
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(want)) and len(set(want)) < len(texts) - 2 * len(base)
 
 
@@ -468,7 +468,7 @@ def test_texts_that_share_a_passage_stay(spark):
     a, b, *_ = brute_sets(texts[:2])
     c, d = brute_sets(texts[-2:])
     assert 0.49 < len(a & b) / len(a | b) and len(c & d) / len(c | d) < 0.75
-    kept = simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    kept = jaccard.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(x.doc_id for x in kept.collect()) == list(range(len(texts)))
 
 
@@ -476,7 +476,7 @@ def test_rows_that_share_an_id_or_have_none_stay(spark):
     r = np.random.default_rng(5)
     a, b, c, d, e, f = (" ".join(f"v{x}" for x in r.integers(0, 10**9, 40)) for _ in range(6))
     rows = [(None, a), (None, b), (None, c), (None, c), (7, d), (7, e), (7, d), (3, b), (3, f)]
-    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((x.doc_id or 0, x.text) for x in kept.collect()) == sorted([(0, a), (0, c), (7, d), (7, e), (3, b), (3, f)])
 
 
@@ -484,7 +484,7 @@ def test_large_group_of_near_copies(spark):
     """More than HOT texts under one shingle; the last one is alike to a copy only, not to the first."""
     base = [f"w{i}" for i in range(300)]
     texts = [" ".join([*base[:j], "edit", *base[j + 1 :]]) for j in range(5, 290, 7)] + [" ".join([*base[:270], *[f"z{i}" for i in range(30)]])] + ["else " * 9]
-    kept = simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    kept = jaccard.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(brute_groups(texts)))
 
 
@@ -565,3 +565,52 @@ def test_mix_follows_targets(spark, odd, empty):
     assert {(r.doc_id, r.copies) for r in rows} == {(r.doc_id, r.copies) for r in again}
     assert mixing.emit(out).count() == sum(r.copies for r in rows)
     assert mixing.sample_copies(odd).count() == len(ODD) and mixing.sample_copies(empty).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 2**32)), min_size=1, max_size=4))
+def test_bitmaps_never_differ_in_more_than_their_sets(sizes):
+    sets = []
+    for n, m, seed in sizes:
+        r = np.random.default_rng(seed)
+        both = r.integers(0, 2**63, n, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([both, r.integers(0, 2**63, x, dtype=np.uint64)])) for x in (m, m // 9)]
+    bits = [jaccard.bitmap(s) for s in sets]
+    i, j = np.triu_indices(len(sets), 1)
+    found = jaccard.difference(bits, i, j)
+    want = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    assert (found <= want).all() and ((found - want) % 2 == 0).all()
+
+
+def test_one_meeting_of_many_texts_loses_no_link(spark):
+    r = np.random.default_rng(5)
+    base = [f"w{x}" for x in r.integers(0, 500, 60)]
+    texts = []
+    for i in range(60):
+        x = list(base)
+        for p in r.choice(60, int(r.integers(0, 4)), replace=False):
+            x[p] = f"e{i}-{p}"
+        texts.append(" ".join(x))
+    rows = [(i, 0, t.encode()) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "k long, tie long, text binary")
+    sets = [set(next(jaccard.shingle_sets(np.frombuffer(t, np.uint8), np.array([0, len(t)]))).tolist()) for _, _, t in rows]
+    root = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if z in (x, y) else z for z in root]
+    want = sorted(sorted(i for i in range(60) if root[i] == z) for z in set(root))
+    for hot in (2, 1000):
+        own, member = jaccard.groups(docs, hot=hot)
+        at = {x.node: x.root for x in member.collect()}
+        got: dict = {}
+        for x in own.collect():
+            got.setdefault(at.get(x.node, x.node), []).append(x.k)
+        assert sorted(sorted(v) for v in got.values()) == want
+
+
+def test_rows_of_one_key_and_text_are_chosen_by_their_other_columns(spark):
+    rows = [(1, "a b c", s) for s in ("x", None, "y")] + [(None, "d e", "x"), (None, "f g", "x"), (7, "h i", "x"), (7, "j k", "x")]
+    out = [sorted(map(str, jaccard.keep_first(spark.createDataFrame(r, "doc_id long, text string, source string")).collect())) for r in (rows, rows[::-1])]
+    assert out[0] == out[1] and len(out[0]) == 5

@@ -6,8 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +37,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of this process where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir. Where that is unset a folder of this machine, if Spark runs on this machine alone; else an error."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_tidemark_shared", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        at = sc._tidemark_shared = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
     return at.rstrip("/")
 
 
@@ -54,6 +58,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of rows sorted by keys, cut anew so that rows of equal keys are in one frame."""
+    parts: list[pd.DataFrame] = []
+    for f in frames:
+        if not len(f):
+            continue
+        same = (f[keys] == f[keys].iloc[-1]).all(axis=1).to_numpy()
+        if parts and same[0] and (parts[-1][keys].iloc[-1] == f[keys].iloc[-1]).all():
+            parts.append(f)
+            continue
+        at = len(f) - int(same.sum())
+        if parts or at:
+            yield pd.concat([*parts, f.iloc[:at]], ignore_index=True)
+        parts = [f.iloc[at:]]
+    if parts:
+        yield pd.concat(parts, ignore_index=True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

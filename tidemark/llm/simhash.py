@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.jaccard import keep_first as keep_first
-from tidemark.llm.runtime import LAST_ID, doc_key, materialise, read_table, ship
+from tidemark.llm.runtime import LAST_ID, doc_key, materialise, read_table, ship, whole_groups
 from tidemark.llm.textops import byte_class, slices, split_words
 
 WIDTH, RADIUS, SEED = 4, 4, 42
@@ -71,6 +70,14 @@ def simhashes(texts, width: int = WIDTH) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def majority(h: np.ndarray) -> int:
+    """SimHash of a set of 64-bit hashes: the bits set in over half of them; 0 for none."""
+    if not len(h):
+        return 0
+    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
 def _fingerprints(widths: list[int], batches) -> Iterator[pa.RecordBatch]:
     for b in batches:
         f = [pa.array(simhashes(b.column(1), w).view(np.int64), pa.int64()) for w in widths]
@@ -141,33 +148,19 @@ def forest_of(fp: np.ndarray, check: np.ndarray, radius: int, confirm: int) -> n
 
 def _links(radius: int, confirm: int, frames) -> Iterator[pd.DataFrame]:
     """Rows come sorted by table and bucket; a bucket's links leave as a star for each of its components."""
-    rest = None
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
+    for part in whole_groups(frames, ["t", "k"]):
         cut = np.flatnonzero((np.diff(part.t) != 0) | (np.diff(part.k) != 0)) + 1
         node = part.node.to_numpy()
         fp, check = (part[c].to_numpy().view(np.uint64) for c in ("fp", "check"))
         edge = np.concatenate([[0], cut, [len(part)]])
-        a, b = [], []
+        a, b = [node[:0]], [node[:0]]
         for i in np.flatnonzero(np.diff(edge) > 1):
             x = slice(edge[i], edge[i + 1])
             root = forest_of(fp[x], check[x], radius, confirm)
             far = np.flatnonzero(root != np.arange(len(root)))
             a.append(node[x][far])
             b.append(node[x][root[far]])
-        none = np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate(a) if a else none, "b": np.concatenate(b) if b else none})
-
-    for f in frames:
-        rest = f if rest is None else pd.concat([rest, f], ignore_index=True)
-        if len(rest):
-            last = ((rest.t == rest.t.iloc[-1]) & (rest.k == rest.k.iloc[-1])).to_numpy()
-            if not last.all():
-                whole = int(np.flatnonzero(~last)[-1]) + 1
-                yield solve(rest.iloc[:whole].reset_index(drop=True))
-                rest = rest.iloc[whole:].reset_index(drop=True)
-    if rest is not None and len(rest):
-        yield solve(rest)
+        yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, confirm: int = 64) -> DataFrame:
