@@ -614,3 +614,39 @@ def test_rows_of_one_key_and_text_are_chosen_by_their_other_columns(spark):
     rows = [(1, "a b c", s) for s in ("x", None, "y")] + [(None, "d e", "x"), (None, "f g", "x"), (7, "h i", "x"), (7, "j k", "x")]
     out = [sorted(map(str, jaccard.keep_first(spark.createDataFrame(r, "doc_id long, text string, source string")).collect())) for r in (rows, rows[::-1])]
     assert out[0] == out[1] and len(out[0]) == 5
+
+
+def test_small_shards_and_split_contexts_score_alike(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.substring("text", 1, 3000).alias("text"))
+    whole, cut = (ngram_lm.fit(docs.where("doc_id % 5 <> 1"), order=3, min_count=1, shard_tokens=n) for n in (10**9, 200))
+    assert len(cut.grams[0].split[0]) > 0 and len(cut.grams[1].base) > len(whole.grams[1].base)
+    assert [int(g.base[-1]) for g in cut.grams] == [int(g.base[-1]) for g in whole.grams]
+    a, b = ({r.doc_id: r for r in ngram_lm.score(docs, t).collect()} for t in (whole, cut))
+    assert all(abs(a[i].score - b[i].score) <= 0.02 * a[i].n_tokens and a[i].base_score == b[i].base_score for i in a)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5), st.integers(1, 9)), max_size=30), st.sampled_from([6, 2**62]))
+def test_sums_of_pairs(rows, words):
+    c, w, n = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+    want = Counter()
+    for a, b, k in rows:
+        want[(a, b)] += k
+    got = ngram_lm.sum_pairs(c, w, n, words)
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == [(*k, v) for k, v in sorted(want.items())]
+    assert all((x == y).all() for x, y in zip(ngram_lm.unpacked(ngram_lm.packed(*got), 3), got, strict=True))
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=20), st.integers(1, 30), st.integers(5, 40))
+def test_every_pair_has_one_shard(counts, size, vocabulary):
+    from types import SimpleNamespace
+
+    node, parts = ngram_lm.shares(np.array(counts), size)
+    cuts = ngram_lm._next_cuts([SimpleNamespace(shard=0, node=node, parts=parts)], np.array([0, len(counts)]), vocabulary)
+    c, w = (x.ravel() for x in np.meshgrid(np.arange(len(counts)), np.arange(vocabulary), indexing="ij"))
+    at = cuts.place(c, w)
+    for s in range(len(cuts)):
+        mine = np.flatnonzero(at == s)
+        assert len(mine) and (c[mine[0]], w[mine[0]]) == (cuts.context[s], cuts.word[s]) and c[mine[-1]] - c[mine[0]] + 1 == cuts.width(s)
+    assert (np.diff(at) >= 0).all()

@@ -4,9 +4,14 @@ Level 1 holds the words of the training texts: their hashes as Elias-Fano sequen
 Level n holds n-grams that occur min_count times or more below their context, a node of level n - 1:
 monotone pointers from contexts to their children, and the children's words made monotone by adding
 the last value of the context before, both Elias-Fano coded. A child is found by successor search
-relative to its context. Probabilities are smoothed by interpolated absolute discounting and stored
-as 8-bit codes. Counting is Spark aggregation; each shard of a level is built by the task that
-aggregated it, written to the shared folder and memory-mapped by the tasks that score.
+relative to its context. Smoothing is interpolated absolute discounting: a node keeps its discounted
+probability and a context its backoff weight, both as 8-bit codes.
+
+Tasks count n-grams of their texts and send them, sorted and packed, to the shard that holds their
+context and word. The shards of a level are equal shares of the occurrences of the level below, which
+has exact counts; a context with more occurrences than a share is cut by ranges of the following word,
+so no task gets a hot context whole. A shard adds up the counts it gets, is written to the shared
+folder by the task that did so, and is memory-mapped by the tasks that score.
 """
 
 from __future__ import annotations
@@ -30,10 +35,10 @@ from tidemark.llm.textops import byte_class, slices, split_words
 ORDER, MIN_COUNT, DISCOUNT = 2, 2, 0.75
 #: What the registered query trains: trigrams, and every n-gram however rare.
 QUERY = {"order": 3, "min_count": 1}
-#: Entries of a shard, about.
-SHARD_ROWS = 250_000
-#: Tokens that a task counts before it hands their n-grams on.
-COUNT_TOKENS = 2_000_000
+#: Words of a shard of level 1, about, and occurrences that a shard of a further level adds up, at most about twice as many.
+SHARD_ROWS, SHARD_TOKENS = 250_000, 1_000_000
+#: Tokens that a task counts before it hands their n-grams on, and bytes of text that are looked up at once.
+COUNT_TOKENS, SLICE = 2_000_000, 2 << 20
 #: Hash that stands for the end of a text (a word never has it but by chance in 2^64).
 END = np.uint64(0x5851F42D4C957F2D)
 _SPACE = byte_class("space")
@@ -94,6 +99,80 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.bincount(code, x, 256) / np.maximum(np.bincount(code, minlength=256), 1)).astype(np.float32), code
 
 
+def runs(x: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Neighbouring equal values and where they are."""
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1, [len(x)]])
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if a < b:
+            yield int(x[a]), slice(a, b)
+
+
+def sum_pairs(c: np.ndarray, w: np.ndarray, n: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in ascending order and the sums of their n; every w is below `words`."""
+    if not len(c):
+        return c, w, n
+    if int(c.max()) < (2**63 - 1) // words - 1:
+        order = np.argsort(c * words + w, kind="stable")
+    else:
+        order = np.lexsort((w, c))
+    c, w, n = c[order], w[order], n[order]
+    start = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]))
+    return c[start], w[start], np.add.reduceat(n, start)
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of non-negative integers, each in the smallest type that holds it, compressed."""
+    narrow = [c.astype(np.min_scalar_type(int(c.max()) if len(c) else 0)) for c in columns]
+    raw = np.array([len(columns[0]), *[c.itemsize for c in narrow]], np.int64).tobytes() + b"".join(c.tobytes() for c in narrow)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, columns: int) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    n, *sizes = np.frombuffer(raw, np.int64, columns + 1).tolist()
+    out, at = [], 8 * (columns + 1)
+    for size in sizes:
+        out.append(np.frombuffer(raw, f"<u{size}", n, at).astype(np.int64))
+        at += n * size
+    return out
+
+
+def shares(count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes at which a share of about `size` occurrences begins, and the number of parts the node is cut into (a hot node is a share of its own)."""
+    before = np.cumsum(count) - count
+    parts = np.where(count >= 2 * size, -(-count // size), 1)
+    new = np.ones(len(count), bool)
+    new[1:] = (np.diff(before // size) > 0) | (parts[1:] > 1) | (parts[:-1] > 1)
+    at = np.flatnonzero(new)
+    return at, parts[at]
+
+
+class Cuts:
+    """Where the shards of a level begin: (context, word) in ascending order."""
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, contexts: int):
+        self.context, self.word, self.contexts = context, word, contexts
+        self.split = np.unique(context[word > 0])
+
+    def __len__(self) -> int:
+        return len(self.context)
+
+    def place(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The shard of each pair."""
+        at = np.searchsorted(self.context, context, "right") - 1
+        for c in self.split[np.isin(self.split, context)].tolist():
+            mine, first = np.flatnonzero(context == c), int(np.searchsorted(self.context, c))
+            last = int(np.searchsorted(self.context, c, "right"))
+            at[mine] = first + np.searchsorted(self.word[first:last], word[mine], "right") - 1
+        return at
+
+    def width(self, s: int) -> int:
+        """Contexts of a shard, from its first to its last."""
+        if s + 1 == len(self):
+            return self.contexts - int(self.context[s])
+        return int(self.context[s + 1] - self.context[s]) + int(self.word[s + 1] > 0)
+
+
 class Level:
     """Shards of one level, opened when first asked. base: a shard's first node, and the end."""
 
@@ -109,19 +188,13 @@ class Level:
             self.open[s] = (a, *(EliasFano(_part(a, p)) for p in (("key.",) if self.n == 1 else ("ptr.", "key."))))
         return self.open[s]
 
-    def split(self, sorted_nodes: np.ndarray) -> Iterator[tuple[int, slice]]:
-        cut = np.searchsorted(sorted_nodes, self.base)
-        for s in range(len(self.base) - 1):
-            if cut[s] < cut[s + 1]:
-                yield s, slice(int(cut[s]), int(cut[s + 1]))
-
     def values(self, name: str, nodes: np.ndarray) -> np.ndarray:
-        """`count`, or `logp` decoded, of nodes in ascending order."""
+        """`count`, or `mass` decoded (log10), of nodes in ascending order."""
         out = np.zeros(len(nodes))
-        for s, i in self.split(nodes):
+        for s, i in runs(np.searchsorted(self.base, nodes, "right") - 1):
             a = self.shard(s)[0]
             own = nodes[i] - self.base[s]
-            out[i] = a["codes"][a["logp"][own]] if name == "logp" else a["count"][own]
+            out[i] = a["codes"][a["mass"][own]] if name == "mass" else a["count"][own]
         return out
 
 
@@ -143,27 +216,23 @@ class Words(Level):
 
 
 class Grams(Level):
-    """Level n. Shards are equal ranges of the context, a node of level n - 1."""
+    """Level n. split: contexts that lie in several shards, and their backoff weights."""
 
-    def __init__(self, folder: str, n: int, base: np.ndarray, contexts: int):
+    def __init__(self, folder: str, n: int, base: np.ndarray, cuts: Cuts, split: tuple[np.ndarray, np.ndarray]):
         super().__init__(folder, n, base)
-        self.contexts = contexts
+        self.cuts, self.split = cuts, split
 
     def __getstate__(self):
-        return super().__getstate__() | {"contexts": self.contexts}
+        return super().__getstate__() | {"cuts": self.cuts, "split": self.split}
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(node or -1, log10 of the context's backoff weight) of pairs in ascending order."""
         node, back = np.full(len(context), -1), np.zeros(len(context))
-        shards = len(self.base) - 1
-        low = np.array([-(-s * self.contexts // shards) for s in range(shards + 1)])
-        cut = np.searchsorted(context, low)
-        for s in range(shards):
-            i = slice(int(cut[s]), int(cut[s + 1]))
-            if cut[s] == cut[s + 1] or self.base[s] == self.base[s + 1]:
+        for s, i in runs(self.cuts.place(context, word)):
+            if self.base[s] == self.base[s + 1]:
                 continue
             a, pointers, keys = self.shard(s)
-            c = context[i] - low[s]
+            c = context[i] - self.cuts.context[s]
             new = np.concatenate([[True], c[1:] != c[:-1]])
             one, which = c[new], np.cumsum(new) - 1
             ends = pointers.access(np.concatenate([one, one + 1])).astype(np.int64)
@@ -176,6 +245,9 @@ class Grams(Level):
             at = keys.find(x[ask].astype(np.uint64))
             hit = (at >= begin[which[ask]]) & (at < end[which[ask]])
             node[i][ask[hit]] = at[hit] + self.base[s]
+        if len(self.split[0]):
+            at = np.minimum(np.searchsorted(self.split[0], context), len(self.split[0]) - 1)
+            back = np.where(self.split[0][at] == context, self.split[1][at], back)
         return node, back
 
 
@@ -201,9 +273,13 @@ class Trie:
         has = np.flatnonzero(context >= 0)
         if len(has):
             c, w = context[has], np.where(word[has] >= 0, word[has], self.vocabulary)
-            pair, place = np.unique(c * (self.vocabulary + 1) + w, return_inverse=True)
-            n, b = level.find(pair // (self.vocabulary + 1), pair % (self.vocabulary + 1))
-            node[has], back[has] = n[place], b[place]
+            safe = int(c.max()) < (2**63 - 1) // (self.vocabulary + 1) - 1
+            order = np.argsort(c * (self.vocabulary + 1) + w) if safe else np.lexsort((w, c))
+            c, w = c[order], w[order]
+            new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
+            n, b = level.find(c[new], w[new])
+            place = np.cumsum(new) - 1
+            node[has[order]], back[has[order]] = n[place], b[place]
         return node, back
 
     def walk(self, word: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -220,12 +296,13 @@ class Trie:
         """Sums of a text's tokens: known ones, base score, score."""
         word, count = self.ids(h)
         base = self.base_logp(count)
-        logp = base.copy()
+        p = 10**base
         for level, (_, node, back) in zip(self.grams, self.walk(word, first), strict=True):
-            logp += back
+            p *= 10**back
             hit = np.flatnonzero(node >= 0)
             nodes, place = np.unique(node[hit], return_inverse=True)
-            logp[hit] = level.values("logp", nodes)[place]
+            p[hit] += (10 ** level.values("mass", nodes))[place]
+        logp = np.log10(np.minimum(p, 1))
         add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has its end token
         return add((word >= 0).astype(np.int64)), add(base), add(logp)
 
@@ -238,7 +315,7 @@ def _merge(parts: list) -> tuple[np.ndarray, np.ndarray]:
 def _count_words(batches) -> Iterator[pa.RecordBatch]:
     parts, size = [], 0
     for b in batches:
-        for _, _, data, off in slices(b.column(0)):
+        for _, _, data, off in slices(b.column(0), SLICE):
             parts.append(token_hashes(data, off)[0])
             size += len(parts[-1])
             if size >= COUNT_TOKENS:
@@ -250,35 +327,30 @@ def _count_words(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["h", "n"])
 
 
-def _count_grams(sent, min_count: int, batches) -> Iterator[pa.RecordBatch]:
-    """(context, word, lower node, n) of the level that comes next."""
-    trie = sent.value
+def _count_grams(sent, batches) -> Iterator[pa.RecordBatch]:
+    """(shard, data): packed steps of context, words and counts of the level that comes next, for one of its shards."""
+    trie, cuts = sent.value
     parts, size = [], 0
 
     def flush():
-        rows = np.concatenate(parts)
-        key = rows[:, 0] * (trie.vocabulary + 1) + rows[:, 1]
-        key, at, n = np.unique(key, return_index=True, return_counts=True)
-        c, w = key // (trie.vocabulary + 1), key % (trie.vocabulary + 1)
-        return pa.RecordBatch.from_arrays([pa.array(c), pa.array(w), pa.array(rows[at, 2]), pa.array(n)], ["context", "word", "lower", "n"])
+        c, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+        c, w, n = sum_pairs(c, w, np.ones(len(c), np.int64), trie.vocabulary + 1)
+        at = cuts.place(c, w)
+        rows = [(s, packed(np.diff(c[i], prepend=cuts.context[s]), w[i], n[i])) for s, i in runs(at)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "data"])
 
     for b in batches:
-        for _, _, data, off in slices(b.column(0)):
+        for _, _, data, off in slices(b.column(0), SLICE):
             h, first = token_hashes(data, off)
-            word, count = trie.ids(h)
-            node, often = word, count >= min_count
+            word, _ = trie.ids(h)
+            node = word
             for _, node, _ in trie.walk(word, first):
                 pass
             context = np.concatenate([[-1], node[:-1]])
-            if trie.grams:
-                context[first[:-1]] = -1
-                # an n-gram can only be frequent if both its (n-1)-grams are
-                ok = (context >= 0) & (node >= 0)
-            else:
-                context[first[:-1]] = trie.words.find(np.array([END]))[0]
-                ok = often & np.concatenate([[True], often[:-1] | (np.diff(np.searchsorted(first, np.arange(len(h)), "right")) > 0)])
-            parts.append(np.stack([context[ok], word[ok], node[ok]], axis=1))
-            size += len(parts[-1])
+            context[first[:-1]] = -1 if trie.grams else trie.words.find(np.array([END]))[0]
+            ok = (context >= 0) & (node >= 0)
+            parts.append((context[ok], word[ok]))
+            size += len(parts[-1][0])
             if size >= COUNT_TOKENS:
                 yield flush()
                 parts, size = [], 0
@@ -286,47 +358,82 @@ def _count_grams(sent, min_count: int, batches) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _build_words(folder: str, shards: int, f: pd.DataFrame) -> pd.DataFrame:
+MADE = "shard int, n long, node array<long>, parts array<long>, split array<long>, mass array<double>"
+
+
+def _made(shard: int, count: np.ndarray, size: int, split=(), mass=()) -> tuple:
+    """What the driver gets of a shard: the number of its nodes, where shares of the next level begin, and parts of the mass of split contexts."""
+    node, parts = shares(count.astype(np.int64), size)
+    return shard, len(count), node, parts, split, mass
+
+
+def _build_words(folder: str, shards: int, size: int, f: pd.DataFrame) -> pd.DataFrame:
     s = int(f.shard.iloc[0])
     h = f.h.to_numpy().view(np.uint64)
     order = np.argsort(h)
     width = 64 - (shards.bit_length() - 1)
     keys = encode(h[order] - np.uint64(s << width if s else 0), 1 << width)
-    save(f"{folder}/level1-{s}.bin", {f"key.{k}": a for k, a in keys.items()} | {"count": f.n.to_numpy()[order].astype(np.uint64)})
-    return pd.DataFrame({"shard": [s], "n": [len(f)]})
-
-
-def _build_grams(folder: str, shards: int, contexts: int, sent, f: pd.DataFrame) -> pd.DataFrame:
-    trie: Trie = sent.value
-    s, n = int(f.shard.iloc[0]), len(trie.grams) + 2
-    f = f.sort_values(["context", "word"])
-    low, high = (-(-x * contexts // shards) for x in (s, s + 1))
-    c, w, count = f.context.to_numpy() - low, f.word.to_numpy(), f.n.to_numpy().astype(np.float64)
-    pointers = np.searchsorted(c, np.arange(high - low + 1))
-    new = np.concatenate([[True], c[1:] != c[:-1]])
-    start = np.flatnonzero(new)
+    count = f.n.to_numpy()[order].astype(np.uint64)
+    save(f"{folder}/level1-{s}.bin", {f"key.{k}": a for k, a in keys.items()} | {"count": count})
+    return pd.DataFrame([_made(s, count, size)], columns=["shard", "n", "node", "parts", "split", "mass"])
+
+
+def _build_grams(folder: str, sent, min_count: int, size: int, batches) -> Iterator[pa.RecordBatch]:
+    """Builds the shard whose packed rows this task got."""
+    trie, cuts = sent.value
+    parts, s = [], None
+    for b in batches:
+        for shard, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            s = shard
+            step, w, n = unpacked(data.as_py(), 3)
+            parts.append((np.cumsum(step) + cuts.context[s], w, n))
+    if not parts:
+        return
+    c, w, count = sum_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)), trie.vocabulary + 1)
+    keep = count >= min_count
+    c, w, count = c[keep] - cuts.context[s], w[keep], count[keep]
+    if not len(c):
+        return
+    n, width = len(trie.grams) + 2, cuts.width(s)
+    pointers = np.searchsorted(c, np.arange(width + 1))
+    start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    each = np.diff(np.append(start, len(w)))
     lasts = w[np.append(start[1:], len(w)) - 1] + 1
-    ahead = np.concatenate([[0], np.cumsum(lasts)[:-1]])
-    keys = w + np.repeat(ahead, np.diff(np.append(start, len(w))))
+    keys = w + np.repeat(np.cumsum(lasts) - lasts, each)
     above = trie.grams[-1] if trie.grams else trie.words
-    total = above.values("count", c[start] + low)
-    each = np.repeat(total, np.diff(np.append(start, len(w))))
-    mass = (count - DISCOUNT) / each
-    back = np.maximum(1 - np.add.reduceat(mass, start), 1e-9)
-    nodes, place = np.unique(f.lower.to_numpy(), return_inverse=True)
-    shorter = trie.grams[-1].values("logp", nodes) if trie.grams else trie.base_logp(trie.words.values("count", nodes))
-    logp = np.log10(np.minimum(mass + np.repeat(back, np.diff(np.append(start, len(w)))) * 10 ** shorter[place], 1))
-    codes, code = quantise(logp)
-    weight = np.zeros(high - low)
-    weight[c[start]] = np.log10(back)
+    total = above.values("count", c[start] + cuts.context[s])
+    mass = (count - DISCOUNT) / np.repeat(total, each)
+    codes, code = quantise(np.log10(mass))
+    sums = np.add.reduceat(mass, start)
+    weight = np.zeros(width)
+    weight[c[start]] = np.log10(np.maximum(1 - sums, 1e-9))
     back_codes, back_code = quantise(weight)
     arrays = {f"ptr.{k}": a for k, a in encode(pointers, len(w) + 1).items()} | {f"key.{k}": a for k, a in encode(keys, int(keys[-1]) + 1).items()}
-    save(f"{folder}/level{n}-{s}.bin", arrays | {"codes": codes, "logp": code, "count": count.astype(np.uint32), "back_codes": back_codes, "back": back_code})
-    return pd.DataFrame({"shard": [s], "n": [len(w)]})
+    save(f"{folder}/level{n}-{s}.bin", arrays | {"codes": codes, "mass": code, "count": count.astype(np.min_scalar_type(int(count.max()))), "back_codes": back_codes, "back": back_code})
+    cut = np.flatnonzero(np.isin(c[start] + cuts.context[s], cuts.split))
+    row = _made(s, count, size, c[start][cut] + cuts.context[s], sums[cut])
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["shard", "n", "node", "parts", "split", "mass"])
+
+
+def _next_cuts(made: list, base: np.ndarray, vocabulary: int) -> Cuts:
+    context, word = [], []
+    for r in sorted(made, key=lambda r: r.shard):
+        parts = np.minimum(np.array(r.parts, np.int64), vocabulary)
+        node = np.repeat(np.array(r.node, np.int64) + base[r.shard], parts)
+        step = np.arange(len(node)) - np.repeat(np.cumsum(parts) - parts, parts)
+        context.append(node)
+        word.append(step * vocabulary // np.repeat(parts, parts))
+    return Cuts(np.concatenate(context), np.concatenate(word), int(base[-1]))
 
 
-def _builder(folder: str, shards: int, contexts: int, sent):
-    return lambda f: _build_grams(folder, shards, contexts, sent, f)
+def _split_weights(made: list) -> tuple[np.ndarray, np.ndarray]:
+    total: dict[int, float] = {}
+    for r in made:
+        for c, m in zip(r.split, r.mass, strict=True):
+            total[c] = total.get(c, 0.0) + m
+    keys = sorted(total)
+    return np.array(keys, np.int64), np.log10(np.maximum(1 - np.array([total[c] for c in keys]), 1e-9))
 
 
 def _bases(rows: list, shards: int) -> np.ndarray:
@@ -334,11 +441,11 @@ def _bases(rows: list, shards: int) -> np.ndarray:
     return np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(shards)])]).astype(np.int64)
 
 
-def fit(texts: DataFrame, order: int = ORDER, folder: str | None = None, min_count: int = MIN_COUNT) -> Trie:
+def fit(texts: DataFrame, order: int = ORDER, folder: str | None = None, min_count: int = MIN_COUNT, shard_tokens: int = SHARD_TOKENS) -> Trie:
     """A trie of all rows of texts (column text). Null texts are empty: one end token.
 
     Shards and levels are files below `folder` (the shared folder where none is named); what the
-    driver gets is one row for each shard.
+    driver gets is one row for each shard, with the shares of the next level.
     """
     spark = texts.sparkSession
     ship(spark)
@@ -349,28 +456,26 @@ def fit(texts: DataFrame, order: int = ORDER, folder: str | None = None, min_cou
     bits = max(0, (vocabulary // SHARD_ROWS).bit_length())
     shards = 1 << bits
     at = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0)
-    made = words.withColumn("shard", at.cast("int")).groupBy("shard").applyInPandas(lambda f: _build_words(folder, shards, f), "shard int, n long").collect()
+    made = words.withColumn("shard", at.cast("int")).groupBy("shard").applyInPandas(lambda f: _build_words(folder, shards, shard_tokens, f), MADE).collect()
     trie = Trie(Words(folder, 1, _bases(made, shards)), tokens, vocabulary)
-    contexts = vocabulary
+    base = trie.words.base
     for n in range(2, order + 1):
-        sent = spark.sparkContext.broadcast(trie)  # folder name and shard bounds only
-        counted = raw.mapInArrow(lambda it, s=sent: _count_grams(s, min_count, it), "context long, word long, lower long, n long")
-        kept = materialise(counted.groupBy("context", "word").agg(F.first("lower").alias("lower"), F.sum("n").alias("n")).where(F.col("n") >= min_count), f"grams{n}")
-        size = kept.count()
-        if not size:
+        if not made:
             break
-        shards = 1 + size // SHARD_ROWS
-        shard = F.expr(f"(context * {shards}L) div {contexts}L")
-        made = kept.withColumn("shard", shard.cast("int")).groupBy("shard").applyInPandas(_builder(folder, shards, contexts, sent), "shard int, n long").collect()
-        trie.grams.append(Grams(folder, n, _bases(made, shards), contexts))
-        contexts = size
+        cuts = _next_cuts(made, base, vocabulary)
+        sent = spark.sparkContext.broadcast((trie, cuts))  # folder name and shard bounds only
+        counted = raw.mapInArrow(lambda it, s=sent: _count_grams(s, it), "shard int, data binary")
+        made = counted.repartitionById(len(cuts), "shard").mapInArrow(lambda it, s=sent: _build_grams(folder, s, min_count, shard_tokens, it), MADE).collect()
+        if made:
+            base = _bases(made, len(cuts))
+            trie.grams.append(Grams(folder, n, base, cuts, _split_weights(made)))
     return trie
 
 
 def _score(sent, batches) -> Iterator[pa.RecordBatch]:
     trie = sent.value
     for b in batches:
-        for a, end, data, off in slices(b.column(1)):
+        for a, end, data, off in slices(b.column(1), SLICE):
             h, first = token_hashes(data, off)
             known, base, logp = trie.score(h, first)
             yield pa.RecordBatch.from_arrays([b.column(0).slice(a, end - a), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(logp)], ["_key", "n_tokens", "n_known", "base_score", "score"])

@@ -122,8 +122,8 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of neighbouring rows, about SLICE_BYTES each. Null is empty."""
+def slices(texts: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of neighbouring rows, about `size` bytes each. Null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -135,7 +135,7 @@ def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nda
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     a = 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + SLICE_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
         b = min(b, n)
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
