@@ -37,8 +37,8 @@ ORDER, MIN_COUNT, DISCOUNT = 2, 2, 0.75
 QUERY = {"order": 3, "min_count": 1}
 #: Words of a shard of level 1, about, and occurrences that a shard of a further level adds up, at most about twice as many.
 SHARD_ROWS, SHARD_TOKENS = 250_000, 1_000_000
-#: Tokens that a task counts before it hands their n-grams on, and bytes of text that are looked up at once.
-COUNT_TOKENS, SLICE = 2_000_000, 2 << 20
+#: Tokens that a task counts before it hands their n-grams on, and tokens that are looked up at once.
+COUNT_TOKENS, BLOCK_TOKENS = 2_000_000, 1_500_000
 #: Hash that stands for the end of a text (a word never has it but by chance in 2^64).
 END = np.uint64(0x5851F42D4C957F2D)
 _SPACE = byte_class("space")
@@ -54,6 +54,26 @@ def token_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, first
 
 
+def token_blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, hashes, where each text begins and the end) of neighbouring rows, about BLOCK_TOKENS each."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    begin = size = end = 0
+
+    def block():
+        shift = np.cumsum([0, *(len(h) for h, _ in parts)])
+        first = np.concatenate([*(f[:-1] + x for (_, f), x in zip(parts, shift, strict=False)), shift[-1:]])
+        return begin, end, np.concatenate([h for h, _ in parts]), first
+
+    for _, end, data, off in slices(texts):  # noqa: B007
+        parts.append(token_hashes(data, off))
+        size += len(parts[-1][0])
+        if size >= BLOCK_TOKENS:
+            yield block()
+            parts, begin, size = [], end, 0
+    if parts:
+        yield block()
+
+
 def local_path(at: str) -> str:
     """Levels are memory-mapped, so their folder must be mounted on every machine."""
     url = urlparse(at)
@@ -185,7 +205,8 @@ class Level:
     def shard(self, s: int):
         if s not in self.open:
             a = load(f"{self.folder}/level{self.n}-{s}.bin")
-            self.open[s] = (a, *(EliasFano(_part(a, p)) for p in (("key.",) if self.n == 1 else ("ptr.", "key."))))
+            coded = [EliasFano(_part(a, p)) for p in (("key.",) if self.n == 1 else ("ptr.", "key."))]
+            self.open[s] = (a, *coded, coded[-1].last())
         return self.open[s]
 
     def values(self, name: str, nodes: np.ndarray) -> np.ndarray:
@@ -231,17 +252,16 @@ class Grams(Level):
         for s, i in runs(self.cuts.place(context, word)):
             if self.base[s] == self.base[s + 1]:
                 continue
-            a, pointers, keys = self.shard(s)
+            a, pointers, keys, last = self.shard(s)
             c = context[i] - self.cuts.context[s]
             new = np.concatenate([[True], c[1:] != c[:-1]])
             one, which = c[new], np.cumsum(new) - 1
             ends = pointers.access(np.concatenate([one, one + 1])).astype(np.int64)
             begin, end = ends[: len(one)], ends[len(one) :]
             before = np.where(begin > 0, keys.access(np.maximum(begin - 1, 0)).astype(np.int64) + 1, 0)
-            last = np.where(end > begin, keys.access(np.maximum(end - 1, 0)).astype(np.int64), -1)
             back[i] = np.where(end > begin, a["back_codes"][a["back"][one]], 0)[which]
             x = before[which] + word[i]
-            ask = np.flatnonzero(x <= last[which])
+            ask = np.flatnonzero((x <= last) & (end > begin)[which])
             at = keys.find(x[ask].astype(np.uint64))
             hit = (at >= begin[which[ask]]) & (at < end[which[ask]])
             node[i][ask[hit]] = at[hit] + self.base[s]
@@ -315,7 +335,7 @@ def _merge(parts: list) -> tuple[np.ndarray, np.ndarray]:
 def _count_words(batches) -> Iterator[pa.RecordBatch]:
     parts, size = [], 0
     for b in batches:
-        for _, _, data, off in slices(b.column(0), SLICE):
+        for _, _, data, off in slices(b.column(0)):
             parts.append(token_hashes(data, off)[0])
             size += len(parts[-1])
             if size >= COUNT_TOKENS:
@@ -340,8 +360,7 @@ def _count_grams(sent, batches) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "data"])
 
     for b in batches:
-        for _, _, data, off in slices(b.column(0), SLICE):
-            h, first = token_hashes(data, off)
+        for _, _, h, first in token_blocks(b.column(0)):
             word, _ = trie.ids(h)
             node = word
             for _, node, _ in trie.walk(word, first):
@@ -475,8 +494,7 @@ def fit(texts: DataFrame, order: int = ORDER, folder: str | None = None, min_cou
 def _score(sent, batches) -> Iterator[pa.RecordBatch]:
     trie = sent.value
     for b in batches:
-        for a, end, data, off in slices(b.column(1), SLICE):
-            h, first = token_hashes(data, off)
+        for a, end, h, first in token_blocks(b.column(1)):
             known, base, logp = trie.score(h, first)
             yield pa.RecordBatch.from_arrays([b.column(0).slice(a, end - a), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(logp)], ["_key", "n_tokens", "n_known", "base_score", "score"])
 
