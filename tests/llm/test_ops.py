@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import automaton, components, decontam, eliasfano, fingerprints, jaccard, linededup, mixing, ngram_lm, packing, sharding, simhash, substring, textops, toxicity
+from tidemark.llm import automaton, bloom, components, decontam, eliasfano, fingerprints, jaccard, linededup, mixing, ngram_lm, packing, sharding, simhash, substring, textops, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -153,9 +153,9 @@ def test_automaton_knows_the_first_document_of_each_window(docs, width):
     assert auto.least_of_windows(["z"] * width, width) == [None]
 
 
-@pytest.mark.parametrize(("bits", "hot"), [(substring.MAX_BITS, None), (0, None), (substring.MAX_BITS, 4), (substring.MAX_BITS, 0), (0, 4)])
+@pytest.mark.parametrize(("bits", "hot"), [(bloom.MAX_BITS, None), (0, None), (bloom.MAX_BITS, 4), (bloom.MAX_BITS, 0), (0, 4)])
 def test_substrings_against_brute_force(spark, monkeypatch, bits, hot):
-    monkeypatch.setattr(substring, "MAX_BITS", bits)  # 0: the shuffled join instead of the filter
+    monkeypatch.setattr(bloom, "MAX_BITS", bits)  # 0: the shuffled join instead of the filter
     r = np.random.default_rng(3)
     parts = [[f"w{x}" for x in r.integers(0, 50, 20)] for _ in range(6)]
     docs = [(i, sum((parts[r.integers(6)][r.integers(0, 5) : r.integers(12, 20)] if r.random() < 0.6 else [f"u{x}" for x in r.integers(0, 9, 7)] for _ in range(r.integers(1, 6))), [])) for i in range(60)]

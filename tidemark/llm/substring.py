@@ -8,7 +8,7 @@ for each bounded shard.
 1. Anchors: of each window's K-word hashes the least is its anchor, so equal windows have equal
    anchors and neighbouring windows mostly share one. An aggregation finds anchors of two documents.
 2. Passages: stretches of windows with one such anchor leave with their words. The list of anchors is
-   sent as a Bloom filter of at most MAX_BITS bits; beyond that a shuffled semi join takes its place.
+   sent as a Bloom filter of bounded size; beyond that a shuffled semi join takes its place.
    A task folds equal passages before they are dealt out, so a hot passage is a row for each task.
    An anchor of more than HOT stretches may have any number of wordings: its windows leave one by one
    and are dealt out by their own hash, so that no task gathers them.
@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.automaton import SuffixAutomaton
+from tidemark.llm.bloom import EVERYTHING, bloom_of
 from tidemark.llm.runtime import doc_key, materialise, read_table, ship
 from tidemark.llm.textops import byte_class, ngrams, slices, sliding_min, split_words
 
 WINDOW, K = 13, 6
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 #: A shard's automaton is closed at the end of the anchor that takes it past this many words.
 SHARD_WORDS = 50_000
 #: Stretches of an anchor from which its windows are dealt out one by one.
@@ -68,44 +68,6 @@ def _anchors(width: int, k: int, batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[a + w.doc[begin]])], ["anchor", "k"])
 
 
-class Bloom:
-    """Two bits for an anchor, of which all bits are already random."""
-
-    def __init__(self, bits: int, table: np.ndarray):
-        self.bits, self.table = bits, table
-
-    def has(self, x: np.ndarray) -> np.ndarray:
-        x = x.view(np.uint64)
-        ok = np.ones(len(x), bool)
-        for shift in (0, 31):
-            at = ((x >> np.uint64(shift)) & np.uint64(self.bits - 1)).astype(np.int64)
-            ok &= (self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-        return ok
-
-
-NOTHING, EVERYTHING = Bloom(8, np.zeros(1, np.uint8)), Bloom(8, np.full(1, 255, np.uint8))
-
-
-def bloom_of(anchors: DataFrame, n: int) -> Bloom | None:
-    """None where the list is too long for MAX_BITS."""
-    if not n:
-        return NOTHING
-    if n * 4 > MAX_BITS:
-        return None
-    bits = MIN_BITS
-    while bits < 10 * n and bits < MAX_BITS:
-        bits *= 2
-    at = F.explode(F.array(*[F.shiftrightunsigned("anchor", s).bitwiseAND(F.lit(bits - 1)) + 1 for s in (0, 31)]))
-    spots = anchors.select(at.alias("p"))
-    rows = spots.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-    table = np.zeros(bits // 8, np.uint8)
-    for r in rows.toLocalIterator():
-        part = np.frombuffer(r.m, np.uint8)
-        base = (r.b - 1) * 4096
-        table[base : base + len(part)] |= part[: len(table) - base]
-    return Bloom(bits, table)
-
-
 def _signed(h: int) -> int:
     """As Spark's long."""
     return h - (1 << 64) if h >> 63 else h
@@ -225,7 +187,7 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, k: int = K, hot: int
     shared = at.groupBy("anchor").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     shared = materialise(shared.select("anchor", (F.col("n") > (HOT if hot is None else hot)).alias("hot")), "anchors")
     n, n_hot = shared.agg(F.count(F.lit(1)), F.count_if("hot")).first()
-    known, often = bloom_of(shared.select("anchor"), n), bloom_of(shared.where("hot").select("anchor"), n_hot)
+    known, often = bloom_of(shared, "anchor", n), bloom_of(shared.where("hot"), "anchor", n_hot)
     sent = spark.sparkContext.broadcast((known or EVERYTHING, often or EVERYTHING))
     found = docs.select("k", "text").mapInArrow(lambda it: _passages(width, k, sent, it), "anchor long, key long, body binary, lo long, hi long")
     each = docs.select("k", "tie", "text").mapInArrow(lambda it: _occurrences(width, k, sent, it), "anchor long, key long, h long, k long, tie long, at int")
