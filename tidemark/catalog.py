@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import ingest_catalog
 from tidemark.functions import text
-from tidemark.functions.predicates import DASHBOARD, EXCEPTIONS, Fields, Filter, is_event
+from tidemark.functions.predicates import DASHBOARD, EXCEPTIONS, Fields, Filter, is_event, visitor_flag, where
 from tidemark.operators import details, metrics
+from tidemark.plans.dashboard import dashboard
 from tidemark.schema import DAY_MS
 from tidemark.sources import adapter, scan
 
-#: The window asked about: ten days, with ten days before it.
-START = 1_704_844_800_000
-END = START + 10 * DAY_MS
-PREV = START - 10 * DAY_MS
+#: The window asked about holds the whole events table; its halves are compared, and ten days of it show pruning.
+START = 1_704_067_200_000
+END = START + 30 * DAY_MS
+HALF = START + 15 * DAY_MS
+PART = (START + 9 * DAY_MS, START + 19 * DAY_MS)
 _IN = f"received_ms >= {START} AND received_ms < {END}"
 _EV = "kind IN ('pixel', 'custom')"
 _QUERIES: dict[str, Callable] = {}
@@ -50,12 +53,13 @@ def _summary_sql(rows: str, flag: str = "is_unique_user") -> str:
 
 
 _add("summary", lambda s, d: metrics.summary(adapter.facts(s, d)), _summary_sql("true"))
-_add("summary_window", lambda s, d: metrics.summary(_facts(s, d)), _summary_sql(_IN))
-_add("summary_previous", lambda s, d: metrics.summary(_facts(s, d, PREV, START)), _summary_sql(f"received_ms >= {PREV} AND received_ms < {START}"))
-_add("summary_path_flag", lambda s, d: metrics.summary(_facts(s, d).where(Fields(DASHBOARD).eq("path", "/P3").column), "is_unique_page"), _summary_sql(f"{_IN} AND lower(pathname) = '/p3'", "is_unique_page"))
+_add("summary_window", lambda s, d: metrics.summary(_facts(s, d, *PART)), _summary_sql(f"received_ms >= {PART[0]} AND received_ms < {PART[1]}"))
+_add("summary_previous", lambda s, d: metrics.summary(_facts(s, d, START, HALF)), _summary_sql(f"received_ms >= {START} AND received_ms < {HALF}"))
+_path = lambda: Fields(DASHBOARD).eq("path", "/P3")
+_add("summary_path_flag", lambda s, d: metrics.summary(where(_facts(s, d), _path()), visitor_flag(_path())), _summary_sql(f"{_IN} AND lower(pathname) = '/p3'", "is_unique_page"))
 
 
-def _series_sql(bucket: int, shift: int = 0) -> str:
+def _series_sql(bucket: int, shift: int = 0, START: int = START) -> str:
     first, last = START - START % bucket, (END - 1) - (END - 1) % bucket
     cols = [("pageviews", _cnt("kind = 'page_load'")), ("visitors", _cnt("kind = 'page_load' AND is_unique_user")), ("events", _cnt(_EV)), ("exceptions", _cnt("kind = 'exception'"))]
     rows = f"SELECT (received_ms + {shift}) - (received_ms + {shift}) % {bucket} AS ts, {_n(*cols)} FROM f WHERE received_ms + {shift} >= {START} AND received_ms + {shift} < {END} GROUP BY 1"
@@ -65,7 +69,7 @@ def _series_sql(bucket: int, shift: int = 0) -> str:
 
 for _name, _bucket in (("hour", 3_600_000), ("day", DAY_MS), ("week", 7 * DAY_MS)):
     _add(f"timeseries_{_name}", lambda s, d, b=_bucket: metrics.series(_facts(s, d), START, END, b), _series_sql(_bucket))
-_add("timeseries_previous", lambda s, d: metrics.previous_series(_facts(s, d, PREV, END), START, END, DAY_MS), _series_sql(DAY_MS, 10 * DAY_MS))
+_add("timeseries_previous", lambda s, d: metrics.previous_series(_facts(s, d), HALF, END, DAY_MS), _series_sql(DAY_MS, END - HALF, HALF))
 
 
 def _break_sql(column: str, flag: str) -> str:
@@ -123,12 +127,12 @@ _add(
 
 
 def _delta(s, d) -> DataFrame:
-    now, before = metrics.summary(_facts(s, d)), metrics.summary(_facts(s, d, PREV, START))
+    now, before = metrics.summary(_facts(s, d, HALF, END)), metrics.summary(_facts(s, d, START, HALF))
     pair = now.select("pageviews", "events").crossJoin(before.select(F.col("pageviews").alias("p0"), F.col("events").alias("e0")))  # one row each
     return pair.select(text.delta_percent("pageviews", "p0").alias("pageviews_delta"), text.delta_percent("events", "e0").alias("events_delta"))
 
 
-_win = lambda c: (f"count(*) FILTER (WHERE {_IN} AND {c})", f"count(*) FILTER (WHERE received_ms >= {PREV} AND received_ms < {START} AND {c})")
+_win = lambda c: (f"count(*) FILTER (WHERE received_ms >= {HALF} AND received_ms < {END} AND {c})", f"count(*) FILTER (WHERE received_ms >= {START} AND received_ms < {HALF} AND {c})")
 _dsql = lambda c: f"CASE WHEN {_win(c)[1]} > 0 THEN ({_win(c)[0]} - {_win(c)[1]}) / CAST({_win(c)[1]} AS DOUBLE) * 100 END"
 _add("delta_percent", _delta, f"SELECT {_dsql("kind = 'page_load'")} AS pageviews_delta, {_dsql(_EV)} AS events_delta FROM f")
 
@@ -147,7 +151,7 @@ def _inbox(s, d) -> DataFrame:
     return details.inbox(_groups(s, d), adapter.sources(s), adapter.projects(s), adapter.triage(s))
 
 
-_INBOX = f"(SELECT g.*, s.project_id, p.name AS project, t.resolved_ms, t.muted_ms, CASE WHEN t.muted_ms IS NOT NULL THEN 'ignored' WHEN g.last_ms <= t.resolved_ms THEN 'resolved' ELSE 'unresolved' END AS status FROM {_GROUPS} g LEFT JOIN sources s ON g.source = s.uri LEFT JOIN projects p ON p.id = s.project_id LEFT JOIN triage t ON t.project_id = s.project_id AND t.source = g.source)"
+_INBOX = f"(SELECT g.*, s.project_id, p.name AS project, t.resolved_ms, t.muted_ms, CASE WHEN t.muted_ms IS NOT NULL THEN 'ignored' WHEN g.last_ms <= t.resolved_ms THEN 'resolved' ELSE 'unresolved' END AS status FROM {_GROUPS} g LEFT JOIN sources s ON g.source = s.uri LEFT JOIN projects p ON p.id = s.project_id LEFT JOIN triage t ON t.project_id = s.project_id AND t.group_id = g.exc_group AND t.source = g.source)"
 _add("exception_groups", _groups, f"SELECT * FROM {_GROUPS}")
 _add("triage_status", _inbox, f"SELECT * FROM {_INBOX}")
 _add("inbox_status_counts", lambda s, d: _inbox(s, d).groupBy("status").agg(F.count(F.lit(1)).alias("n")), f"SELECT status, {_n(('n', 'count(*)'))} FROM {_INBOX} GROUP BY 1")
@@ -269,6 +273,8 @@ _FILTERS: dict[str, tuple[Callable[[], Filter], str]] = {
     "like": (lambda: _d.like("referrer", "*.ORG"), "lower(referrer_host) LIKE '%.org'"),
     "like_cs": (lambda: _d.like("path", "/p?", case=True), "pathname LIKE '/p_'"),
     "matches": (lambda: _d.matches("path", "p1[01]?$"), "regexp_matches(pathname, 'p1[01]?$')"),
+    "matches_named": (lambda: _d.matches("path", r"(?P<page>[[:alpha:]])(?P<number>1\d)$"), r"regexp_matches(pathname, '(?P<page>[[:alpha:]])(?P<number>1\d)$')"),
+    "matches_letters": (lambda: _d.matches("browser", r"^\p{Lu}\p{Ll}+x$"), r"regexp_matches(ua_browser, '^\p{Lu}\p{Ll}+x$')"),
     "and_or": (lambda: _d.eq("browser", "Chrome") & (_d.eq("os", "Linux") | _d.eq("country", "US")), "lower(ua_browser) = 'chrome' AND (lower(ua_os) = 'linux' OR lower(country) = 'us')"),
     "project": (lambda: _d.eq("project", "ALPHA"), "source IN ('https://site0.example.com', 'https://site1.example.com', 'pixel://px0')"),
     "project_id": (lambda: _d.eq("project", "p0"), "source IN ('https://site0.example.com')"),
@@ -284,13 +290,11 @@ for _name, (_f, _where) in _FILTERS.items():
     _add(f"filter_{_name}", lambda s, d, f=_f: _facts(s, d).where(f().column).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs")), f"SELECT kind, {_n(('n', 'count(*)'), ('seqs', 'sum(seq)'))} FROM f WHERE {_IN} AND ({_where}) GROUP BY kind")
 
 # scans
-_half = START + 5 * DAY_MS
 _add(
     "dedup_union",
-    lambda s, d: metrics.summary(scan.combined(adapter.facts(s, d).where(F.col("received_ms") < _half), adapter.facts(s, d).where(F.col("received_ms") >= _half - DAY_MS), START, END)),
+    lambda s, d: metrics.summary(scan.combined(adapter.facts(s, d).where(F.col("received_ms") < HALF), adapter.facts(s, d).where(F.col("received_ms") >= HALF - DAY_MS), START, END, (HALF - DAY_MS, HALF))),
     _summary_sql(_IN),
 )
-_add("earliest_event", lambda s, d: adapter.facts(s, d).agg(F.min("received_ms").alias("earliest_ms")), "SELECT min(received_ms) AS earliest_ms FROM f")
 _add(
     "new_sources",
     lambda s, d: scan.new_sources(adapter.facts(s, d), adapter.sources(s).where("uri LIKE 'https%'"), 10_000),
@@ -307,11 +311,10 @@ _pages = lambda s, d: s.read.parquet(f"{d}/pages.parquet")
 _talk = lambda s, d: s.read.parquet(f"{d}/conversations.parquet")
 _add("summary_line", lambda s, d: _talk(s, d).select("conv_id", "turn", text.summary_line("text").alias("line")), "SELECT conv_id, turn, coalesce(list_filter(list_transform(string_split_regex(text, '\\r?\\n'), lambda v: trim(v, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda v: v <> '')[1], '') AS line FROM conversations", "")
 _add("normalize_path", lambda s, d: _pages(s, d).select("page_id", text.normalize_path(F.regexp_extract("url", "^https?://[^/?#]*([^?#]*)", 1)).alias("path")), "SELECT page_id, CASE WHEN p = '' THEN '/' ELSE p END AS path FROM (SELECT page_id, regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') AS p FROM pages)", "")
-_add("slugify", lambda s, d: _docs(s, d).select("doc_id", text.slugify(F.substring("source", 1, 50)).alias("slug"), text.slugify(F.concat_ws(" / ", "lang", "source")).alias("both")), "SELECT doc_id, source AS slug, lang || '-' || source AS both FROM documents", "")
+_add("slugify", lambda s, d: _docs(s, d).select("doc_id", text.slugify("source").alias("slug"), text.slugify("text").alias("both")), "SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'project') AS slug, coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'project') AS both FROM documents", "")
 _add("primary_language", lambda s, d: _docs(s, d).select("doc_id", text.primary_language(F.concat("lang", F.lit("-XX,en;q=0.5"))).alias("language")), "SELECT doc_id, lang AS language FROM documents", "")
 _add("utm_extract", lambda s, d: _pages(s, d).select("page_id", text.utm(F.concat("url", F.when(F.locate("?", F.col("url")) > 0, "&").otherwise("?"), F.lit("utm_source=a&utm_source=+b%20"), "page_id"), "utm_source").alias("utm_source")), "SELECT page_id, 'b ' || page_id AS utm_source FROM pages WHERE url NOT LIKE '%#%' UNION ALL SELECT page_id, NULL FROM pages WHERE url LIKE '%#%'", "")
 _add("strip_urls", lambda s, d: _pages(s, d).select("page_id", text.strip_urls(F.concat(F.lit("at ("), "url", F.lit(") end"))).alias("t")), "SELECT page_id, regexp_replace('at (' || url || ') end', '[A-Za-z]+://[^ \\t\\n\\r)\\]}>\"''`,;]*', '', 'g') AS t FROM pages", "")
-_add("strip_digits", lambda s, d: _docs(s, d).select("doc_id", F.length(text.collapse(text.strip_digits(F.lower("text")))).cast("long").alias("n")), None, "")
 
 
 def _masked(s, d) -> DataFrame:
@@ -328,6 +331,42 @@ _add("version_label", lambda s, d: adapter.facts(s, d).select("seq", text.versio
 _add("metadata_split", lambda s, d: adapter.facts(s, d).where("metadata_json IS NOT NULL").select("seq", F.size(text.metadata_part("metadata_json", True)).cast("long").alias("tags"), F.size(text.metadata_part("metadata_json", False)).cast("long").alias("context")), f"SELECT seq, {_n(('tags', '1'), ('context', '0'))} FROM f WHERE metadata_json IS NOT NULL")
 
 
+def _dashboard(s, d) -> DataFrame:
+    """Every panel as rows (panel, key, a, b, c)."""
+    p = dashboard(adapter.facts(s, d), HALF, END, DAY_MS, adapter.sources(s), adapter.projects(s), shared=False)
+    row = lambda name, key, a, b, c: p[name].select(F.lit(name).alias("panel"), F.expr(key).cast("string").alias("key"), *[F.expr(x).cast("long").alias(n) for n, x in zip("abc", (a, b, c), strict=True)])
+    parts = [row(n, "''", "pageviews", "visitors", "events") for n in ("summary", "previous")] + [row(n, "ts", "pageviews", "visitors", "events") for n in ("series", "previous_series")]
+    parts += [row("breakdowns", "dimension || '=' || key", "pageviews", "visitors", "0"), row("versions", "browser || '/' || version", "pageviews", "visitors", "0"), row("events", "key", "0", "0", "n")]
+    parts += [row(n, k, "pageviews", "visitors", "events") for n, k in (("sources", "source"), ("projects", "id"), ("unassigned", "source"))] + [row("traces", "sid", "started_ms", "pageviews", "events")]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+_NOW = f"received_ms >= {HALF} AND received_ms < {END}"
+_half = lambda sql: sql.replace(_IN, _NOW)
+_rolled = _half(_ROLL)
+_panel = lambda name, key, a, b, c, rows: f"SELECT '{name}' AS panel, CAST({key} AS VARCHAR) AS key, CAST({a} AS BIGINT) AS a, CAST({b} AS BIGINT) AS b, CAST({c} AS BIGINT) AS c FROM ({rows})"
+_three = ("pageviews", "visitors", "events")
+_add(
+    "dashboard",
+    _dashboard,
+    " UNION ALL ".join([
+        _panel("summary", "''", *_three, _summary_sql(_NOW)), _panel("previous", "''", *_three, _summary_sql(f"received_ms >= {START} AND received_ms < {HALF}")),
+        _panel("series", "ts", *_three, _series_sql(DAY_MS, 0, HALF)), _panel("previous_series", "ts", *_three, _series_sql(DAY_MS, END - HALF, HALF)),
+        *[_panel("breakdowns", f"'{n}=' || key", "pageviews", "visitors", "0", _half(_break_sql(c, "is_unique_page" if n == "pages" else "is_unique_user"))) for n, c in metrics.BREAKDOWNS.items()],
+        _panel("versions", "browser || '/' || version", "pageviews", "visitors", "0", _half(f"SELECT coalesce(ua_browser, '') AS browser, coalesce(ua_version, '') AS version, {_n(('pageviews', 'count(*)'), ('visitors', _cnt('is_unique_user')))} FROM f WHERE {_IN} AND kind = 'page_load' GROUP BY 1, 2 ORDER BY pageviews DESC, 1, 2 LIMIT 25")),
+        _panel("events", "key", "0", "0", "n", _half(_count_sql("event_name", f"{_IN} AND {_EV}"))), _panel("sources", "source", *_three, f"SELECT * FROM {_rolled} ORDER BY pageviews + events DESC, source LIMIT 25"),
+        _panel("projects", "id", *_three, f"SELECT p.id, {', '.join(f'coalesce(sum(r.{c}), 0) AS {c}' for c in _three)} FROM projects p LEFT JOIN sources s ON s.project_id = p.id LEFT JOIN {_rolled} r ON r.source = s.uri GROUP BY 1"),
+        _panel("unassigned", "source", *_three, f"SELECT r.* FROM {_rolled} r LEFT JOIN sources s ON r.source = s.uri WHERE s.project_id IS NULL"),
+        _panel("traces", "sid", "started_ms", "pageviews", "events", _half(f"{_TRACE} GROUP BY sid ORDER BY started_ms DESC, sid LIMIT 10")),
+    ]),
+)
+_QUERIES.update(ingest_catalog.queries())
+_SQL.update(ingest_catalog.oracle_sql())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -1,27 +1,46 @@
-"""User-agent classification and URL parts, in Arrow batches (ingest only)."""
+"""User-agent classes and URL parts, in Arrow batches (ingest only)."""
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
-from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: (name in the text, label, version pattern) of common browsers; the first that is found counts. Accuracy beyond these is open.
-BROWSERS = [("Edg", "Edge"), ("OPR", "Opera"), ("SamsungBrowser", "Samsung Browser"), ("Firefox", "Firefox"), ("FxiOS", "Firefox"), ("CriOS", "Chrome"), ("Chrome", "Chrome"), ("Version", "Safari")]
-#: Words of compatibility that name no product.
+from tidemark.functions.urls import host_and_path
+
+#: Words of compatibility that name no product (fixed values).
 STRUCTURAL = {"mozilla", "compatible", "applewebkit", "khtml", "gecko", "like"}
-#: Words that give away a system, in the order of search.
+#: Words that give away a system, in the order of search (fixed values).
 SYSTEMS = [("iOS", "iphone|ipad|ipod|ios|cfnetwork"), ("Android", "android"), ("Windows", "windows"), ("macOS", "macos|macintosh|darwin|mac os x"), ("ChromeOS", "cros"), ("Linux", "linux|ubuntu|debian|fedora")]
-_VERSION = re.compile(r"(?:(?<![A-Za-z0-9.])|(?<=(?<![A-Za-z0-9])[vV]))\d+(?:\.\d+)+(?![A-Za-z0-9])")
+#: Families of system labels by how they begin (fixed values).
+FAMILIES = [("Windows", "windows"), ("iOS", "iphone|ipad|ipod|ios"), ("macOS", "mac os|macos"), ("Android", "android"), ("ChromeOS", "chromeos"), ("Linux", "linux")]
+#: Browsers by what their user agents hold; the first that is found counts, its group is the version.
+BROWSERS = [
+    ("Internet Explorer", r"\bMSIE ([0-9.]+)"), ("Internet Explorer", r"\bTrident/.*\brv:([0-9.]+)"), ("Edge", r"\b(?:Edg|EdgA|EdgiOS|Edge)/([0-9.]+)"),
+    ("Opera", r"\b(?:OPR|OPiOS|OPT|OPX)/([0-9.]+)"), ("Opera", r"^Opera/.*\bVersion/([0-9.]+)"), ("Opera", r"\bOpera(?: Mini| Mobi)?[/ ]([0-9.]+)"),
+    ("Vivaldi", r"\bVivaldi/([0-9.]+)"), ("Yandex Browser", r"\bYaBrowser/([0-9.]+)"), ("SamsungBrowser", r"\bSamsungBrowser/([0-9.]+)"), ("UC Browser", r"\bUC ?Browser/([0-9.]+)"),
+    ("Firefox", r"\b(?:Firefox|FxiOS|Focus)/([0-9.]+)"), ("GSA", r"\bGSA/([0-9.]+)"), ("Chrome", r"\b(?:Chrome|CriOS|Chromium|HeadlessChrome)/([0-9.]+)"),
+    ("Safari", r"\bVersion/([0-9.]+).*\bSafari/"), ("Safari", r"\bSafari/([0-9.]+)"), ("Webview", r"\b(?:iPhone|iPad|iPod)\b.*\bMobile/()"),
+]
+#: Crawlers whose names say neither bot, crawler nor spider.
+CRAWLERS = (
+    "slurp|facebookexternalhit|facebookcatalog|mediapartners-google|feedfetcher-google|google-read-aloud|googleimageproxy|google-inspectiontool|apis-google|google favicon|bingpreview|ia_archiver|heritrix|nutch|"
+    "yeti/|daum|ichiro|y!j-|embedly|quora link preview|outbrain|chrome-lighthouse|pingdom|uptimerobot|statuscake|phantomjs|archive\\.org|scrapy|zgrab|masscan|nessus|nikto|w3c_validator|skypeuripreview|vkshare|bitlybot|flipboardproxy|tumblr/"
+)
+_CRAWLER = re.compile(CRAWLERS, re.I)
+_BOTTISH = re.compile(r"bot|crawler|spider", re.I)
+#: Telephones by these names are no bots.
+_NOT_BOTS = re.compile(r"cubot", re.I)
+_VERSION = re.compile(r"(?:(?<![A-Za-z0-9.])|(?<=(?<![A-Za-z0-9])[vV]))\d++(?:\.\d++)++(?![A-Za-z0-9])")
 _COMMENT = re.compile(r"\([^()]*\)")
+_MOBILE = re.compile(r"\bMobile\b|Windows Phone|IEMobile|Opera M(?:ini|obi)|BlackBerry|BB10|KAIOS", re.I)
 
 
 def find_version(text: str) -> str | None:
+    """The first number of two or more dotted parts that stands by itself; one v before it is allowed."""
     m = _VERSION.search(text)
     return m[0] if m else None
 
@@ -30,19 +49,38 @@ def without_comments(agent: str) -> str:
     """The text outside parentheses."""
     while (shorter := _COMMENT.sub("", agent)) != agent:
         agent = shorter
-    return re.sub(r"\([^)]*$", "", agent).replace(")", "")
+    return re.sub(r"\(.*$", "", agent, flags=re.S).replace(")", "")
+
+
+def has_word(text: str, words: str) -> bool:
+    """Whether one of the words (joined by |) stands between characters that are no letters or digits."""
+    return re.search(rf"(?<![a-z0-9])(?:{words})(?![a-z0-9])", text) is not None
+
+
+def is_bot_name(name: str) -> bool:
+    return _BOTTISH.search(name) is not None
 
 
 def sniff_os(agent: str) -> str | None:
     low = agent.lower()
-    return next((name for name, words in SYSTEMS if re.search(rf"(?<![a-z0-9])(?:{words})(?![a-z0-9])", low)), None)
+    return next((name for name, words in SYSTEMS if has_word(low, words) or (name == "macOS" and "mac os x" in low)), None)
+
+
+def normal_os(label: str | None) -> str | None:
+    """The family of a system's label; others as they are, UNKNOWN and empty ones none."""
+    if not label or label.upper() == "UNKNOWN":
+        return None
+    return next((name for name, words in FAMILIES if re.match(words, label.lower())), label)
 
 
 def product(agent: str) -> tuple[str | None, str | None]:
-    """First product token and its version."""
-    outside = without_comments(re.sub(r"\S*\([^()]*\)\S*", " ", agent))
-    for token in outside.split():
-        if "://" in token:
+    """First product outside comments and its version, or else the first version outside comments."""
+    depth = 0
+    for token in agent.split():
+        skipped = depth > 0 or "(" in token
+        if skipped:
+            depth = max(0, depth + token.count("(") - token.count(")"))
+        if skipped or "://" in token:
             continue
         name, _, version = token.partition("/")
         name = re.sub(r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "", name)
@@ -58,17 +96,18 @@ def classify(agent: str) -> tuple[str | None, str | None, str | None, str]:
     if not agent:
         return None, None, None, "Bot"
     system = sniff_os(agent)
-    bot = re.search(r"bot|crawler|spider", agent, re.I)
-    if agent.startswith("Mozilla/") and not bot:
-        for mark, label in BROWSERS:
-            m = re.search(rf"\b{mark}[a-zA-Z]*/([0-9.]+)", agent)
-            if m and (label != "Safari" or "Safari/" in agent):
-                mobile = system in ("iOS", "Android") and "iPad" not in agent
-                return label, m[1], system, "Mobile" if mobile else "Desktop"
+    browser = agent.startswith(("Mozilla/", "Opera/"))
+    crawler = _CRAWLER.search(agent)
+    if crawler or (browser and is_bot_name(_NOT_BOTS.sub("", agent))):
+        return (crawler[0].strip("/") if crawler else product(agent)[0]), None, system, "Bot"
+    if browser:
+        for label, mark in BROWSERS:
+            if m := re.search(mark, agent):
+                mobile = system in ("iOS", "Android") or _MOBILE.search(agent)
+                return label, m[1].strip(".") or None, system, "Mobile" if mobile else "Desktop"
     app, version = product(agent)
-    named_bot = app and re.search(r"bot|crawler|spider", app, re.I)
-    kind = "Bot" if named_bot or (bot and agent.startswith("Mozilla/")) or (app is None and system is None) else "App"
-    return app, version, system, kind
+    nobody = is_bot_name(app) if app else system is None
+    return app, version, system, "Bot" if nobody else "App"
 
 
 def ua_classes(agents: str) -> Column:
@@ -78,24 +117,27 @@ def ua_classes(agents: str) -> Column:
     return F.pandas_udf(made, "struct<app:string,version:string,os:string,kind:string>")(agents)
 
 
-def url_parts(url: str | None) -> tuple[str | None, str | None]:
-    """(host without www., path) of an absolute URL; nulls where it has no host."""
-    try:
-        parts = urlsplit((url or "").strip())
-        host = parts.hostname if parts.scheme in ("http", "https") else None
-    except ValueError:
-        host = None
-    if not host:
-        return None, None
-    while host.startswith("www."):
-        host = host[4:]
-    return host.lower(), parts.path.replace(" ", "%20") or "/"
+def ua_parts(agents: str) -> Column:
+    """The steps of the fallback by themselves: product, its version, system, text outside comments, first version in it, whether it names a bot."""
+
+    def made(agents: pd.Series) -> pd.DataFrame:
+        rows = [(*product(a), sniff_os(a), without_comments(a), find_version(a), is_bot_name(a)) for a in agents.fillna("")]
+        return pd.DataFrame(rows, columns=["product", "version", "os", "outside", "number", "bot"])
+
+    return F.pandas_udf(made, "struct<product:string,version:string,os:string,outside:string,number:string,bot:boolean>")(agents)
+
+
+def os_family(labels: str) -> Column:
+    """normal_os as a built-in expression."""
+    c = F.col(labels)
+    out = F.when(F.upper(c).isin("UNKNOWN", "") | c.isNull(), F.lit(None))
+    for name, words in FAMILIES:
+        out = out.when(F.lower(c).rlike(f"^(?:{words})"), name)
+    return out.otherwise(c)
 
 
 def url_fields(urls: str) -> Column:
     def made(urls: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([url_parts(u) for u in urls], columns=["host", "path"])
+        return pd.DataFrame([host_and_path(u) for u in urls], columns=["host", "path"])
 
     return F.pandas_udf(made, "struct<host:string,path:string>")(urls)
-
-

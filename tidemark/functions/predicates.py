@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DASHBOARD = {
@@ -22,6 +23,38 @@ EXCEPTIONS = {
 }
 
 
+_PARTS = re.compile(r"\\.|\[\^?\]?(?:\\.|\[:\^?\w+:\]|[^\]\\])*\]|\(\?(?:P?<\w+>|<?[=!]|>|[A-Za-z]+[-:)]?)|.", re.S)
+_POSIX = re.compile(r"\[:(\^?)(\w+):\]")
+_CLASSES = {"alnum": "Alnum", "alpha": "Alpha", "digit": "Digit", "lower": "Lower", "upper": "Upper", "punct": "Punct", "space": "Space", "xdigit": "XDigit", "blank": "Blank", "cntrl": "Cntrl", "graph": "Graph", "print": "Print"}
+
+
+def java_pattern(pattern: str) -> str:
+    """A pattern of the service's dialect (linear time, Unicode classes, $ at the very end) as a Java pattern; ValueError if it is none.
+
+    Look-around, back-references, atomic groups and the flag U (which swaps greed there) are refused.
+    """
+    out = []
+    parts = _PARTS.findall(pattern)
+    lines = any(re.match(r"\(\?[a-z]*m", p) for p in parts)
+    for p in parts:
+        if re.match(r"\(\?(?:<?[=!]|>)|\\[1-9kK]", p) or re.match(r"\(\?[A-Za-z]*U", p):
+            raise ValueError("look-around, back-references, atomic groups and the flag U are not supported")
+        if re.match(r"\(\?P?<", p):
+            p = "("  # names do not matter for a search
+        elif p == "$" and not lines:
+            p = r"\z"
+        elif p[0] == "[":
+            p = _POSIX.sub(lambda m: f"\\{'P' if m[1] else 'p'}{{{_CLASSES.get(m[2], m[2])}}}", p)
+        out.append(p)
+    java = "(?Ud)" + "".join(out)
+    spark = SparkSession.getActiveSession()
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(java)
+    except Py4JJavaError as e:
+        raise ValueError(f"invalid pattern: {e.java_exception.getMessage()}") from None
+    return java
+
+
 def is_event() -> Column:
     return F.col("kind").isin("pixel", "custom")
 
@@ -54,6 +87,14 @@ class Fields:
         self.names, self.ids = names, ids or {}
         self.projects = {k.lower(): v for k, v in (projects or {}).items()}
 
+    @classmethod
+    def of_tables(cls, names: dict[str, str], projects: DataFrame, sources: DataFrame, pixels: DataFrame) -> Fields:
+        """With every project's sources and pixels, from the entity tables (of which there are thousands of rows, not millions)."""
+        owned = sources.select("project_id", "uri").unionByName(pixels.select("project_id", F.concat(F.lit("pixel://"), "id").alias("uri")))
+        uris = owned.groupBy("project_id").agg(F.array_sort(F.collect_set("uri")).alias("uris"))
+        rows = projects.select("id", "name").join(uris, F.col("id") == F.col("project_id"), "left").collect()
+        return cls(names, {r.name: list(r.uris or []) for r in rows}, {r.id: list(r.uris or []) for r in rows})
+
     def _name(self, name: str) -> str:
         low = name.lower()
         if low not in self.names:
@@ -144,18 +185,12 @@ class Fields:
         """* and ? as in file names, over the whole value."""
         name, c = self._text(name)
         body = "".join({"*": ".*", "?": "."}.get(x, re.sub(r"([\\.^$|()\[\]{}+*?\-])", r"\\\1", x)) for x in glob)
-        return self._of(name, c.rlike(("" if case else "(?iu)") + rf"\A(?:{body})\z"))
+        return self._of(name, c.rlike(("(?d)" if case else "(?iud)") + rf"\A(?:{body})\z"))
 
     def matches(self, name: str, pattern: str) -> Filter:
         """Regular expression anywhere in the value; look-around and back-references are refused."""
         name, c = self._text(name)
-        if re.search(r"\(\?(?:[=!]|<[=!])|\\[1-9]", pattern):
-            raise ValueError("look-around and back-references are not supported")
-        try:
-            re.compile(pattern)
-        except re.error as e:
-            raise ValueError(f"invalid pattern: {e}") from None
-        return self._of(name, c.rlike(pattern))
+        return self._of(name, c.rlike(java_pattern(pattern)))
 
     def truthy(self, name: str) -> Filter:
         name = self._name(name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from tidemark.schema import DAY_MS
 
 LAST_MS = 4_102_444_800_000
@@ -24,14 +26,9 @@ def custom_interval(days: float) -> str:
     return next((name for most, name in ((2, "15m"), (14, "hour"), (60, "4h"), (200, "day")) if days <= most), "week")
 
 
-def nice_ticks(most: float) -> list[float]:
-    """Four steps of 1, 2, 2.5, 5 or 10 times a power of ten."""
-    if most <= 0:
-        return [0.0, 1.0]
-    raw = most / 4
-    power = 10.0 ** len(str(int(raw))) / 10 if raw >= 1 else 10.0 ** (-len(str(int(1 / raw))) + 0)
-    step = next((m * power for m in (1, 2, 2.5, 5, 10) if m * power >= raw), 10 * power)
-    out = [0.0]
-    while out[-1] < most:
-        out.append(out[-1] + step)
-    return out
+def nice_ticks(most: int) -> tuple[int, int]:
+    """(step, count): a whole step near a quarter of `most`, from the ladder 1, 2, 2.5, 5, 10 at its power of ten, and as many steps as reach `most`."""
+    quarter = max(most / 4, 0.25)
+    power = 10.0 ** math.floor(math.log10(quarter))
+    step = max(1, math.floor(next((m for m in (1.0, 2.0, 2.5, 5.0) if 4 * m * power >= most), 10.0) * power + 0.5))
+    return step, max(1, -(-most // step))

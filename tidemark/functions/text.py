@@ -95,7 +95,7 @@ def utm(url, name: str) -> Column:
     """Last non-blank value of a query parameter, decoded, trimmed and capped."""
     query = F.regexp_extract(F.substring_index(_s(url), "#", 1), r"(?s)\?(.*)", 1)
     pairs = F.filter(F.split(query, "&"), lambda p: _decode(F.substring_index(p, "=", 1)) == name)
-    values = F.transform(pairs, lambda p: F.trim(_decode(F.regexp_replace(p, "^[^=]*=?", ""))))
+    values = F.transform(pairs, lambda p: trim_unicode(_decode(F.regexp_replace(p, "^[^=]*=?", ""))))
     found = F.filter(values, lambda v: v != "")
     return truncate(F.get(found, F.size(found) - 1), 256)
 
@@ -110,6 +110,9 @@ def metadata_json(m, capped: bool = True) -> Column:
     entries = F.array_sort(F.map_entries(_s(m)))
     if capped:
         entries = F.transform(F.slice(entries, 1, 32), lambda e: F.struct(truncate(e["key"], 256).alias("key"), truncate(e["value"], 1024).alias("value")))
+        # keys that were cut may be equal, and then are neighbours: the last stays
+        after = F.concat(F.slice(entries, F.lit(2), F.size(entries)), F.array(F.lit(None).cast("struct<key:string,value:string>")))
+        entries = F.filter(F.zip_with(entries, after, lambda e, x: F.when(~e["key"].eqNullSafe(x["key"]), e)), lambda e: e.isNotNull())
     return F.when(F.size(_s(m)) > 0, F.to_json(F.map_from_entries(entries)))
 
 
@@ -124,6 +127,27 @@ def referrer_group(host) -> Column:
     return F.when(_s(host).rlike(any_of(SEARCH)), "Search").when(_s(host).rlike(any_of(SOCIAL)), "Social")
 
 
+#: Names of primary language tags (fixed values).
+LANGUAGES = {
+    "ar": "Arabic", "bg": "Bulgarian", "cs": "Czech", "da": "Danish", "de": "German", "el": "Greek", "en": "English", "es": "Spanish", "et": "Estonian", "fi": "Finnish", "fr": "French", "he": "Hebrew", "hi": "Hindi",
+    "hr": "Croatian", "hu": "Hungarian", "id": "Indonesian", "it": "Italian", "ja": "Japanese", "ko": "Korean", "lt": "Lithuanian", "lv": "Latvian", "nb": "Norwegian", "nl": "Dutch", "no": "Norwegian", "pl": "Polish",
+    "pt": "Portuguese", "ro": "Romanian", "ru": "Russian", "sk": "Slovak", "sl": "Slovenian", "sr": "Serbian", "sv": "Swedish", "th": "Thai", "tr": "Turkish", "uk": "Ukrainian", "vi": "Vietnamese", "zh": "Chinese",
+}
+
+
+def language_name(code) -> Column:
+    """The name of a language tag's first part; the code where it has none."""
+    names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    return F.coalesce(F.element_at(names, F.substring_index(F.lower(F.trim(_s(code))), "-", 1)), _s(code))
+
+
+def country_flag(code) -> Column:
+    """The two regional indicators of a country code; null for anything but two letters."""
+    c = F.upper(F.trim(_s(code)))
+    sign = lambda i: F.decode(F.unhex(F.concat(F.lit("F09F87"), F.hex(F.ascii(F.substring(c, i, 1)) + 0x65))), "UTF-8")
+    return F.when(c.rlike(r"\A[A-Z]{2}\z"), F.concat(sign(1), sign(2)))
+
+
 def delta_percent(now, before) -> Column:
     return F.when(F.abs(_s(before)) > 2.220446049250313e-16, (_s(now) - _s(before)) / _s(before) * 100)
 

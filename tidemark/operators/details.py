@@ -57,10 +57,10 @@ def exception_groups(df: DataFrame, start: int, end: int, limit: int = GROUPS) -
 
 
 def inbox(groups: DataFrame, sources: DataFrame, projects: DataFrame, triage: DataFrame) -> DataFrame:
-    """Groups with project and triage state; only assigned sources have a state of their own. triage: (project_id, exc_group?, source, resolved_ms, muted_ms)."""
+    """Groups with project and triage state; only assigned sources have one. triage: as schema.TRIAGE, a state for each project, group and source."""
     known = groups.join(sources.withColumnRenamed("uri", "source"), "source", "left").join(projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id", "left")
-    on = [c for c in ("project_id", "exc_group", "source") if c in triage.columns]
-    out = known.join(triage, on, "left")
+    state = triage.select("project_id", F.col("group_id").alias("exc_group"), "source", F.unix_millis("resolved_at").alias("resolved_ms"), F.unix_millis("muted_at").alias("muted_ms"))
+    out = known.join(state, ["project_id", "exc_group", "source"], "left")
     return out.withColumn("status", status("last_ms", "resolved_ms", "muted_ms"))
 
 

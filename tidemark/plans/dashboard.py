@@ -8,10 +8,11 @@ from tidemark.functions.predicates import Filter, visitor_flag, where
 from tidemark.operators import details, metrics
 
 
-def dashboard(df: DataFrame, start: int, end: int, bucket: int, sources: DataFrame, projects: DataFrame, keep: Filter | None = None) -> dict[str, DataFrame]:
-    """Panels by name. Their shared frame is cached until `release` is called; each panel is lazy."""
+def dashboard(df: DataFrame, start: int, end: int, bucket: int, sources: DataFrame, projects: DataFrame, keep: Filter | None = None, shared: bool = True) -> dict[str, DataFrame]:
+    """Panels by name; each is lazy. Their frame is cached until `release` is called, unless it is not `shared`."""
     flag = visitor_flag(keep)
-    both = where(metrics.between(df, start - (end - start), end), keep).cache()
+    both = where(metrics.between(df, start - (end - start), end), keep)
+    both = both.cache() if shared else both
     now, before = metrics.between(both, start, end), metrics.between(both, start - (end - start), start)
     rollup = metrics.source_rollup(now, flag)
     return {

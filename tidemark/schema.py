@@ -37,4 +37,5 @@ REPORT = _struct("u:string b:string i:string ty:string m:string s:string h:boole
 TOP, TRACES, TREND, GROUPS, VARIANTS, TIMELINE = 25, 10, 20, 500, 50, 1000
 BOUNCE_MS, MIN_SAMPLES, MAX_POINTS = (100, 5000), 5, 5000
 DAY_MS = 86_400_000
+MAX_PATH, KEEP_HOT_MS, EVERY_MS = 1024, 48 * 3_600_000, 3_600_000
 MAX_FIELD, MAX_APP_FIELD, MAX_METADATA, MAX_VALUE, MAX_MESSAGE, MAX_STACK, MAX_SOURCES = 256, 120, 32, 1024, 1000, 16_000, 10_000

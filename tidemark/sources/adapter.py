@@ -86,8 +86,15 @@ def country_names(spark: SparkSession) -> DataFrame:
 
 
 def triage(spark: SparkSession) -> DataFrame:
-    rows = [("p0", "https://site0.example.com", 1_706_000_000_000, None), ("p0", "https://site1.example.com", 1_800_000_000_000, None), ("p1", "app://svc2", None, 1_704_000_000_000)]
-    return spark.createDataFrame(rows, "project_id string, source string, resolved_ms long, muted_ms long")
+    """States of some groups, as schema.TRIAGE; the last is of a source that its project does not own."""
+    rows = [
+        ("p0", "TypeError", "https://site0.example.com", 1_706_000_000, None), ("p0", "RangeError", "https://site0.example.com", None, 1_704_000_000), ("p0", "RangeError", "https://site1.example.com", 1_800_000_000, None),
+        ("p1", "NetworkError", "app://svc2", None, 1_704_000_000), ("p0", "TypeError", "app://svc2", 1_800_000_000, None),
+    ]
+    df = spark.createDataFrame(rows, "project_id string, kind string, source string, resolved long, muted long")
+    group = fingerprint("kind", F.lit("boom at 1"), F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
+    return df.select("project_id", group.alias("group_id"), "source", F.timestamp_seconds("resolved").alias("resolved_at"), F.timestamp_seconds("muted").alias("muted_at"), none.alias("note"), F.timestamp_seconds(F.lit(1_704_000_000)).alias("updated_at"), none.alias("updated_by"))
 
 
 #: The same rows for the oracle, as common table expressions.
@@ -122,5 +129,7 @@ f AS (SELECT ms AS created_ms, ms AS received_ms, e AS seq, CASE WHEN person THE
   CASE WHEN exc THEN k % 4 = 1 END AS exc_handled FROM e2),
 projects(id, name) AS (VALUES ('p0', 'Alpha'), ('p1', 'Beta'), ('p2', 'Gamma')),
 sources(uri, project_id) AS (VALUES ('https://site0.example.com', 'p0'), ('https://site1.example.com', 'p0'), ('app://svc2', 'p1'), ('https://site3.example.com', NULL), ('pixel://px0', 'p0'), ('pixel://px1', 'p1'), ('pixel://px2', 'gone')),
-triage(project_id, source, resolved_ms, muted_ms) AS (VALUES ('p0', 'https://site0.example.com', 1706000000000, NULL), ('p0', 'https://site1.example.com', 1800000000000, NULL), ('p1', 'app://svc2', NULL, 1704000000000))
+triage AS (SELECT project_id, substr(sha256(unhex(sha256(lower(t) || chr(10) || 'boom at'))), 1, 16) AS group_id, source, resolved_ms, muted_ms FROM (VALUES ('p0', 'TypeError', 'https://site0.example.com', 1706000000000, NULL),
+  ('p0', 'RangeError', 'https://site0.example.com', NULL, 1704000000000), ('p0', 'RangeError', 'https://site1.example.com', 1800000000000, NULL), ('p1', 'NetworkError', 'app://svc2', NULL, 1704000000000),
+  ('p0', 'TypeError', 'app://svc2', 1800000000000, NULL)) x(project_id, t, source, resolved_ms, muted_ms))
 """

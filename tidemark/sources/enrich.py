@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.functions.agents import ua_classes, url_fields
-from tidemark.schema import HIT, MAX_APP_FIELD, MAX_FIELD, MAX_MESSAGE, MAX_STACK, REPORT
+from tidemark.schema import HIT, MAX_APP_FIELD, MAX_FIELD, MAX_MESSAGE, MAX_PATH, MAX_STACK, REPORT
 from tidemark.sources.scan import conform
 
 
 def parse(lines: DataFrame, kind: str) -> DataFrame:
-    """JSON text in column `body` as payload columns; lines that are no JSON object go."""
+    """JSON text in column `body` as payload columns; lines that are no JSON object, or a hit of an unknown kind, go."""
     schema = HIT if kind == "hit" else REPORT
     rows = lines.withColumn("p", F.from_json("body", schema)).where(F.col("p.u").isNotNull())
+    if kind == "hit":
+        rows = rows.where(F.coalesce("p.e", F.lit("load")).isin("load", "unload", "custom"))
     return rows.select("p.*", *[c for c in lines.columns if c != "body"])
 
 
@@ -39,17 +41,16 @@ def _ua() -> list:
 def hits(df: DataFrame, zones: DataFrame) -> DataFrame:
     """Page loads, unloads and custom events. zones: (zone, country), a few hundred rows."""
     df = _client(allowed(df)).withColumn("ref", url_fields("r"))
-    df = df.join(F.broadcast(zones), df["t"] == zones["zone"], "left")
+    df = df.join(zones, df["t"] == zones["zone"], "left")
     host = F.when(F.col("ref.host") != F.col("url.host"), F.col("ref.host"))
     kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for x in ("load", "page_load", "unload", "page_unload", "custom", "custom")]), F.coalesce("e", F.lit("load"))), F.lit("page_load"))
-    custom = kind == "custom"
     return conform(
         df.select(
             F.col("received_ms").alias("created_ms"), "received_ms", F.lit(0).alias("seq"), F.coalesce(text.truncate("b", MAX_FIELD), F.lit("")).alias("bid"), text.clean_field("i", MAX_FIELD).alias("sid"), kind.alias("kind"),
-            text.website_source("url.host").alias("source"), text.normalize_path("url.path").alias("pathname"), F.coalesce("q", F.lit(False)).alias("is_unique_user"), F.coalesce("p", F.lit(False)).alias("is_unique_page"),
+            text.website_source("url.host").alias("source"), text.truncate(text.normalize_path("url.path"), MAX_PATH).alias("pathname"), F.coalesce("q", F.lit(False)).alias("is_unique_user"), F.coalesce("p", F.lit(False)).alias("is_unique_page"),
             host.alias("referrer_host"), text.referrer_group(host).alias("referrer_group"), "country", text.primary_language("accept_language").alias("language"), *_ua(),
             *[text.utm("u", n).alias(n) for n in ("utm_source", "utm_medium", "utm_campaign")], F.col("m").alias("duration_ms"),
-            F.when(custom, text.clean_field("n", MAX_FIELD)).alias("event_name"), F.when(custom, text.metadata_json("d")).alias("metadata_json"),
+            text.truncate("n", MAX_FIELD).alias("event_name"), text.metadata_json("d").alias("metadata_json"),
         )
     )
 
@@ -61,19 +62,19 @@ def reports(df: DataFrame) -> DataFrame:
         df.select(
             F.col("received_ms").alias("created_ms"), "received_ms", F.lit(0).alias("seq"), F.coalesce("b", F.lit("")).alias("bid"), text.clean_field("i", MAX_FIELD).alias("sid"), F.lit("exception").alias("kind"),
             text.website_source("url.host").alias("source"), F.lit(False).alias("is_unique_user"), F.lit(False).alias("is_unique_page"), *_ua(), text.metadata_json("d", capped=False).alias("metadata_json"),
-            text.clean_field("v", MAX_APP_FIELD).alias("app_version"), text.truncate("ty", MAX_FIELD).alias("exc_type"), text.truncate("m", MAX_MESSAGE).alias("exc_message"), text.truncate("s", MAX_STACK).alias("exc_stack"),
+            text.clean_field("v", MAX_APP_FIELD).alias("app_version"), text.truncate("ty", MAX_MESSAGE).alias("exc_type"), text.truncate("m", MAX_MESSAGE).alias("exc_message"), text.truncate("s", MAX_STACK).alias("exc_stack"),
             text.fingerprint("ty", "m", "s", "fp").alias("exc_group"), F.coalesce("h", F.lit(False)).alias("exc_handled"),
         )
     )
 
 
 def pixel_hits(df: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Hits (pixel_id, received_ms) of known pixels."""
-    known = df.join(pixels, df["pixel_id"] == pixels["id"])
+    """Hits (pixel_id, received_ms) of known pixels; the id may end in .gif."""
+    known = df.join(pixels, F.regexp_replace(df["pixel_id"], r"\.gif\z", "") == pixels["id"])
     return conform(
         known.select(
             F.col("received_ms").alias("created_ms"), "received_ms", F.lit(0).alias("seq"), F.lit("").alias("bid"), F.lit("pixel").alias("kind"), text.pixel_source("id").alias("source"),
-            F.lit(False).alias("is_unique_user"), F.lit(False).alias("is_unique_page"), "event_name", text.metadata_json("metadata").alias("metadata_json"),
+            F.lit(False).alias("is_unique_user"), F.lit(False).alias("is_unique_page"), "event_name", text.metadata_json("metadata", capped=False).alias("metadata_json"),
         )
     )
 
@@ -84,7 +85,7 @@ def is_first_today(if_modified_since, now):
 
 
 def zones(spark) -> DataFrame:
-    """(zone, country) of this machine's time-zone tables: zone.tab first, then the first country of zone1970.tab, then the links of tzdata.zi. Empty where it has none."""
+    """(zone, country) of this machine's time-zone tables: zone.tab first, then the first country of zone1970.tab, then the links of tzdata.zi. An error where it has none."""
     import os
 
     found: dict[str, str] = {}
@@ -104,6 +105,8 @@ def zones(spark) -> DataFrame:
                 target = links[target]
             if target in found:
                 found.setdefault(alias, found[target])
+    if not found:
+        raise FileNotFoundError(f"no time-zone tables below {root}; pass a table (zone, country)")
     return spark.createDataFrame(sorted(found.items()), "zone string, country string")
 
 

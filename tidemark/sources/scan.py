@@ -18,9 +18,23 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in FACT])
 
 
-def combined(cold: DataFrame, hot: DataFrame, start: int, end: int) -> DataFrame:
-    """Cold and hot rows of a window, each once: equal rows are left by a crash between writing and deleting."""
-    return between(conform(cold).unionByName(conform(hot), allowMissingColumns=True), start, end).distinct()
+def combined(cold: DataFrame, hot: DataFrame, start: int, end: int, overlap: tuple[int, int] | None = None) -> DataFrame:
+    """Cold and hot rows of a window, each once: equal rows are left by a crash between writing and deleting.
+
+    overlap: received times (first, last) between which equal rows can lie, where that is known. Only
+    those rows are shuffled to be compared; the others pass as they are.
+    """
+    both = between(conform(cold).unionByName(conform(hot), allowMissingColumns=True), start, end)
+    if overlap is None:
+        return both.distinct()
+    shared = F.col("received_ms").between(*overlap)
+    return both.where(~shared).unionByName(both.where(shared).distinct())
+
+
+def overlap_of(hot: DataFrame) -> tuple[int, int]:
+    """Where equal rows can lie if compaction leaves none in the cold table: the time of the hot rows. Reads one column of them."""
+    first, last = hot.agg(F.min("received_ms"), F.max("received_ms")).first()
+    return (0, -1) if first is None else (first, last)
 
 
 def read_cold(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -42,6 +56,11 @@ def earliest_ms(cold: DataFrame, hot: DataFrame) -> int | None:
     return hot.agg(F.min("received_ms")).first()[0]
 
 
+def window(spark: SparkSession, cold: str, hot: DataFrame, start: int, end: int) -> DataFrame:
+    """The rows of a window from both places, each once."""
+    return combined(read_cold(spark, cold, start, end), hot, start, end, overlap_of(hot))
+
+
 def before(hot: DataFrame, threshold: int) -> DataFrame:
     return hot.where(F.col("received_ms") < threshold)
 

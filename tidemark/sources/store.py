@@ -7,12 +7,15 @@ duplicates, which the combined scan removes, and never a gap.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import fingerprint
-from tidemark.schema import COLUMNS, DAY_MS, FACT
-from tidemark.sources.scan import PARTITIONED, conform
+from tidemark.functions.text import fingerprint, source_kind
+from tidemark.schema import COLUMNS, DAY_MS, EVERY_MS, FACT, KEEP_HOT_MS
+from tidemark.sources.scan import PARTITIONED, conform, read_cold
 
 #: Changes when the fingerprint rules do.
 FINGERPRINT_VERSION = 1
@@ -44,9 +47,9 @@ def read_hot(spark: SparkSession, hot: str) -> DataFrame:
 
 def append(df: DataFrame, hot: str, after: int) -> int:
     """Adds rows to the hot folder; returns the last sequence number used."""
-    df = with_seq(df, after)
-    df.write.mode("append").parquet(hot)
-    return after + df.count()
+    seen = Observation()
+    with_seq(df, after).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(hot)
+    return after + seen.get["n"]
 
 
 def write_cold(df: DataFrame, cold: str) -> None:
@@ -57,13 +60,45 @@ def write_cold(df: DataFrame, cold: str) -> None:
 def compact(spark: SparkSession, hot: str, cold: str, kept: str, cutoff: int) -> None:
     """Moves hot rows received before `cutoff` to the cold table; the younger rows are written to `kept`, the next hot folder.
 
-    The caller switches to `kept` when this returns; until then both places hold the old rows.
+    The caller switches to `kept` when this returns; until then both places hold the old rows. Rows
+    that a run which was cut off has moved already are not moved again.
     """
     rows = read_hot(spark, hot)
-    write_cold(rows.where(F.col("received_ms") < cutoff), cold)
+    old = rows.where(F.col("received_ms") < cutoff)
+    if exists(spark, cold):
+        first, last = old.agg(F.min("received_ms"), F.max("received_ms")).first()
+        if first is not None:
+            old = old.join(read_cold(spark, cold, first, last).select("seq"), "seq", "left_anti")
+    write_cold(old, cold)
     rows.where(F.col("received_ms") >= cutoff).write.mode("overwrite").parquet(kept)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that no one has yet, in the shared folder of spark.checkpoint.dir (of this machine where Spark runs on one alone and that is unset)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        at = f"file://{tempfile.gettempdir()}"
+    return f"{at.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def cutoff(now: int, keep: int = KEEP_HOT_MS) -> int:
+    """Hot rows received before this are due for the cold table."""
+    return now - keep
+
+
+def next_run(last: int, every: int = EVERY_MS) -> int:
+    """When compaction is due again: once in `every`, a second at least."""
+    return last + max(every, 1000)
+
+
 def delete_keys(hot: DataFrame, keys: DataFrame) -> DataFrame:
     """Hot rows without those of given sequence numbers."""
     return hot.join(keys.select("seq"), "seq", "left_anti").select(*COLUMNS)
@@ -91,6 +126,30 @@ def regrouped(df: DataFrame) -> DataFrame:
     return df.withColumn("_new", new).withColumn("changed", ~F.col("_new").eqNullSafe(F.col("exc_group"))).withColumn("exc_group", F.col("_new")).drop("_new")
 
 
+def regroup_hot(spark: SparkSession, hot: str, staging: str) -> int:
+    """Rewrites the hot folder if a group changes in it; returns the number of changed rows."""
+    rows = regrouped(read_hot(spark, hot))
+    n = rows.agg(F.count_if("changed")).first()[0]
+    if n:
+        rows.select(*COLUMNS).write.mode("overwrite").parquet(staging)
+        read_hot(spark, staging).write.mode("overwrite").parquet(hot)
+    return n
+
+
+def applied_version(spark: SparkSession, state: str) -> int:
+    """The fingerprint version that stored rows were grouped by; 0 where none was ever written."""
+    return spark.read.parquet(state).first()[0] if exists(spark, state) else 0
+
+
+def regroup_if_needed(spark: SparkSession, hot: str, cold: str, state: str, staging: str, version: int = FINGERPRINT_VERSION) -> tuple[int, int] | None:
+    """Groups stored exceptions anew if they were grouped by other rules, and writes the version down. (hot, cold) rows changed, or None if nothing was due."""
+    if applied_version(spark, state) == version:
+        return None
+    changed = regroup_hot(spark, hot, f"{staging}/hot"), regroup_cold(spark, cold, f"{staging}/cold") if exists(spark, cold) else 0
+    spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("overwrite").parquet(state)
+    return changed
+
+
 def regroup_cold(spark: SparkSession, cold: str, staging: str) -> int:
     """Rewrites only the day partitions in which a group changes; returns the number of changed rows."""
     rows = regrouped(spark.read.schema(PARTITIONED).parquet(cold))
@@ -107,6 +166,29 @@ def upsert(table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     return table.join(rows.select(*keys), list(keys), "left_anti").select(*table.columns).unionByName(rows.select(*table.columns))
 
 
+def listed(table: DataFrame, key: str) -> DataFrame:
+    """An entity table in key order."""
+    return table.orderBy(key)
+
+
+def found(table: DataFrame, key: str, value: str) -> DataFrame:
+    return table.where(F.col(key) == value)
+
+
+def put_project(projects: DataFrame, row: DataFrame) -> DataFrame:
+    """Adds or replaces one project. Its name must not be another project's, regardless of case."""
+    clash = projects.alias("p").join(row.alias("r"), (F.lower("p.name") == F.lower("r.name")) & (F.col("p.id") != F.col("r.id")), "left_semi")
+    if not clash.isEmpty():
+        raise ValueError("another project has this name")
+    return upsert(projects, row, "id")
+
+
+def registered(sources: DataFrame, fresh: DataFrame, now) -> DataFrame:
+    """The sources with fresh ones (column uri), which belong to no project yet."""
+    new = fresh.select("uri", source_kind("uri").alias("kind"), F.lit(now).cast("timestamp").alias("created_at"), F.lit(now).cast("timestamp").alias("first_seen"), F.lit(now).cast("timestamp").alias("last_seen"))
+    return sources.unionByName(new.join(sources, "uri", "left_anti"), allowMissingColumns=True)
+
+
 def delete_project(projects: DataFrame, sources: DataFrame, pixels: DataFrame, project: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Without the project and its pixels; its sources stay, unassigned. Events are kept."""
     free = F.when(F.col("project_id") == project, F.lit(None)).otherwise(F.col("project_id"))

@@ -37,17 +37,18 @@ def sink(hot: str, zones: DataFrame, register: Callable[[DataFrame], None] | Non
     """A foreachBatch function. A batch overwrites its own folder, so one that is run again adds nothing twice."""
 
     def write(raw: DataFrame, batch: int) -> None:
-        rows = batch_seq(facts_of(raw, zones), batch)
+        facts = facts_of(raw, zones).persist()  # numbering reads the rows twice
         at = f"{hot}/batch={batch}"
-        rows.write.mode("overwrite").parquet(at)
+        batch_seq(facts, batch).write.mode("overwrite").parquet(at)
+        facts.unpersist()
         if register is not None and known is not None:
             register(new_sources(raw.sparkSession.read.parquet(at), known(), MAX_SOURCES))
 
     return write
 
 
-def start(spark: SparkSession, folder: str, hot: str, checkpoint: str, zones: DataFrame, once: bool = False, **more):
-    stream = lines(spark, folder).writeStream.foreachBatch(sink(hot, zones, **more)).option("checkpointLocation", checkpoint)
+def start(spark: SparkSession, folder: str, hot: str, checkpoint: str, zones: DataFrame, once: bool = False, files_per_trigger: int = 512, **more):
+    stream = lines(spark, folder, files_per_trigger).writeStream.foreachBatch(sink(hot, zones, **more)).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime="1 second")).start()
 
 
