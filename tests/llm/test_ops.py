@@ -194,6 +194,25 @@ def test_lines_against_brute_force(spark):
         assert row.n_removed == len(want[row.doc_id]) and row.kept == "\n".join(x for j, x in enumerate(lines) if j not in want[row.doc_id])
 
 
+@pytest.mark.parametrize("bits", [bloom.MAX_BITS, 0])
+def test_long_lines_against_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(bloom, "MAX_BITS", bits)
+    r = np.random.default_rng(6)
+    long = [" ".join(f"w{x}" for x in r.integers(0, 99, 12)) for _ in range(4)]
+    docs = [(i, [long[r.integers(4)] if r.random() < 0.3 else f"line {x}" for x in r.integers(0, 5, r.integers(0, 14))]) for i in range(40)]
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs], "doc_id long, text string").repartition(4)
+    want = brute_windows(docs, 3, lambda f, me: f[:2] < me[:2] or (f[:2] == me[:2] and me[2] >= f[2] + 3))
+    seen = set()
+    for i, lines in docs:
+        for j, x in enumerate(lines):
+            if x in long:
+                want[i] |= {j} if x in seen else set()
+                seen.add(x)
+    for row in linededup.remove_repeated_lines(df).collect():
+        lines = docs[row.doc_id][1]
+        assert row.n_removed == len(want[row.doc_id]) and row.kept == "\n".join(x for j, x in enumerate(lines) if j not in want[row.doc_id])
+
+
 def test_line_edges(odd, empty):
     rows = {r.doc_id: r for r in linededup.remove_repeated_lines(odd).collect()}
     assert rows[9].kept == "l1\nl2\nl3\n\nl4" and rows[10].kept == "x\ny" and rows[11].kept == "r\nr\nr" and rows[3].n_lines == 0
