@@ -669,3 +669,11 @@ def test_every_pair_has_one_shard(counts, size, vocabulary):
         mine = np.flatnonzero(at == s)
         assert len(mine) and (c[mine[0]], w[mine[0]]) == (cuts.context[s], cuts.word[s]) and c[mine[-1]] - c[mine[0]] + 1 == cuts.width(s)
     assert (np.diff(at) >= 0).all()
+
+
+@pytest.mark.parametrize("limit", [decontam.BLOCK_BYTES, 1])
+def test_items_without_an_id_have_the_empty_name(spark, limit):
+    docs = spark.createDataFrame([(1, "x one two three y"), (2, "four five"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two three"), ("b", "two three"), (None, "four five"), ("c", None)], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontam.contamination(docs, items, limit=limit).collect()}
+    assert got == {1: (3, ["", "b"]), 2: (2, [""]), 3: (0, [])}

@@ -142,7 +142,7 @@ def count_words(texts: pa.Array) -> pa.Array:
 def item_blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]]]:
     """Items in blocks of at most `limit` bytes (a longer item is a block), one after another."""
     block, size = [], 0
-    for r in items.select(F.col("item_id").cast("string").alias("i"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t")).toLocalIterator():
+    for r in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t")).toLocalIterator():
         if block and size + len(r.t) > limit:
             yield block
             block, size = [], 0
@@ -207,7 +207,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", li
 
     Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z. A null or
     wordless text has 0 words and no hit; a null or wordless item has no window. Items with equal
-    windows are all reported; repeated rows of docs each give a row. Only `key`, `text`, `item_id`
+    windows are all reported, a null item_id as the empty string; repeated rows of docs each give a row. Only `key`, `text`, `item_id`
     are read, so other columns cannot clash. An empty benchmark finds nothing. The benchmark is the
     query set, taken in blocks of at most `limit` bytes.
     """
@@ -241,7 +241,7 @@ def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bw AS (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
 win AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM bw),
 sizes AS (SELECT DISTINCT n FROM win),
