@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from rows import custom, exc, frame, load
 
-from tidemark.functions import agents, ranges, text
+from tidemark.functions import agents, ranges, text, urls
 from tidemark.functions.predicates import DASHBOARD, EXCEPTIONS, Fields, where
 from tidemark.schema import DAY_MS
 
@@ -90,7 +90,7 @@ def test_agents(spark):
         assert list(agents.classify(ua)) == want, ua
     assert all(agents.classify(b)[3] == "Bot" for b in BOTS)
     assert [agents.find_version(v) for v in ("8.5.0", "x64 build 1.2", "v1.2.3", "HTTP/2", "sha256.1a2b", "1.2beta")] == ["8.5.0", "1.2", "1.2.3", None, None, None]
-    assert agents.url_parts("https://www.www.Example.com/a b") == ("example.com", "/a%20b") and agents.url_parts("not a url") == (None, None)
+    assert urls.host_and_path("https://www.www.Example.com/a b") == ("example.com", "/a%20b") and urls.host_and_path("not a url") == (None, None)
 
 
 def test_filters(spark):

@@ -10,6 +10,7 @@ import re
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +51,8 @@ def java_pattern(pattern: str) -> str:
     spark = SparkSession.getActiveSession()
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(java)
-    except Py4JJavaError as e:
-        raise ValueError(f"invalid pattern: {e.java_exception.getMessage()}") from None
+    except (Py4JJavaError, PySparkException) as e:
+        raise ValueError(f"invalid pattern: {e}") from None
     return java
 
 
