@@ -139,7 +139,7 @@ def test_inbox_states(spark):
     df = frame(spark, exc(10, "a"), exc(20, "b"), exc(30, "c"), exc(40, "d", "https://free.com"))
     sources = spark.createDataFrame([("https://a.com", "p")], "uri string, project_id string")
     projects = spark.createDataFrame([("p", "P")], "id string, name string")
-    triage = spark.createDataFrame([("p", "a", "https://a.com", 10, None), ("p", "b", "https://a.com", 19, None), ("p", "c", "https://a.com", 99, 1), ("p", "d", "https://free.com", 99, None)], "project_id string, exc_group string, source string, resolved_ms long, muted_ms long")
+    triage = spark.createDataFrame([("p", "a", "https://a.com", 10, None), ("p", "b", "https://a.com", 19, None), ("p", "c", "https://a.com", 99, 1), ("p", "d", "https://free.com", 99, None)], "project_id string, group_id string, source string, resolved_ms long, muted_ms long").selectExpr("project_id", "group_id", "source", "timestamp_millis(resolved_ms) AS resolved_at", "timestamp_millis(muted_ms) AS muted_at")
     got = {r.exc_group: r.status for r in details.inbox(details.exception_groups(df, 0, 100), sources, projects, triage).collect()}
     assert got == {"a": "resolved", "b": "unresolved", "c": "ignored", "d": "unresolved"}
 
