@@ -596,7 +596,7 @@ def test_bitmaps_never_differ_in_more_than_their_sets(sizes):
         sets += [np.unique(np.concatenate([both, r.integers(0, 2**63, x, dtype=np.uint64)])) for x in (m, m // 9)]
     bits = [jaccard.bitmap(s) for s in sets]
     i, j = np.triu_indices(len(sets), 1)
-    found = jaccard.difference(bits, i, j)
+    found = jaccard.Bitmaps(bits).difference(i, j)
     want = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
     assert (found <= want).all() and ((found - want) % 2 == 0).all()
 
@@ -620,8 +620,8 @@ def test_one_meeting_of_many_texts_loses_no_link(spark):
                 x, y = root[a], root[b]
                 root = [min(x, y) if z in (x, y) else z for z in root]
     want = sorted(sorted(i for i in range(60) if root[i] == z) for z in set(root))
-    for hot in (2, 1000):
-        own, member = jaccard.groups(docs, hot=hot)
+    for hot, most in ((2, 2048), (2, 7), (1000, 2048)):
+        own, member = jaccard.groups(docs, hot=hot, most=most)
         at = {x.node: x.root for x in member.collect()}
         got: dict = {}
         for x in own.collect():
