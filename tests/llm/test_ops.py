@@ -677,3 +677,17 @@ def test_items_without_an_id_have_the_empty_name(spark, limit):
     items = spark.createDataFrame([(None, "one two three"), ("b", "two three"), (None, "four five"), ("c", None)], "item_id string, text string")
     got = {r.doc_id: (r.n_hit, r["items"]) for r in decontam.contamination(docs, items, limit=limit).collect()}
     assert got == {1: (3, ["", "b"]), 2: (2, [""]), 3: (0, [])}
+
+
+@pytest.mark.parametrize("low, high, spread", [(-60, 25, 6), (-9, 9, 0.5), (2, 4, 0.2), (0, 400, 30), (-1, 1, 2)])
+def test_calibration_converges_at_any_scale(low, high, spread):
+    r = np.random.default_rng(3)
+    y = (np.arange(3000) % 2).astype(float)
+    score = np.where(y == 1, high, low) + r.normal(0, spread, len(y))
+    slope, offset = toxicity.calibrate(score, y, np.where(y == 1, 0.2, 1.8))
+    assert slope > 0
+    said = slope * score + offset >= 0
+    if high - low > 6 * spread:
+        assert (said == (y == 1)).mean() > 0.999
+    else:
+        assert said[y == 1].mean() > said[y == 0].mean()

@@ -243,6 +243,31 @@ class Network:
         return g
 
 
+def calibrate(score: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
+    """Slope (positive) and offset of the logistic curve from scores to labels.
+
+    Scores are first brought to mean 0 and deviation 1. A Newton step that does not lower the loss
+    enough is halved, so the fit also converges where scores tell the labels apart altogether.
+    """
+    middle, spread = score.mean(), score.std() + 1e-6
+    x = np.stack([(score - middle) / spread, np.ones(len(score))], axis=1).astype(float)
+    pull = np.array([ridge, 1e-6])
+    loss = lambda c: (weight * (np.logaddexp(0, x @ c) - y * (x @ c))).sum() + (pull * c * c).sum() / 2
+    c = np.zeros(2)
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(x @ c, -500, 500)))
+        grad = x.T @ (weight * (q - y)) + pull * c
+        step = np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + np.diag(pull), grad)
+        size = 1.0
+        while size > 1e-6 and loss(c - size * step) > loss(c) - 1e-4 * size * (grad @ step):
+            size /= 2
+        if size <= 1e-6 or grad @ step < 1e-10:
+            break
+        c = c - size * step
+    slope = max(c[0], 0.05) / spread
+    return float(slope), float(c[1] - slope * middle)
+
+
 def train(texts: list[str], labels: list[int], rate: float | None = None, seed: int = 11) -> Network:
     """A network from texts and their 0/1 labels.
 
@@ -291,13 +316,7 @@ def train(texts: list[str], labels: list[int], rate: float | None = None, seed:
     s, z = best[ok], y[ok]
     share = z.mean()
     weight = np.where(z == 1, rate / max(share, 1e-9), (1 - rate) / max(1 - share, 1e-9))
-    a, b = 1.0, 0.0
-    for _ in range(25):
-        q = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
-        grad = np.array([(weight * (q - z) * s).sum() + 0.1 * (a - 1), (weight * (q - z)).sum()])
-        c = weight * q * (1 - q) + 1e-6
-        a, b = np.array([a, b]) - np.clip(np.linalg.solve(np.array([[(c * s * s).sum() + 0.1, (c * s).sum()], [(c * s).sum(), c.sum()]]), grad), -2, 2)
-    net.scale = (float(max(a, 0.05)), float(b))
+    net.scale = calibrate(s, z, weight)
     return net
 
 
