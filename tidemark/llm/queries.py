@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from tidemark.llm import decontam, fingerprints, linededup, mixing, ngram_lm, packing, sharding, simhash, substring, toxicity
+from tidemark.llm import chat, decontam, fingerprints, linededup, mixing, ngram_lm, packing, repair, sharding, simhash, substring, toxicity, wand
 
 
 def queries() -> dict:
@@ -19,9 +19,15 @@ def queries() -> dict:
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_mix_systematic": mixing.op9_mix_systematic,
         "op10_line_dedup": linededup.op10_line_dedup,
+        "op11_wand": wand.op11_wand,
+        "op12_chat_format": chat.op12_chat_format,
+        "op13_repair": repair.op13_repair,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_substring_dedup": substring.OP2_SQL, "op8_decontaminate": decontam.OP8_SQL, "op10_line_dedup": linededup.OP10_SQL}
+    return {
+        "op2_substring_dedup": substring.OP2_SQL, "op8_decontaminate": decontam.OP8_SQL, "op10_line_dedup": linededup.OP10_SQL, "op11_wand": wand.OP11_SQL, "op12_chat_format": chat.OP12_SQL,
+        "op13_repair": repair.OP13_SQL,
+    }
