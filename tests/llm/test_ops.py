@@ -381,6 +381,20 @@ def test_windows_cover_whole_texts():
     assert set(range(58, 200)) == {w for b, k in zip(begin[2:], n[2:], strict=True) for w in range(b, b + k)}
 
 
+def test_sample_is_filled_from_short_texts_then_from_long_ones(spark):
+    texts = [(i, ("long " * 50 if i % 10 else "short") if i % 2 else "clean " * 3) for i in range(1000)] + [(1001, None), (1003, "short"), (1003, "short")]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    learned = {i for i, t in texts if t is not None and zlib.crc32(str(i).encode()) % 5}
+    for rows, chars in ((50, 100), (30, 300), (400, 20)):
+        got = {r.doc_id: (r.text, r.toxic) for r in toxicity.labelled_sample(docs, labels, rows, chars).collect()}
+        assert got.keys() <= learned and all(t == dict(texts)[i] and y == i % 2 for i, (t, y) in got.items())
+        for y in (0, 1):
+            mine = [dict(texts)[i] for i in learned if i % 2 == y]
+            taken, short = [t for t, z in got.values() if z == y], [t for t in mine if len(t) <= chars]
+            assert len(taken) <= rows and sum(map(len, taken)) <= rows * chars and sum(len(t) <= chars for t in taken) == min(rows, len(short))
+            assert len(taken) == rows or len(taken) == len(mine) or sum(map(len, taken)) > rows * chars - 250
+
+
 def test_held_out_toxicity(spark, odd, empty):
     sf = "/root/testdata/sf0.1"
     got = toxicity.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
@@ -586,6 +600,15 @@ def test_mix_follows_targets(spark, odd, empty):
     assert mixing.sample_copies(odd).count() == len(ODD) and mixing.sample_copies(empty).count() == 0
 
 
+def test_equal_and_null_ids_are_mixed_alike_in_any_order(spark):
+    rows = [(None if i % 2 else 7, f"w{i} x y", "en", "ab"[i % 3 == 0], i) for i in range(80)]
+    seen = set()
+    for seed in range(4):
+        df = spark.createDataFrame([rows[i] for i in np.random.default_rng(seed).permutation(80)], DOC).repartition(seed + 1)
+        seen.add(tuple(sorted(r.text for r in mixing.emit(mixing.sample_copies(df, part_rows=25)).collect())))
+    assert len(seen) == 1 and abs(len(seen.pop()) - 120) <= 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 2**32)), min_size=1, max_size=4))
 def test_bitmaps_never_differ_in_more_than_their_sets(sizes):

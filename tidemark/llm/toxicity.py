@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.runtime import crc_fold, read_table, ship
@@ -321,16 +321,21 @@ def train(texts: list[str], labels: list[int], rate: float | None = None, seed:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """(doc_id, text, toxic, rate): at most `rows` labelled rows of each class outside fold 0, least hashes first, and the share of label 1.
+    """(doc_id, text, toxic, rate): at most `rows` labelled rows of each class outside fold 0, and the share of label 1.
 
-    Rows of docs of more than `chars` characters or null text are left out; a doc_id that is there
-    several times is sampled with its first text.
+    Texts of at most `chars` characters go first, then longer ones, each in order of a hash; a class
+    stops at rows * chars characters. So a class of which enough texts are short is learned from
+    those, and one of long texts from as many of them as the bound allows. Null texts are left out; a
+    doc_id that is there several times is sampled with its least text.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rate = known.agg(F.avg("toxic")).first()[0]
-    order = F.xxhash64(F.lit("toxicity"), "doc_id")
-    picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(rows).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(rows))
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.length("text") <= chars)
+    sizes = docs.where("text IS NOT NULL").select("doc_id", F.length("text").cast("long").alias("n")).join(known, "doc_id").groupBy("doc_id").agg(F.max("n").alias("n"), F.first("toxic").alias("toxic"))
+    order = [F.col("n") > chars, F.xxhash64(F.lit("toxicity"), "doc_id"), F.col("doc_id")]
+    picked = sizes.where("toxic = 1").orderBy(*order).limit(rows).unionByName(sizes.where("toxic = 0").orderBy(*order).limit(rows))
+    upto = F.sum("n").over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))  # at most `rows` rows each
+    picked = picked.withColumn("upto", upto).where(F.col("upto") <= rows * chars).select("doc_id", "toxic")
+    found = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).withColumn("rate", F.lit(float(rate or 0.0)))
 
 
@@ -343,7 +348,8 @@ def _train(batches) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
     """Learns `toxic` of labels (doc_id, toxic) from texts alone; rows with another label or of fold 0 are not learned from.
 
-    One task trains on the sample, which is bounded by SAMPLE_ROWS and SAMPLE_CHARS, and returns the
+    One task trains on the sample, which is bounded by SAMPLE_ROWS and SAMPLE_CHARS (of its windows at most
+    SAMPLE_WINDOWS, drawn at random, are learned from), and returns the
     network, which has a fixed size. Without labels of both classes every text gets their share.
     """
     ship(docs.sparkSession)
