@@ -1,11 +1,14 @@
 import datetime as dt
 import json
+from concurrent.futures import ThreadPoolExecutor
 
+import pytest
 from pyspark.sql import functions as F
 from rows import exc, frame, load
 
 from tidemark.schema import COLUMNS, DAY_MS, PIXEL, PROJECT, SOURCE, TRIAGE
-from tidemark.sources import enrich, scan, store
+from tidemark.sources import enrich, hot, log, scan, store
+from tidemark.sources.entities import Entities
 from tidemark.streaming import ingest
 
 UA = "Mozilla/5.0 (Windows NT 10.0) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36"
@@ -17,30 +20,178 @@ def test_sequence_numbers_are_gapless_and_ordered(spark):
     assert [r.seq for r in rows] == [101, 102, 103, 104, 105] and [r.received_ms for r in rows] == [5, 5, 7, 9_000_000, 90_000_000]
 
 
+def place(tmp_path, *names):
+    return [str(tmp_path / n) for n in names]
+
+
+def test_numbers_are_ranked_in_range_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = store.ranked(frame(spark, *[load(5_000 + i % 7, bid=str(i % 40)) for i in range(400)]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranked.staged.select(F.shiftright("_at", 33)).distinct().count() > 2  # one millisecond is no bound to a task
+    rows = ranked.numbered(10).orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(11, 411)) and [(r.received_ms, r.bid) for r in rows] == sorted((r.received_ms, r.bid) for r in rows)
+
+
 def test_append_compact_retention(spark, tmp_path):
-    hot, cold, kept = (str(tmp_path / x) for x in ("hot", "cold", "kept"))
-    last = store.append(frame(spark, load(1), load(DAY_MS + 1)), hot, 0)
-    assert store.append(frame(spark, load(2 * DAY_MS + 1)), hot, last) == 3
-    store.compact(spark, hot, cold, kept, 2 * DAY_MS)
-    both = scan.combined(scan.read_cold(spark, cold), store.read_hot(spark, kept), 0, 9 * DAY_MS)
-    assert both.count() == 3 and store.read_hot(spark, kept).count() == 1 and both.columns == COLUMNS
-    # as after a crash before the switch: the old hot rows are still there
-    assert scan.combined(scan.read_cold(spark, cold), store.read_hot(spark, hot), 0, 9 * DAY_MS).count() == 3
+    at, cold = place(tmp_path, "hot", "cold")
+    store_ = hot.HotStore(spark, at)
+    assert store_.read().count() == 0 and store_.compact(cold, DAY_MS) == 0 and store_.append(frame(spark)) == 0
+    assert store_.append(frame(spark, load(1), load(DAY_MS + 1))) == 2
+    assert hot.HotStore(spark, at).append(frame(spark, load(2 * DAY_MS + 1))) == 1  # another process goes on with the numbers
+    assert [r.seq for r in store_.read().orderBy("seq").collect()] == [1, 2, 3] and store_.span() == (1, 2 * DAY_MS + 1)
+    assert store_.read(start=2 * DAY_MS).count() == 1 and store_.read(end=DAY_MS).count() == 2
+    assert store_.compact(cold, 2 * DAY_MS) == 2 and store_.read().count() == 1
+    both = scan.window(spark, cold, store_, 0, 9 * DAY_MS)
+    assert both.count() == 3 and both.columns == COLUMNS
+    assert store_.append(frame(spark, load(DAY_MS + 5), load(9 * DAY_MS))) == 2 and store_.compact(cold, 2 * DAY_MS) == 1
+    assert sorted(r.seq for r in scan.window(spark, cold, store_, 0, 10 * DAY_MS).collect()) == [1, 2, 3, 4, 5]
     assert store.enforce_retention(spark, cold, 3 * DAY_MS - 1000, DAY_MS) == ["1970-01-01"]
-    assert scan.read_cold(spark, cold).count() == 1
-    assert store.delete_keys(store.read_hot(spark, hot), store.read_hot(spark, kept)).count() == 2
-    assert scan.before(store.read_hot(spark, hot), DAY_MS).count() == 1
+    assert scan.read_cold(spark, cold).count() == 2
+    assert store_.delete_keys(spark.createDataFrame([(3,), (3,), (77,)], "seq long")) == 1 and [r.seq for r in store_.read().collect()] == [5]
+    assert scan.before(store_.read(), DAY_MS).count() == 0
+
+
+def test_a_move_that_is_cut_off_loses_and_doubles_nothing(spark, tmp_path):
+    at, cold = place(tmp_path, "hot", "cold")
+    store_ = hot.HotStore(spark, at)
+    store_.append(frame(spark, load(1), load(2), load(3 * DAY_MS)))
+    every = lambda: sorted(r.seq for r in scan.window(spark, cold, store_, 0, 9 * DAY_MS).collect())
+    assert store_.copy_old(cold, DAY_MS).rows == 2 and every() == [1, 2, 3]  # killed between writing and publishing
+    store_.append(frame(spark, load(3)))
+    with pytest.raises(log.Lost):
+        store_._rewrite(store_.read(), list(store_.state()["parts"]))
+    assert every() == [1, 2, 3, 4] and store_.compact(cold, DAY_MS) == 1 and every() == [1, 2, 3, 4]
+    assert scan.read_cold(spark, cold).count() == 3 and store_.read().count() == 1 and not store_.state()["moving"]
+    assert len(store_.vacuum(0)) == 0 and len(store_.vacuum(1 << 60)) == 3 and every() == [1, 2, 3, 4]
+
+
+def test_rows_that_arrive_while_parts_are_replaced_stay(spark, tmp_path):
+    at, cold = place(tmp_path, "hot", "cold")
+    store_ = hot.HotStore(spark, at)
+    store_.append(frame(spark, load(1), load(2 * DAY_MS)))
+    move = store_.copy_old(cold, DAY_MS)
+    store_.append(frame(spark, load(2)), ("s", 0))  # both while compaction runs
+    store_.append(frame(spark, load(3)), ("s", 1))
+    store_._replace(move.parts, move.young, moving={})
+    assert sorted(r.received_ms for r in store_.read().collect()) == [2, 3, 2 * DAY_MS] and scan.window(spark, cold, store_, 0, 9 * DAY_MS).count() == 4
+    with pytest.raises(log.Lost):
+        store_._replace(move.parts, {})  # a second step that read the same parts
+
+
+def test_batches_count_once(spark, tmp_path):
+    store_ = hot.HotStore(spark, str(tmp_path / "hot"))
+    go = lambda n, s="a": store_.append(frame(spark, load(n)), (s, n))
+    assert [go(0), go(1), go(1), go(0), go(0, "b")] == [1, 1, 0, 0, 1] and store_.read().count() == 3
+    assert store_.append(frame(spark), ("a", 5)) == 0 and go(4) == 0 and go(6) == 1
+
+
+def test_versions_are_published_once(spark, tmp_path):
+    first, second = (log.Log(spark, str(tmp_path / "x"), {"n": 0}) for _ in range(2))
+    assert first.load() == (0, {"n": 0}) and first.commit(lambda s: {"n": s["n"] + 1}) == (1, {"n": 1})
+    calls = []
+
+    def slow(s):
+        calls.append(s["n"])
+        if len(calls) == 1:
+            second.commit(lambda t: {"n": t["n"] + 10})
+        return {"n": s["n"] + 100}
+
+    assert first.commit(slow) == (3, {"n": 111}) and calls == [1, 11] and second.commit(lambda s: None) == (3, {"n": 111})
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda _: log.Log(spark, str(tmp_path / "x"), {"n": 0}).commit(lambda s: {"n": s["n"] + 1}), range(40)))
+    assert first.load() == (43, {"n": 151})
+    first.clear()
+    assert first.versions() == list(range(24, 44)) and first.load() == (43, {"n": 151})
+    assert not [n for n, _, _ in first.files.listed(first.folder) if not n.startswith("0")]
+
 
+def test_leases_do_not_overlap(spark, tmp_path):
+    stores = [hot.HotStore(spark, str(tmp_path / "hot")) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        got = sorted(pool.map(lambda i: stores[i % 4].lease(i + 1), range(20)))
+    sizes = {b: a for a, b in zip(got[1:], got, strict=False)}
+    assert sorted(a - b for b, a in sizes.items()) + [stores[0].state()["next_seq"] - got[-1]] and stores[0].state()["next_seq"] == 1 + sum(range(1, 21))
+    assert len(set(got)) == 20
 
-def test_regroup_rewrites_changed_days_only(spark, tmp_path):
-    cold, aside = str(tmp_path / "cold"), str(tmp_path / "aside")
-    good = store.regrouped(frame(spark, exc(1, exc_stack="at handler (app.js:1:2)"))).drop("changed")
-    store.write_cold(good.unionByName(frame(spark, exc(DAY_MS, "stale", exc_stack="at handler (app.js:1:2)"), load(DAY_MS))), cold)
-    day0 = sorted((tmp_path / "cold" / "event_date=1970-01-01").glob("*.parquet"))
-    assert store.regroup_cold(spark, cold, aside) == 1
-    assert sorted((tmp_path / "cold" / "event_date=1970-01-01").glob("*.parquet")) == day0
-    assert scan.read_cold(spark, cold).where("kind = 'exception'").select("exc_group").distinct().count() == 1
-    assert store.regroup_cold(spark, cold, aside) == 0 and scan.read_cold(spark, cold).count() == 3
+
+def test_upkeep(spark, tmp_path):
+    at, cold = place(tmp_path, "hot", "cold")
+    store_ = hot.HotStore(spark, at)
+    store_.append(frame(spark, load(1), load(5 * DAY_MS), load(9 * DAY_MS)))
+    now = 10 * DAY_MS
+    assert store_.take("replace", "other", now, 1000) and hot.upkeep(store_, cold, now, "me") is None
+    done = hot.upkeep(store_, cold, now + 2000, "me", keep_cold_ms=7 * DAY_MS)  # the other's lease has run out
+    assert done == {"moved": 2, "days": ["1970-01-01"], "vacuumed": 0} and not store_.state()["leases"]
+    assert hot.upkeep(store_, cold, now + 3000, "me") is None and hot.upkeep(store_, cold, now + 2000 + store.EVERY_MS, "you")["moved"] == 0
+    assert scan.window(spark, cold, store_, 0, 99 * DAY_MS).count() == 2
+
+
+def test_regroup_rewrites_changed_parts_only(spark, tmp_path):
+    at, cold, aside, state = place(tmp_path, "hot", "cold", "aside", "state")
+    stack = {"exc_stack": "at handler (app.js:1:2)"}
+    good = store.regrouped(frame(spark, exc(1, **stack))).drop("changed")
+    store.write_cold(good.unionByName(frame(spark, exc(DAY_MS, "stale", **stack), load(DAY_MS))), cold)
+    store_ = hot.HotStore(spark, at)
+    for rows in (good, frame(spark, exc(2, "stale", **stack), load(3))):
+        store_.append(rows)
+    day0, parts = sorted((tmp_path / "cold" / "event_date=1970-01-01").rglob("*.parquet")), set(store_.state()["parts"])
+    assert store.regroup_if_needed(spark, store_, cold, state, aside) == (1, 1) and store.regroup_if_needed(spark, store_, cold, state, aside) is None
+    assert sorted((tmp_path / "cold" / "event_date=1970-01-01").rglob("*.parquet")) == day0 and len(parts & set(store_.state()["parts"])) == 1
+    rows = scan.read_cold(spark, cold).unionByName(store_.read())
+    assert rows.where("kind = 'exception'").select("exc_group").distinct().count() == 1 and rows.count() == 6
+    assert store.regroup_cold(spark, cold, aside) == 0 and store_.regroup() == 0
+
+
+def test_listing_and_unreadable_files(spark, tmp_path):
+    cold, at = place(tmp_path, "cold", "hot")
+    store_ = hot.HotStore(spark, at)
+    assert scan.list_days(spark, cold).count() == 0 and scan.list_files(spark, cold).count() == 0 and scan.earliest_ms(spark, cold, store_) is None
+    store_.append(frame(spark, load(7)))
+    assert scan.earliest_ms(spark, cold, store_) == 7
+    store.write_cold(frame(spark, load(DAY_MS), load(2 * DAY_MS, sid="s"), exc(2 * DAY_MS)), cold)
+    (tmp_path / "cold" / "event_date=1969-12-30").mkdir()
+    (tmp_path / "cold" / "not a day").mkdir()
+    assert sorted(str(r[0]) for r in scan.list_days(spark, cold).collect()) == ["1969-12-30", "1970-01-02", "1970-01-03"] and scan.earliest_ms(spark, cold, store_) == -2 * DAY_MS
+    assert scan.list_files(spark, cold).count() == 3 and scan.list_files(spark, cold, 2 * DAY_MS, 3 * DAY_MS).count() == 2 and scan.list_files(spark, cold, end=DAY_MS).count() == 1
+    junk = next((tmp_path / "cold" / "event_date=1970-01-03").iterdir())
+    for name, text in (("junk.parquet", "junk" * 100), ("short.parquet", "x"), ("empty.parquet", "")):
+        (junk / name).write_text(text)  # Spark passes over the empty one by itself
+    told = []
+    assert scan.read_cold(spark, cold, skip=told.extend).count() == 3 and sorted(p.rsplit("/", 1)[1] for p in told) == ["junk.parquet", "short.parquet"]
+    assert sorted((r.rows is None, r.bytes) for r in scan.check_files(spark, cold).where("rows IS NULL OR rows <> 1").collect()) == [(True, 1), (True, 400)]
+    told.clear()
+    assert scan.read_cold(spark, cold, 0, DAY_MS, skip=told.extend).count() == 1 and not told
+    with pytest.warns(UserWarning, match="unreadable"):
+        assert scan.window(spark, cold, store_, 0, 9 * DAY_MS).count() == 4
+
+
+def files_read(df):
+    """Files that the scans of an executed plan read."""
+    df.collect()
+    todo, n = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        if node.nodeName().startswith("Scan parquet"):
+            n += node.metrics().apply("numFiles").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return n
+
+
+def test_point_lookups_read_few_files(spark, tmp_path):
+    cold = str(tmp_path / "cold")
+    rows = [load(d * DAY_MS + i, sid=f"s{i % 60}" if i % 9 else None, bid=f"b{i}") for d in range(3) for i in range(300)] + [exc(d * DAY_MS + i, f"g{i % 20}", sid=f"s{i}") for d in range(3) for i in range(60)]
+    facts = frame(spark, *rows)
+    store.write_cold(facts, cold)
+    every = files_read(scan.read_cold(spark, cold))
+    one, group, few = scan.read_session(spark, cold, "s7"), scan.read_group(spark, cold, "g7"), scan.read_sessions(spark, cold, ["s1", "s2"], DAY_MS, DAY_MS)
+    same = lambda got, want: sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert same(one, facts.where("sid = 's7'")) and same(group, facts.where("exc_group = 'g7'")) and same(few, facts.where(f"sid IN ('s1', 's2') AND received_ms BETWEEN {DAY_MS} AND {2 * DAY_MS - 1}"))
+    assert files_read(group) * 5 <= every and files_read(one) * 4 <= every and files_read(few) <= files_read(one)
 
 
 def test_small_tables(spark):
@@ -89,19 +240,20 @@ def test_enrichment(spark):
 
 
 def test_stream_equals_batch_and_registers_sources(spark, tmp_path):
-    box, hot = tmp_path / "in", str(tmp_path / "hot")
+    box, store_ = tmp_path / "in", hot.HotStore(spark, str(tmp_path / "hot"))
     box.mkdir()
     (box / "a.json").write_text("\n".join(json.dumps(x) for x in LINES[:3]))
     seen = []
     known = lambda: spark.createDataFrame([], "uri string")
-    go = lambda: ingest.start(spark, str(box), hot, str(tmp_path / "cp"), zones(spark), once=True, register=lambda df: seen.extend(r.uri for r in df.collect()), known=known).awaitTermination()
+    go = lambda: ingest.start(spark, str(box), store_, str(tmp_path / "cp"), zones(spark), once=True, register=lambda df: seen.extend(r.uri for r in df.collect()), known=known).awaitTermination()
     go()
+    store_.append(frame(spark, load(4)))
     (box / "b.json").write_text("\n".join(json.dumps(x) for x in LINES[3:]))
     go()
-    got = spark.read.parquet(hot).select(*COLUMNS)
+    got = store_.read().where("received_ms > 4")
     want = ingest.facts_of(spark.createDataFrame(LINES, ingest.RAW), zones(spark))
     assert sorted(map(str, got.drop("seq").collect())) == sorted(map(str, want.drop("seq").collect()))
-    assert got.select("seq").distinct().count() == 3 and seen == ["https://example.com", "https://example.com"]
+    assert [r.seq for r in store_.read().orderBy("seq").collect()] == [1, 2, 3, 4] and seen == ["https://example.com", "https://example.com"]
 
 
 def test_live_series(spark, tmp_path):
@@ -115,3 +267,36 @@ def test_live_series(spark, tmp_path):
 def test_zones_of_this_machine(spark):
     got = dict(map(tuple, enrich.zones(spark).collect()))
     assert not got or (got["Europe/Berlin"] == "DE" and got["America/New_York"] == "US" and "Nowhere/Land" not in got)
+
+
+def test_entity_changes_of_several_callers(spark, tmp_path):
+    now = dt.datetime(2024, 1, 1)
+    first, second = (Entities(spark, str(tmp_path / "e")) for _ in range(2))
+    assert first.read("projects").count() == 0 and first.read("triage").columns == TRIAGE.fieldNames()
+    project = lambda i, n: spark.createDataFrame([(i, n, n, now)], PROJECT)
+    first.put_project(project("p", "P"))
+    first.register(spark.createDataFrame([("https://b.com",), ("https://a.com",), ("https://a.com",)], "uri string"), now, 1)
+    assert [r.uri for r in second.read("sources").collect()] == ["https://a.com"]
+    second.upsert("sources", spark.createDataFrame([("https://a.com", "p", "website", None, now, None, None)], SOURCE), "uri")
+    second.upsert("pixels", spark.createDataFrame([("1", "p", "n", "e", {"k": "v"}, now, None)], PIXEL), "id")
+    before = first.log.load()[1]
+    # a name that another caller takes meanwhile is refused on the second try
+    seen = []
+
+    def late(t):
+        if not seen:
+            seen.append(1)
+            second.put_project(project("q", "Q"))
+        return {"projects": store.put_project(t["projects"], project("r", "q"))}
+
+    with pytest.raises(ValueError):
+        first.update(late)
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda x: x[0].set_triage("p", "g", "https://a.com", now, **x[1]), [(first, {"resolved": True}), (second, {"muted": True})]))
+    state = first.read("triage").first()
+    assert state.resolved_at == now and state.muted_at == now
+    assert sorted(r.id for r in first.read("projects").collect()) == ["p", "q"]
+    first.delete_project("p")
+    assert [r.id for r in second.read("projects").collect()] == ["q"] and second.read("pixels").count() == 0 and second.read("sources").first().project_id is None
+    assert [r.id for r in first.read("projects", before).collect()] == ["p"]  # a reader of an older version is not disturbed
+    assert second.vacuum(0) == [] and len(second.vacuum(1 << 60)) >= 5 and [r.id for r in first.read("projects").collect()] == ["q"]

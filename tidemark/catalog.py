@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark import ingest_catalog
+from tidemark import ingest_catalog, store_catalog
 from tidemark.functions import text
 from tidemark.functions.predicates import DASHBOARD, EXCEPTIONS, Fields, Filter, is_event, visitor_flag, where
 from tidemark.operators import details, metrics
@@ -363,8 +363,8 @@ _add(
         _panel("traces", "sid", "started_ms", "pageviews", "events", _half(f"{_TRACE} GROUP BY sid ORDER BY started_ms DESC, sid LIMIT 10")),
     ]),
 )
-_QUERIES.update(ingest_catalog.queries())
-_SQL.update(ingest_catalog.oracle_sql())
+_QUERIES.update(ingest_catalog.queries() | store_catalog.queries())
+_SQL.update(ingest_catalog.oracle_sql() | store_catalog.oracle_sql())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,4 +1,4 @@
-"""Registered queries of ingest, storage and display, over payloads made from pages and conversations, and their DuckDB oracles.
+"""Registered queries of ingest and display, over payloads made from pages and conversations, and their DuckDB oracles.
 
 The payloads' raw fields are written once, in SQL that both engines read; what the engine makes of
 them is stated anew in each oracle.
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import agents, ranges, text
 from tidemark.functions.predicates import DASHBOARD, Fields
-from tidemark.schema import COLUMNS, DAY_MS, FACT, PIXEL
-from tidemark.sources import adapter, enrich, scan, store
+from tidemark.schema import COLUMNS, DAY_MS, PIXEL
+from tidemark.sources import adapter, enrich, store
 from tidemark.streaming import ingest
 
 START = 1_704_067_200_000
@@ -147,13 +147,13 @@ _add("primary_language_headers", lambda s, d: _pages(s, d).select("i", text.prim
 _PIXELS = [("px0", "p0", "Mail", "opened", {"b": "2", "a": "1"}), ("px1", "p1", "Ad", "seen", {}), ("px2", "gone", "Old", "seen", {f"k{j:02}": "v" for j in range(40)})]
 
 
-def _pixels(spark) -> DataFrame:
+def pixel_table(spark) -> DataFrame:
     return spark.createDataFrame([(*r, None, None) for r in _PIXELS], PIXEL)
 
 
 _add(
     "pixel_hits",
-    lambda s, d: enrich.pixel_hits(_pages(s, d).selectExpr("'px' || (i % 5) || CASE WHEN i % 2 = 0 THEN '.gif' ELSE '' END AS pixel_id", "i AS received_ms"), _pixels(s)).select("received_ms", "kind", "source", "event_name", "metadata_json", "ua_browser"),
+    lambda s, d: enrich.pixel_hits(_pages(s, d).selectExpr("'px' || (i % 5) || CASE WHEN i % 2 = 0 THEN '.gif' ELSE '' END AS pixel_id", "i AS received_ms"), pixel_table(s)).select("received_ms", "kind", "source", "event_name", "metadata_json", "ua_browser"),
     """SELECT i AS received_ms, 'pixel' AS kind, 'pixel://px' || (i % 5) AS source, CASE i % 5 WHEN 0 THEN 'opened' ELSE 'seen' END AS event_name, CAST(NULL AS VARCHAR) AS ua_browser,
  CASE i % 5 WHEN 0 THEN '{"a":"1","b":"2"}' WHEN 2 THEN '{' || array_to_string(list_transform(range(0, 40), lambda z: '"k' || lpad(CAST(z AS VARCHAR), 2, '0') || '":"v"'), ',') || '}' END AS metadata_json FROM p WHERE i % 5 < 3""",
     _WP,
@@ -214,140 +214,19 @@ SELECT k, start, stop, CAST(coalesce((SELECT min(r) FROM l WHERE r >= want AND (
 )
 
 
-# storage: every query writes to a folder of its own and reads back
-def _hot(spark, sf_dir, rows=None) -> str:
-    at = store.new_folder(spark, "hot")
-    df = adapter.facts(spark, sf_dir)
-    (df if rows is None else df.where(rows)).write.parquet(at)
-    return at
+def payload_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw lines of all hits and exceptions."""
+    return _hits(spark, sf_dir).unionByName(_reports(spark, sf_dir))
 
 
-def _cold(spark, sf_dir, rows=None) -> str:
-    at = store.new_folder(spark, "cold")
-    df = adapter.facts(spark, sf_dir)
-    store.write_cold(df if rows is None else df.where(rows), at)
-    return at
+def payload_sql() -> str:
+    """Common table expressions that end with `lines`: kind, source and received_ms of what ingest makes of the payloads."""
+    return f"{_P}, {_C}, lines AS (SELECT kind, source, received_ms FROM ({_EVENT}) UNION ALL SELECT kind, source, received_ms FROM ({_REPORT}))"
 
 
-def _append(spark, sf_dir) -> DataFrame:
-    at, df = store.new_folder(spark, "hot"), adapter.facts(spark, sf_dir)
-    last = store.append(df.where("seq % 2 = 0"), at, 0)
-    last = store.append(df.where("seq % 2 = 1"), at, last)
-    return store.read_hot(spark, at).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.sum("seq").alias("total")).withColumn("used", F.lit(last).cast("long"))
-
-
-_add(
-    "append_batches",
-    _append,
-    f"SELECT kind, {_n(('n', 'count(*)'), ('first', 'min(k)'), ('last', 'max(k)'), ('total', 'sum(k)'))}, CAST(max(used) AS BIGINT) AS used FROM (SELECT kind, (SELECT count(*) FROM f) AS used, row_number() OVER (PARTITION BY seq % 2 ORDER BY received_ms, bid, sid NULLS FIRST, kind, source, pathname NULLS FIRST) + CASE WHEN seq % 2 = 1 THEN (SELECT count(*) FROM f WHERE seq % 2 = 0) ELSE 0 END AS k FROM f) GROUP BY kind",
-    adapter.SQL,
-)
-_by_day = lambda df, place: df.groupBy(F.lit(place).alias("place"), store.event_date().cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-_day = "CAST(CAST(make_timestamp(received_ms * 1000) AS DATE) AS VARCHAR)"
-
-
-def _compact(spark, sf_dir) -> DataFrame:
-    hot, cold, kept = _hot(spark, sf_dir), store.new_folder(spark, "cold"), store.new_folder(spark, "hot")
-    due = store.cutoff(END, 10 * DAY_MS + 3_600_000)
-    for _ in range(2):  # a run that is repeated after a crash moves nothing twice
-        store.compact(spark, hot, cold, kept, due)
-    return _by_day(scan.read_cold(spark, cold), "cold").unionByName(_by_day(store.read_hot(spark, kept), "hot"))
-
-
-_add("compaction", _compact, f"SELECT CASE WHEN received_ms < {END - 10 * DAY_MS - 3_600_000} THEN 'cold' ELSE 'hot' END AS place, {_day} AS day, {_n(('n', 'count(*)'))} FROM f GROUP BY 1, 2", adapter.SQL)
-_add("cold_window", lambda s, d: _by_day(scan.read_cold(s, _cold(s, d), HALF, HALF + 3 * DAY_MS), "cold"), f"SELECT 'cold' AS place, {_day} AS day, {_n(('n', 'count(*)'))} FROM f WHERE received_ms >= {HALF} AND received_ms < {HALF + 4 * DAY_MS} GROUP BY 2", adapter.SQL)
-_add(
-    "both_places",
-    lambda s, d: _by_day(scan.window(s, _cold(s, d, F.col("received_ms") < HALF + DAY_MS), store.read_hot(s, _hot(s, d, F.col("received_ms") >= HALF - DAY_MS)), START + DAY_MS, END), "all"),
-    f"SELECT 'all' AS place, {_day} AS day, {_n(('n', 'count(*)'))} FROM f WHERE received_ms >= {START + DAY_MS} GROUP BY 2",
-    adapter.SQL,
-)
-
-
-def _retention(spark, sf_dir) -> DataFrame:
-    cold = _cold(spark, sf_dir)
-    gone = store.enforce_retention(spark, cold, END, 10 * DAY_MS)
-    return _by_day(scan.read_cold(spark, cold), "cold").withColumn("deleted", F.lit(len(gone)).cast("long"))
-
-
-_kept = f"(received_ms // {DAY_MS} + 1) * {DAY_MS} - 1000 >= {END - 10 * DAY_MS}"
-_add("retention", _retention, f"SELECT 'cold' AS place, {_day} AS day, {_n(('n', 'count(*)'))}, (SELECT count(DISTINCT received_ms // {DAY_MS}) FROM f WHERE NOT ({_kept})) AS deleted FROM f WHERE {_kept} GROUP BY 2", adapter.SQL)
-
-
-def _earliest(spark, sf_dir) -> DataFrame:
-    cold = spark.read.schema(scan.PARTITIONED).parquet(_cold(spark, sf_dir))
-    hot = adapter.facts(spark, sf_dir).where(F.col("received_ms") >= HALF)
-    return spark.createDataFrame([("cold", scan.earliest_ms(cold, hot)), ("hot", scan.earliest_ms(cold.where("false"), hot)), ("none", scan.earliest_ms(cold.where("false"), hot.where("false")))], "place string, ms long")
-
-
-_add("earliest_event", _earliest, f"SELECT 'cold' AS place, CAST(min(received_ms) // {DAY_MS} * {DAY_MS} AS BIGINT) AS ms FROM f UNION ALL SELECT 'hot', CAST(min(received_ms) AS BIGINT) FROM f WHERE received_ms >= {HALF} UNION ALL SELECT 'none', NULL", adapter.SQL)
-_add("before_threshold", lambda s, d: scan.before(adapter.facts(s, d), HALF).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last")), f"SELECT kind, {_n(('n', 'count(*)'), ('last', 'max(seq)'))} FROM f WHERE received_ms < {HALF} GROUP BY kind", adapter.SQL)
-_add("delete_keys", lambda s, d: store.delete_keys(adapter.facts(s, d), adapter.facts(s, d).where("seq % 3 = 0").select("seq")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("total")), f"SELECT kind, {_n(('n', 'count(*)'), ('total', 'sum(seq)'))} FROM f WHERE seq % 3 <> 0 GROUP BY kind", adapter.SQL)
-
-
-def _regroup(spark, sf_dir) -> DataFrame:
-    stale = adapter.facts(spark, sf_dir).withColumn("exc_group", F.when(F.col("exc_group").isNotNull() & (F.col("seq") % 3 == 0), "old").otherwise(F.col("exc_group")))
-    hot, cold, state, aside = (store.new_folder(spark, x) for x in ("hot", "cold", "state", "staging"))
-    stale.where(F.col("received_ms") >= HALF).write.parquet(hot)
-    store.write_cold(stale.where(F.col("received_ms") < HALF), cold)
-    changed = store.regroup_if_needed(spark, hot, cold, state, aside)
-    again = store.regroup_if_needed(spark, hot, cold, state, aside)
-    both = store.read_hot(spark, hot).unionByName(scan.read_cold(spark, cold))
-    groups = both.where("exc_group IS NOT NULL").groupBy(F.col("exc_group").alias("what")).agg(F.count(F.lit(1)).alias("n"))
-    marks = spark.createDataFrame([("hot", changed[0]), ("cold", changed[1]), ("version", store.applied_version(spark, state)), ("again", int(again is not None))], "what string, n long")
-    return groups.unionByName(marks)
-
-
-_old = "exc_group IS NOT NULL AND seq % 3 = 0"
-_add("regroup", _regroup, f"SELECT exc_group AS what, {_n(('n', 'count(*)'))} FROM f WHERE exc_group IS NOT NULL GROUP BY 1 UNION ALL SELECT 'hot', count(*) FROM f WHERE {_old} AND received_ms >= {HALF} UNION ALL SELECT 'cold', count(*) FROM f WHERE {_old} AND received_ms < {HALF} UNION ALL SELECT 'version', {store.FINGERPRINT_VERSION} UNION ALL SELECT 'again', 0", adapter.SQL)
-
-
-def _entities(spark, sf_dir) -> DataFrame:
-    projects, known = adapter.projects(spark), adapter.sources(spark)
-    projects = store.put_project(projects, spark.createDataFrame([("p1", "Better")], "id string, name string"))
-    projects = store.put_project(projects, spark.createDataFrame([("p3", "Delta")], "id string, name string"))
-    try:
-        store.put_project(projects, spark.createDataFrame([("p4", "aLPHA")], "id string, name string"))
-        clash = 0
-    except ValueError:
-        clash = 1
-    left, free, pixels = store.delete_project(projects, known, _pixels(spark), "p0")
-    fresh = scan.new_sources(adapter.facts(spark, sf_dir), free.where("uri LIKE 'https%'"), 10_000)
-    full = store.registered(free.where("uri LIKE 'https%'").withColumn("kind", F.lit("website")), fresh, None)
-    one = lambda df, what, a, b: df.select(F.lit(what).alias("what"), F.col(a).alias("a"), F.coalesce(F.col(b), F.lit("")).alias("b"))
-    out = one(store.listed(left, "id"), "project", "id", "name").unionByName(one(free, "source", "uri", "project_id")).unionByName(one(pixels, "pixel", "id", "project_id")).unionByName(one(full, "registered", "uri", "kind"))
-    return out.unionByName(one(store.found(left, "id", "p1"), "found", "id", "name")).unionByName(spark.createDataFrame([("clash", str(clash), "")], "what string, a string, b string"))
-
-
-_add(
-    "entities",
-    _entities,
-    """SELECT 'project' AS what, id AS a, CASE id WHEN 'p1' THEN 'Better' ELSE name END AS b FROM projects WHERE id <> 'p0' UNION ALL SELECT 'project', 'p3', 'Delta' UNION ALL SELECT 'source', uri, coalesce(nullif(project_id, 'p0'), '') FROM sources
- UNION ALL VALUES ('pixel', 'px1', 'p1'), ('pixel', 'px2', 'gone'), ('found', 'p1', 'Better'), ('clash', '1', '') UNION ALL SELECT 'registered', uri, CASE WHEN uri LIKE 'app://%' THEN 'application' ELSE 'website' END FROM (SELECT uri FROM sources WHERE uri LIKE 'https%' UNION SELECT source FROM f)""",
-    adapter.SQL,
-)
-
-
-def _stream(spark, sf_dir) -> DataFrame:
-    folder, hot, mark, names = (store.new_folder(spark, x) for x in ("lines", "hot", "mark", "sources"))
-    _hits(spark, sf_dir).unionByName(_reports(spark, sf_dir)).repartition(4).write.json(folder)
-    known = lambda: spark.read.parquet(names) if store.exists(spark, names) else spark.createDataFrame([], "uri string")
-    run = ingest.start(spark, folder, hot, mark, enrich.zones(spark), once=True, register=lambda fresh: fresh.write.mode("append").parquet(names), known=known, files_per_trigger=2)
-    run.awaitTermination()
-    rows = spark.read.schema(FACT).option("recursiveFileLookup", "true").parquet(hot)
-    counts = rows.groupBy("kind", "source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seq").alias("numbers"))
-    return counts.unionByName(spark.read.parquet(names).groupBy(F.lit("new").alias("kind"), F.col("uri").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("numbers")))
-
-
-_add(
-    "stream_ingest",
-    _stream,
-    f"""WITH {_P}, {_C}, both_kinds AS (SELECT kind, source FROM ({_EVENT}) UNION ALL SELECT kind, source FROM ({_REPORT}))
-SELECT kind, source, {_n(('n', 'count(*)'), ('numbers', 'count(*)'))} FROM both_kinds GROUP BY 1, 2 UNION ALL SELECT 'new', source, 1, 0 FROM (SELECT DISTINCT source FROM both_kinds)""",
-)
 _add(
     "project_of_tables",
-    lambda s, d: adapter.facts(s, d).where((Fields.of_tables(DASHBOARD, adapter.projects(s), adapter.sources(s).where("uri NOT LIKE 'pixel%'"), _pixels(s)).is_in("project", ["ALPHA", "p1", "nobody"])).column).groupBy("source").agg(F.count(F.lit(1)).alias("n")),
+    lambda s, d: adapter.facts(s, d).where((Fields.of_tables(DASHBOARD, adapter.projects(s), adapter.sources(s).where("uri NOT LIKE 'pixel%'"), pixel_table(s)).is_in("project", ["ALPHA", "p1", "nobody"])).column).groupBy("source").agg(F.count(F.lit(1)).alias("n")),
     f"SELECT source, {_n(('n', 'count(*)'))} FROM f WHERE source IN (SELECT uri FROM sources WHERE project_id IN ('p0', 'p1')) GROUP BY source",
     adapter.SQL,
 )

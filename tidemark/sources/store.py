@@ -1,21 +1,21 @@
-"""Writing the fact table: sequence numbers, daily compaction, retention, regrouping, and the small tables.
+"""Writing the fact table: sequence numbers, the cold table, retention, regrouping, and changes to the small tables.
 
-Hot rows are Parquet files of one folder; cold rows are partitioned by `event_date`. A step that
-moves rows writes their copy first and removes the originals afterwards, so a crash leaves
-duplicates, which the combined scan removes, and never a gap.
+Cold rows are partitioned by `event_date` and `shard`; hot rows are in the store of `hot.py`.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import fingerprint, source_kind
 from tidemark.schema import COLUMNS, DAY_MS, EVERY_MS, FACT, KEEP_HOT_MS
-from tidemark.sources.scan import PARTITIONED, conform, read_cold
+from tidemark.sources.log import Files
+from tidemark.sources.scan import EXCEPTIONS, PARTITIONED, conform, list_days, shard
 
 #: Changes when the fingerprint rules do.
 FINGERPRINT_VERSION = 1
@@ -25,52 +25,62 @@ def event_date():
     return F.date_from_unix_date(F.expr(f"received_ms div {DAY_MS}").cast("int"))
 
 
-def with_seq(df: DataFrame, after: int) -> DataFrame:
-    """Gapless sequence numbers above `after`, in order of received time.
+@dataclass
+class Ranked:
+    """Rows in order, written once: `_at` holds the range partition of a row and its place in it."""
 
-    Rows are ranked inside their hour; the hours' row counts, summed up, are the offsets, so no task
-    sees more than an hour.
-    """
-    df = df.withColumn("_hour", F.expr("received_ms div 3600000"))
-    hours = df.groupBy("_hour").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)  # one row an hour
-    hours = hours.select("_hour", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
-    rest = [c for c in COLUMNS if c not in ("seq", "received_ms")]
-    rank = F.row_number().over(Window.partitionBy("_hour").orderBy("received_ms", *rest))
-    out = df.withColumn("_rank", rank).join(hours, "_hour").withColumn("seq", F.lit(after) + F.col("_base") + F.col("_rank"))
-    return conform(out)
+    staged: DataFrame
+    rows: int
 
+    def numbered(self, after: int) -> DataFrame:
+        """With gapless sequence numbers above `after`."""
+        counts = self.staged.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+        ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range partition
+        counts = counts.select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+        place = F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+        return conform(self.staged.withColumn("_range", F.shiftright("_at", 33)).join(counts, "_range").withColumn("seq", F.lit(after) + F.col("_base") + place))
 
-def read_hot(spark: SparkSession, hot: str) -> DataFrame:
-    return spark.read.schema(FACT).parquet(hot)
 
+def ranked(df: DataFrame) -> Ranked:
+    """Rows by received time, and by the other columns where times are equal.
 
-def append(df: DataFrame, hot: str, after: int) -> int:
-    """Adds rows to the hot folder; returns the last sequence number used."""
-    seen = Observation()
-    with_seq(df, after).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(hot)
-    return after + seen.get["n"]
+    Spark samples the bounds of range partitions, so no task sorts more than a share of the rows,
+    however many of them fall into one hour; rows that are equal in all columns may be dealt out too.
+    """
+    spark, seen = df.sparkSession, Observation()
+    order = ["received_ms", *[c for c in COLUMNS if c not in ("seq", "received_ms")], "_tie"]
+    rows = conform(df).drop("seq").withColumn("_tie", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie").withColumn("_at", F.monotonically_increasing_id())
+    at = new_folder(spark, "ranked")
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(at)
+    return Ranked(spark.read.schema(rows.schema).parquet(at), seen.get["n"])
 
 
-def write_cold(df: DataFrame, cold: str) -> None:
-    """Adds rows to their day partitions; a day's rows are spread over tasks by time."""
-    conform(df).withColumn("event_date", event_date()).repartitionByRange("event_date", "received_ms").write.mode("append").partitionBy("event_date").parquet(cold)
+def with_seq(df: DataFrame, after: int) -> DataFrame:
+    """Gapless sequence numbers above `after`, in order of received time."""
+    return ranked(df).numbered(after)
 
 
-def compact(spark: SparkSession, hot: str, cold: str, kept: str, cutoff: int) -> None:
-    """Moves hot rows received before `cutoff` to the cold table; the younger rows are written to `kept`, the next hot folder.
+def write_cold(df: DataFrame, cold: str) -> int:
+    """Adds rows to their day and shard partitions; a shard's rows are spread over tasks by group, session and time. Returns how many.
 
-    The caller switches to `kept` when this returns; until then both places hold the old rows. Rows
-    that a run which was cut off has moved already are not moved again.
+    A session's rows lie in one shard of a day (its exceptions in the shard of exceptions) and close to
+    each other there; Bloom filters of sessions and groups let readers pass over row groups without them.
     """
-    rows = read_hot(spark, hot)
-    old = rows.where(F.col("received_ms") < cutoff)
-    if exists(spark, cold):
-        first, last = old.agg(F.min("received_ms"), F.max("received_ms")).first()
-        if first is not None:
-            old = old.join(read_cold(spark, cold, first, last).select("seq"), "seq", "left_anti")
-    write_cold(old, cold)
-    rows.where(F.col("received_ms") >= cutoff).write.mode("overwrite").parquet(kept)
+    seen = Observation()
+    order = ["event_date", "shard", "exc_group", "sid", "received_ms"]
+    rows = conform(df).withColumn("event_date", event_date()).withColumn("shard", shard()).repartitionByRange(*order).sortWithinPartitions(*order)
+    # counted behind the shuffle: what is before it runs once more to sample the bounds
+    cold_writer(rows.observe(seen, F.count(F.lit(1)).alias("n"))).mode("append").parquet(cold)
+    return seen.get["n"]
+
+
+def cold_writer(rows: DataFrame) -> DataFrameWriter:
+    """Parquet by day and shard with Bloom filters, which grow with what a row group holds."""
+    out = rows.write.partitionBy("event_date", "shard").option("parquet.bloom.filter.adaptive.enabled", "true")
+    for c in ("sid", "exc_group"):
+        out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    return out
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -84,9 +94,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return Files(spark, path).exists(path)
 
 
 def cutoff(now: int, keep: int = KEEP_HOT_MS) -> int:
@@ -99,11 +107,6 @@ def next_run(last: int, every: int = EVERY_MS) -> int:
     return last + max(every, 1000)
 
 
-def delete_keys(hot: DataFrame, keys: DataFrame) -> DataFrame:
-    """Hot rows without those of given sequence numbers."""
-    return hot.join(keys.select("seq"), "seq", "left_anti").select(*COLUMNS)
-
-
 def expired_days(days: DataFrame, now: int, keep_ms: int) -> DataFrame:
     """Days (column event_date) whose last second is older than the retention."""
     end = (F.unix_date("event_date") + 1).cast("long") * DAY_MS - 1000
@@ -111,12 +114,10 @@ def expired_days(days: DataFrame, now: int, keep_ms: int) -> DataFrame:
 
 
 def enforce_retention(spark: SparkSession, cold: str, now: int, keep_ms: int) -> list[str]:
-    """Deletes expired day partitions through the table's own file system; returns their days."""
-    days = [str(r[0]) for r in expired_days(spark.read.schema(PARTITIONED).parquet(cold), now, keep_ms).orderBy("event_date").collect()]
-    jvm = spark.sparkContext._jvm
+    """Deletes expired day partitions, found by listing, through the table's own file system; returns their days."""
+    days, files = [str(r[0]) for r in expired_days(list_days(spark, cold), now, keep_ms).orderBy("event_date").collect()], Files(spark, cold)
     for d in days:
-        at = jvm.org.apache.hadoop.fs.Path(f"{cold}/event_date={d}")
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        files.delete(f"{cold}/event_date={d}")
     return days
 
 
@@ -126,38 +127,30 @@ def regrouped(df: DataFrame) -> DataFrame:
     return df.withColumn("_new", new).withColumn("changed", ~F.col("_new").eqNullSafe(F.col("exc_group"))).withColumn("exc_group", F.col("_new")).drop("_new")
 
 
-def regroup_hot(spark: SparkSession, hot: str, staging: str) -> int:
-    """Rewrites the hot folder if a group changes in it; returns the number of changed rows."""
-    rows = regrouped(read_hot(spark, hot))
-    n = rows.agg(F.count_if("changed")).first()[0]
-    if n:
-        rows.select(*COLUMNS).write.mode("overwrite").parquet(staging)
-        read_hot(spark, staging).write.mode("overwrite").parquet(hot)
-    return n
-
-
 def applied_version(spark: SparkSession, state: str) -> int:
     """The fingerprint version that stored rows were grouped by; 0 where none was ever written."""
     return spark.read.parquet(state).first()[0] if exists(spark, state) else 0
 
 
-def regroup_if_needed(spark: SparkSession, hot: str, cold: str, state: str, staging: str, version: int = FINGERPRINT_VERSION) -> tuple[int, int] | None:
-    """Groups stored exceptions anew if they were grouped by other rules, and writes the version down. (hot, cold) rows changed, or None if nothing was due."""
+def regroup_if_needed(spark: SparkSession, hot, cold: str, state: str, staging: str, version: int = FINGERPRINT_VERSION) -> tuple[int, int] | None:
+    """Groups stored exceptions of a HotStore and the cold table anew if they were grouped by other rules, and writes the version down. (hot, cold) rows changed, or None if nothing was due."""
     if applied_version(spark, state) == version:
         return None
-    changed = regroup_hot(spark, hot, f"{staging}/hot"), regroup_cold(spark, cold, f"{staging}/cold") if exists(spark, cold) else 0
+    changed = hot.regroup(), regroup_cold(spark, cold, f"{staging}/cold") if exists(spark, cold) else 0
     spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("overwrite").parquet(state)
     return changed
 
 
 def regroup_cold(spark: SparkSession, cold: str, staging: str) -> int:
-    """Rewrites only the day partitions in which a group changes; returns the number of changed rows."""
-    rows = regrouped(spark.read.schema(PARTITIONED).parquet(cold))
+    """Rewrites only the exceptions of days in which a group changes; returns the number of changed rows."""
+    rows = regrouped(spark.read.schema(PARTITIONED).parquet(cold).where(F.col("shard") == EXCEPTIONS))
     days = {r.event_date: r.n for r in rows.groupBy("event_date").agg(F.count_if("changed").alias("n")).where("n > 0").collect()}
     if days:
         # written aside first, since a table cannot be overwritten while it is read
+        order = ["event_date", "shard", "exc_group", "sid", "received_ms"]
         rows.where(F.col("event_date").isin(list(days))).drop("changed").write.mode("overwrite").parquet(staging)
-        spark.read.schema(PARTITIONED).parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(cold)
+        again = spark.read.schema(PARTITIONED).parquet(staging).repartitionByRange(*order).sortWithinPartitions(*order)
+        cold_writer(again).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(cold)
     return sum(days.values())
 
 

@@ -1,4 +1,4 @@
-"""Structured Streaming ingest: payload files to the hot folder, micro-batch by micro-batch."""
+"""Structured Streaming ingest: payload files to the hot store, micro-batch by micro-batch."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.schema import MAX_SOURCES
 from tidemark.sources import enrich
-from tidemark.sources.scan import conform, new_sources
+from tidemark.sources.hot import HotStore
+from tidemark.sources.scan import new_sources
 
 #: A raw line with its request; `kind` is hit or exception.
 RAW = "kind string, body string, user_agent string, accept_language string, dnt string, sec_gpc string, received_ms long"
@@ -26,28 +27,18 @@ def facts_of(raw: DataFrame, zones: DataFrame) -> DataFrame:
     return hits.unionByName(enrich.reports(enrich.parse(raw.where("kind = 'exception'").drop("kind"), "exception")))
 
 
-def batch_seq(df: DataFrame, batch: int) -> DataFrame:
-    """Sequence numbers from the batch number and the row's rank in it: the same when a batch is run again."""
-    from tidemark.sources.store import with_seq
-
-    return conform(with_seq(df, 0).withColumn("seq", F.lit(batch << 40) + F.col("seq")))
-
-
-def sink(hot: str, zones: DataFrame, register: Callable[[DataFrame], None] | None = None, known: Callable[[], DataFrame] | None = None):
-    """A foreachBatch function. A batch overwrites its own folder, so one that is run again adds nothing twice."""
+def sink(hot: HotStore, zones: DataFrame, stream: str = "payloads", register: Callable[[DataFrame], None] | None = None, known: Callable[[], DataFrame] | None = None):
+    """A foreachBatch function that appends to the hot store. A batch that is run again adds nothing twice: the store knows the last one of each stream."""
 
     def write(raw: DataFrame, batch: int) -> None:
-        facts = facts_of(raw, zones).persist()  # numbering reads the rows twice
-        at = f"{hot}/batch={batch}"
-        batch_seq(facts, batch).write.mode("overwrite").parquet(at)
-        facts.unpersist()
-        if register is not None and known is not None:
-            register(new_sources(raw.sparkSession.read.parquet(at), known(), MAX_SOURCES))
+        facts = facts_of(raw, zones)
+        if hot.append(facts, (stream, batch)) and register is not None and known is not None:
+            register(new_sources(facts, known(), MAX_SOURCES))
 
     return write
 
 
-def start(spark: SparkSession, folder: str, hot: str, checkpoint: str, zones: DataFrame, once: bool = False, files_per_trigger: int = 512, **more):
+def start(spark: SparkSession, folder: str, hot: HotStore, checkpoint: str, zones: DataFrame, once: bool = False, files_per_trigger: int = 512, **more):
     stream = lines(spark, folder, files_per_trigger).writeStream.foreachBatch(sink(hot, zones, **more)).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime="1 second")).start()
 
