@@ -8,6 +8,7 @@ from rows import exc, frame, load
 
 from tidemark.schema import COLUMNS, DAY_MS, PIXEL, PROJECT, SOURCE, TRIAGE
 from tidemark.sources import enrich, hot, log, scan, store
+from tidemark.sources import zones as tz
 from tidemark.sources.entities import Entities
 from tidemark.streaming import ingest
 
@@ -265,7 +266,7 @@ def test_live_series(spark, tmp_path):
 
 
 def test_zones_of_this_machine(spark):
-    got = dict(map(tuple, enrich.zones(spark).collect()))
+    got = dict(map(tuple, tz.zones(spark).collect()))
     assert not got or (got["Europe/Berlin"] == "DE" and got["America/New_York"] == "US" and "Nowhere/Land" not in got)
 
 
@@ -300,3 +301,18 @@ def test_entity_changes_of_several_callers(spark, tmp_path):
     assert [r.id for r in second.read("projects").collect()] == ["q"] and second.read("pixels").count() == 0 and second.read("sources").first().project_id is None
     assert [r.id for r in first.read("projects", before).collect()] == ["p"]  # a reader of an older version is not disturbed
     assert second.vacuum(0) == [] and len(second.vacuum(1 << 60)) >= 5 and [r.id for r in first.read("projects").collect()] == ["q"]
+
+
+def test_zone_links(spark):
+    tab = spark.createDataFrame([("# comment",), ("XA\t+00\tOne/Main\tnote",), ("XB\t+00\tTwo/Main",), ("broken",)], "value string")
+    later = spark.createDataFrame([("XZ,XA\t+00\tOne/Main",), ("XC,XD\t+00\tThree/Main",)], "value string")
+    known = tz.countries_of_tabs(tab, later)
+    assert dict(map(tuple, known.collect())) == {"One/Main": "XA", "Two/Main": "XB", "Three/Main": "XC"}
+    lines = ["L One/Main Old", "Link  Old Older # twice", "Z Zone 1", "L Ring/A Ring/B", "L Ring/B Ring/A", "L Nowhere Gone", "L Two/Main Three/Main", "L short"] + [f"L {f'c{i - 1}' if i else 'Two/Main'} c{i}" for i in range(40)]
+    links = tz.links_of_rules(spark.createDataFrame([(x,) for x in lines], "value string"))
+    got = dict(map(tuple, tz.with_links(known, links).collect()))
+    assert {z: c for z, c in got.items() if z[0] != "c"} == {"One/Main": "XA", "Two/Main": "XB", "Three/Main": "XC", "Old": "XA", "Older": "XA"}
+    assert {z for z in got if z[0] == "c"} == {f"c{i}" for i in range(32)}  # 32 hops and no more
+    assert dict(map(tuple, tz.with_links(known, links.where("false")).collect())) == dict(map(tuple, known.collect()))
+    with pytest.raises(FileNotFoundError):
+        tz.zones(spark, "file:///nowhere")

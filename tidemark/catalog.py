@@ -333,7 +333,7 @@ _add("metadata_split", lambda s, d: adapter.facts(s, d).where("metadata_json IS
 
 def _dashboard(s, d) -> DataFrame:
     """Every panel as rows (panel, key, a, b, c)."""
-    p = dashboard(adapter.facts(s, d), HALF, END, DAY_MS, adapter.sources(s), adapter.projects(s), shared=False)
+    p = dashboard(adapter.facts(s, d), HALF, END, DAY_MS, adapter.sources(s), adapter.projects(s))
     row = lambda name, key, a, b, c: p[name].select(F.lit(name).alias("panel"), F.expr(key).cast("string").alias("key"), *[F.expr(x).cast("long").alias(n) for n, x in zip("abc", (a, b, c), strict=True)])
     parts = [row(n, "''", "pageviews", "visitors", "events") for n in ("summary", "previous")] + [row(n, "ts", "pageviews", "visitors", "events") for n in ("series", "previous_series")]
     parts += [row("breakdowns", "dimension || '=' || key", "pageviews", "visitors", "0"), row("versions", "browser || '/' || version", "pageviews", "visitors", "0"), row("events", "key", "0", "0", "n")]

@@ -17,14 +17,20 @@ STRUCTURAL = {"mozilla", "compatible", "applewebkit", "khtml", "gecko", "like"}
 SYSTEMS = [("iOS", "iphone|ipad|ipod|ios|cfnetwork"), ("Android", "android"), ("Windows", "windows"), ("macOS", "macos|macintosh|darwin|mac os x"), ("ChromeOS", "cros"), ("Linux", "linux|ubuntu|debian|fedora")]
 #: Families of system labels by how they begin (fixed values).
 FAMILIES = [("Windows", "windows"), ("iOS", "iphone|ipad|ipod|ios"), ("macOS", "mac os|macos"), ("Android", "android"), ("ChromeOS", "chromeos"), ("Linux", "linux")]
-#: Browsers by what their user agents hold; the first that is found counts, its group is the version.
+#: Browsers by the tokens of their user agents, the first that has one counts: label, tokens of which the first that is found
+#: holds the version, and tokens that must be there too. Compatibility tokens come last (fixed values).
 BROWSERS = [
-    ("Internet Explorer", r"\bMSIE ([0-9.]+)"), ("Internet Explorer", r"\bTrident/.*\brv:([0-9.]+)"), ("Edge", r"\b(?:Edg|EdgA|EdgiOS|Edge)/([0-9.]+)"),
-    ("Opera", r"\b(?:OPR|OPiOS|OPT|OPX)/([0-9.]+)"), ("Opera", r"^Opera/.*\bVersion/([0-9.]+)"), ("Opera", r"\bOpera(?: Mini| Mobi)?[/ ]([0-9.]+)"),
-    ("Vivaldi", r"\bVivaldi/([0-9.]+)"), ("Yandex Browser", r"\bYaBrowser/([0-9.]+)"), ("SamsungBrowser", r"\bSamsungBrowser/([0-9.]+)"), ("UC Browser", r"\bUC ?Browser/([0-9.]+)"),
-    ("Firefox", r"\b(?:Firefox|FxiOS|Focus)/([0-9.]+)"), ("GSA", r"\bGSA/([0-9.]+)"), ("Chrome", r"\b(?:Chrome|CriOS|Chromium|HeadlessChrome)/([0-9.]+)"),
-    ("Safari", r"\bVersion/([0-9.]+).*\bSafari/"), ("Safari", r"\bSafari/([0-9.]+)"), ("Webview", r"\b(?:iPhone|iPad|iPod)\b.*\bMobile/()"),
+    ("Internet Explorer", "MSIE", ""), ("Internet Explorer", "rv", "Trident"), ("Edge", "Edg EdgA EdgiOS Edge", ""), ("Opera", "OPR OPiOS OPT OPX", ""), ("Opera", "Version", "Opera"), ("Opera", "Opera Opera_Mini Opera_Mobi", ""), ("Vivaldi", "Vivaldi", ""),
+    ("Yandex Browser", "YaBrowser", ""), ("SamsungBrowser", "SamsungBrowser", ""), ("UC Browser", "UCBrowser UC_Browser", ""), ("Firefox", "Firefox FxiOS Focus", ""), ("GSA", "GSA", ""), ("Chrome", "Chrome CriOS Chromium HeadlessChrome", ""),
+    ("Safari", "Version", "Safari"), ("Safari", "Safari", ""),
 ]
+_MARKS = [(label, marks.split(), also.split()) for label, marks, also in BROWSERS]
+#: All tokens in one pattern, so that an agent is read once, whatever the number of browsers.
+_TOKEN = re.compile(r"\b(" + "|".join(sorted({t.replace("_", " ") for _, marks, also in _MARKS for t in marks + also}, key=len, reverse=True)) + r")(?:[/ :]([0-9.]*))?(?![A-Za-z])")
+_WEBVIEW = re.compile(r"\b(?:iPhone|iPad|iPod)\b.*\bMobile/")
+#: Consoles and television sets, which count as desktops, by how their user agents name them: the first group is the client, the second its version.
+_APPLIANCE = re.compile(r"\b(PlayStation Vita|PlayStation Portable|PlayStation [3-9]|Nintendo (?:Switch|Wii ?U?|3DS|DSi)|New Nintendo 3DS|InettvBrowser)\b[;/]? ?([0-9][0-9.]*)?", re.I)
+_SPELT = {"playstation": "PlayStation", "nintendo": "Nintendo", "new": "New", "inettvbrowser": "InettvBrowser"}
 #: Crawlers whose names say neither bot, crawler nor spider.
 CRAWLERS = (
     "slurp|facebookexternalhit|facebookcatalog|mediapartners-google|feedfetcher-google|google-read-aloud|googleimageproxy|google-inspectiontool|apis-google|google favicon|bingpreview|ia_archiver|heritrix|nutch|"
@@ -89,6 +95,25 @@ def product(agent: str) -> tuple[str | None, str | None]:
     return None, None
 
 
+def appliance(agent: str) -> tuple[str, str | None] | None:
+    """Name and version of a console or television set."""
+    if m := _APPLIANCE.search(agent):
+        first, _, rest = m[1].partition(" ")
+        return f"{_SPELT.get(first.lower(), first)} {rest}".strip(), m[2] or None
+    return None
+
+
+def browser(agent: str) -> tuple[str, str | None] | None:
+    """Label and version of the browser whose tokens an agent holds."""
+    found: dict[str, str] = {}
+    for m in _TOKEN.finditer(agent):
+        found.setdefault(m[1].replace(" ", "_"), (m[2] or "").strip("."))
+    for label, marks, also in _MARKS:
+        if all(t in found for t in also) and (mark := next((t for t in marks if found.get(t)), None)):
+            return label, found[mark]
+    return ("Webview", None) if _WEBVIEW.search(agent) else None
+
+
 @lru_cache(maxsize=20_000)
 def classify(agent: str) -> tuple[str | None, str | None, str | None, str]:
     """(app, version, os, kind); kind: Desktop, Mobile, App or Bot."""
@@ -96,15 +121,14 @@ def classify(agent: str) -> tuple[str | None, str | None, str | None, str]:
     if not agent:
         return None, None, None, "Bot"
     system = sniff_os(agent)
-    browser = agent.startswith(("Mozilla/", "Opera/"))
     crawler = _CRAWLER.search(agent)
-    if crawler or (browser and is_bot_name(_NOT_BOTS.sub("", agent))):
+    if crawler or (agent.startswith(("Mozilla/", "Opera/")) and is_bot_name(_NOT_BOTS.sub("", agent))):
         return (crawler[0].strip("/") if crawler else product(agent)[0]), None, system, "Bot"
-    if browser:
-        for label, mark in BROWSERS:
-            if m := re.search(mark, agent):
-                mobile = system in ("iOS", "Android") or _MOBILE.search(agent)
-                return label, m[1].strip(".") or None, system, "Mobile" if mobile else "Desktop"
+    if console := appliance(agent):
+        return *console, console[0], "Desktop"
+    if agent.startswith(("Mozilla/", "Opera/")) and (known := browser(agent)):
+        mobile = system in ("iOS", "Android") or _MOBILE.search(agent)
+        return *known, system, "Mobile" if mobile else "Desktop"
     app, version = product(agent)
     nobody = is_bot_name(app) if app else system is None
     return app, version, system, "Bot" if nobody else "App"

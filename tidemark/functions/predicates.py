@@ -24,7 +24,8 @@ EXCEPTIONS = {
 }
 
 
-_PARTS = re.compile(r"\\.|\[\^?\]?(?:\\.|\[:\^?\w+:\]|[^\]\\])*\]|\(\?(?:P?<\w+>|<?[=!]|>|[A-Za-z]+[-:)]?)|.", re.S)
+_PARTS = re.compile(r"\\.|\[\^?\]?(?:\\.|\[:\^?\w+:\]|[^\]\\])*\]|\(\?(?:P?<\w+>|<?[=!]|>|[A-Za-z]*(?:-[A-Za-z]+)?[:)])|.", re.S)
+_FLAGS = re.compile(r"\(\?([A-Za-z]*)(?:-([A-Za-z]+))?([:)])")
 _POSIX = re.compile(r"\[:(\^?)(\w+):\]")
 _CLASSES = {"alnum": "Alnum", "alpha": "Alpha", "digit": "Digit", "lower": "Lower", "upper": "Upper", "punct": "Punct", "space": "Space", "xdigit": "XDigit", "blank": "Blank", "cntrl": "Cntrl", "graph": "Graph", "print": "Print"}
 
@@ -35,9 +36,15 @@ def java_pattern(pattern: str) -> str:
     Look-around, back-references, atomic groups and the flag U (which swaps greed there) are refused.
     """
     out = []
-    parts = _PARTS.findall(pattern)
-    lines = any(re.match(r"\(\?[a-z]*m", p) for p in parts)
-    for p in parts:
+    lines, outer = False, []  # whether $ is the end of a line here, and was around the open groups
+    for p in _PARTS.findall(pattern):
+        flags = _FLAGS.fullmatch(p)
+        if p[0] == "(" and not (flags and flags[3] == ")"):
+            outer.append(lines)
+        elif p == ")" and outer:
+            lines = outer.pop()
+        if flags:
+            lines = "m" not in (flags[2] or "") and (lines or "m" in flags[1])
         if re.match(r"\(\?(?:<?[=!]|>)|\\[1-9kK]", p) or re.match(r"\(\?[A-Za-z]*U", p):
             raise ValueError("look-around, back-references, atomic groups and the flag U are not supported")
         if re.match(r"\(\?P?<", p):

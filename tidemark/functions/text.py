@@ -88,7 +88,9 @@ def normalize_path(path) -> Column:
 
 
 def _decode(x) -> Column:
-    return F.coalesce(F.try_url_decode(x), x)
+    """A form value: plus signs are spaces, escapes are bytes of UTF-8, and a percent sign without two hexadecimal digits stands for itself."""
+    whole = F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(whole), x)
 
 
 def utm(url, name: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import agents, ranges, text
 from tidemark.functions.predicates import DASHBOARD, Fields
 from tidemark.schema import COLUMNS, DAY_MS, PIXEL
-from tidemark.sources import adapter, enrich, store
+from tidemark.sources import adapter, enrich, store, zones
 from tidemark.streaming import ingest
 
 START = 1_704_067_200_000
@@ -39,10 +39,13 @@ _REF = "CASE i % 5 WHEN 0 THEN 'https://www.google.com/search?q=x' WHEN 1 THEN u
 _SITE = "regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path"
 #: (i, url, the fields above, r) of every page.
 _P = f"p0 AS (SELECT page_id AS i, url, {_SITE} FROM pages), p AS (SELECT *, {_REF} AS r FROM (SELECT *, {', '.join(f'{sql} AS {n}' for n, sql in _FIELDS.items())} FROM p0))"
-#: Texts of conversations as exception reports.
-_C = """c AS (SELECT conv_id AS i, turn, 'https://app' || (conv_id % 5) || '.example.com/x' AS u, CASE WHEN turn % 2 = 0 THEN ' TypeError ' ELSE 'Oops' END AS ty, text AS msg,
- CASE WHEN turn % 3 = 0 THEN 'at run' || turn || ' (https://cdn.example.com/a.js:1:2)' || chr(10) || 'at run' || (turn + 3) || ' (https://cdn.example.com/b.js:7:9)' || chr(10) || ' at main (/srv/app/lib/util.js:10:4)' END AS stack,
- CASE WHEN turn % 4 = 1 THEN ' own ' || conv_id END AS fp, CASE WHEN turn % 2 = 1 THEN ' 1.' || turn || ' ' END AS v FROM conversations)"""
+#: Texts of conversations as exception reports: the columns, for both engines.
+_REPORT_FIELDS = {
+    "i": "conv_id", "turn": "turn", "u": "'https://app' || (conv_id % 5) || '.example.com/x'", "ty": "CASE WHEN turn % 2 = 0 THEN ' TypeError ' ELSE 'Oops' END", "msg": "text",
+    "stack": "CASE WHEN turn % 3 = 0 THEN 'at run' || turn || ' (https://cdn.example.com/a.js:1:2)' || chr(10) || 'at run' || (turn + 3) || ' (https://cdn.example.com/b.js:7:9)' || chr(10) || ' at main (/srv/app/lib/util.js:10:4)' END",
+    "fp": "CASE WHEN turn % 4 = 1 THEN ' own ' || conv_id END", "v": "CASE WHEN turn % 2 = 1 THEN ' 1.' || turn || ' ' END",
+}
+_C = f"c AS (SELECT {', '.join(f'{sql} AS {n}' for n, sql in _REPORT_FIELDS.items())} FROM conversations)"
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +62,7 @@ def _hits(spark, sf_dir) -> DataFrame:
 
 def _reports(spark, sf_dir) -> DataFrame:
     """Raw lines of exceptions, one for each turn of a conversation."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr(*[x.strip() for x in _C.removeprefix("c AS (SELECT ").removesuffix(" FROM conversations)").replace(", '", ",, '").replace(", CASE", ",, CASE").replace(", turn", ",, turn").replace(", text", ",, text").replace("\n CASE", ", CASE").replace(",, CASE", ",, CASE").split(",, ")])
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr(*[f"{sql} AS {n}" for n, sql in _REPORT_FIELDS.items()])
     body = F.to_json(F.struct("u", "ty", F.col("msg").alias("m"), F.col("stack").alias("s"), "fp", "v", (F.col("turn") % 2 == 0).alias("h")))
     return rows.select(F.lit("exception").alias("kind"), body.alias("body"), F.lit("curl/8.5.0").alias("user_agent"), *[F.lit(None).cast("string").alias(c) for c in ("accept_language", "dnt", "sec_gpc")], (F.col("i") * 1000 + F.col("turn")).alias("received_ms"))
 
@@ -135,14 +138,14 @@ _add("url_parts", lambda s, d: _pages(s, d).select("i", agents.url_fields("u").a
 _add("utm_fields", lambda s, d: _pages(s, d).select("i", *[text.utm("u", n).alias(n) for n in _UTM]), f"SELECT i, {', '.join(f'{s} AS {n}' for n, s in _UTM.items())} FROM p", _WP)
 _add(
     "referrers",
-    lambda s, d: enrich.hits(enrich.parse(_hits(s, d), "hit"), enrich.zones(s)).select("received_ms", "referrer_host", "referrer_group"),
+    lambda s, d: enrich.hits(enrich.parse(_hits(s, d), "hit"), zones.zones(s)).select("received_ms", "referrer_host", "referrer_group"),
     f"SELECT received_ms, referrer_host, {_GROUP('referrer_host')} AS referrer_group FROM (SELECT i AS received_ms, {_REFHOST} AS referrer_host FROM p WHERE {_KEPT})",
     _WP,
 )
-_add("build_event", lambda s, d: ingest.facts_of(_hits(s, d), enrich.zones(s)).select(*_EVENT_COLUMNS), _EVENT, _WP)
-_add("build_exception", lambda s, d: ingest.facts_of(_reports(s, d), enrich.zones(s)).select(*_REPORT_COLUMNS), _REPORT, _WC)
+_add("build_event", lambda s, d: ingest.facts_of(_hits(s, d), zones.zones(s)).select(*_EVENT_COLUMNS), _EVENT, _WP)
+_add("build_exception", lambda s, d: ingest.facts_of(_reports(s, d), zones.zones(s)).select(*_REPORT_COLUMNS), _REPORT, _WC)
 _add("privacy", lambda s, d: enrich.allowed(_hits(s, d)).groupBy("sec_gpc").agg(F.count(F.lit(1)).alias("n")), f"SELECT gpc AS sec_gpc, {_n(('n', 'count(*)'))} FROM p WHERE coalesce(dnt, '') <> '1' AND coalesce(gpc, '') <> '1' GROUP BY 1", _WP)
-_add("country_of_zone", lambda s, d: _pages(s, d).join(enrich.zones(s), F.col("t") == F.col("zone"), "left").groupBy("t", "country").agg(F.count(F.lit(1)).alias("n")), f"SELECT t, CASE t WHEN 'America/New_York' THEN 'US' WHEN 'Europe/Berlin' THEN 'DE' END AS country, {_n(('n', 'count(*)'))} FROM p GROUP BY 1, 2", _WP)
+_add("country_of_zone", lambda s, d: _pages(s, d).join(zones.zones(s), F.col("t") == F.col("zone"), "left").groupBy("t", "country").agg(F.count(F.lit(1)).alias("n")), f"SELECT t, CASE t WHEN 'America/New_York' THEN 'US' WHEN 'Europe/Berlin' THEN 'DE' END AS country, {_n(('n', 'count(*)'))} FROM p GROUP BY 1, 2", _WP)
 _add("primary_language_headers", lambda s, d: _pages(s, d).select("i", text.primary_language("lang").alias("language")), "SELECT i, CASE i % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' END AS language FROM p", _WP)
 _PIXELS = [("px0", "p0", "Mail", "opened", {"b": "2", "a": "1"}), ("px1", "p1", "Ad", "seen", {}), ("px2", "gone", "Old", "seen", {f"k{j:02}": "v" for j in range(40)})]
 
@@ -197,20 +200,38 @@ _add(
 )
 
 
-def _ranges(spark, sf_dir) -> DataFrame:
-    names = [None, "minute", "15m", "hour", "4h", "day", "week", "odd"]
-    rows = [(k, *ranges.resolve_range(None if k % 5 == 0 else END - k * 4 * DAY_MS, None if k % 3 == 0 else END - k * 3_600_000, names[k % 8], END)) for k in range(400)]
-    return spark.createDataFrame(rows, "k long, start long, stop long, bucket long")
-
-
+#: Requests for ranges, one for each event.
+_REQUEST = {
+    "a": "CASE WHEN seq % 5 > 0 THEN received_ms - (seq % 400) * 345600000 END", "b": "CASE WHEN seq % 3 > 0 THEN received_ms + (seq % 7) * 3600000 END",
+    "name": "CASE seq % 8 WHEN 1 THEN 'minute' WHEN 2 THEN '15m' WHEN 3 THEN 'hour' WHEN 4 THEN '4h' WHEN 5 THEN 'day' WHEN 6 THEN 'week' WHEN 7 THEN 'odd' END",
+}
+_request = [f"{sql} AS {n}" for n, sql in _REQUEST.items()]
 _add(
     "resolve_range",
-    _ranges,
-    f"""WITH a AS (SELECT k, CASE WHEN k % 3 = 0 THEN {END} ELSE {END} - k * 3600000 END AS stop FROM (SELECT unnest(range(0, 400)) AS k)),
-b AS (SELECT k, stop, greatest(0, least(CASE WHEN k % 5 = 0 THEN stop - 604800000 ELSE {END} - k * 345600000 END, stop - 1)) AS start FROM a),
+    lambda s, d: adapter.facts(s, d).selectExpr("seq", *_request).select("seq", ranges.resolve_range("a", "b", "name", END).alias("r")).select("seq", "r.*"),
+    f"""g AS (SELECT seq, {', '.join(_request)} FROM f), a1 AS (SELECT seq, a, name, greatest(1, least(coalesce(b, {END}), 4102444800000)) AS stop FROM g), b1 AS (SELECT seq, stop, name, greatest(0, least(coalesce(a, stop - 604800000), stop - 1)) AS start FROM a1),
 l AS (SELECT unnest([60000, 900000, 3600000, 14400000, 21600000, 86400000, 604800000]) AS r),
-w AS (SELECT *, CASE k % 8 WHEN 1 THEN 60000 WHEN 2 THEN 900000 WHEN 3 THEN 3600000 WHEN 4 THEN 14400000 WHEN 6 THEN 604800000 ELSE 86400000 END AS want FROM b)
-SELECT k, start, stop, CAST(coalesce((SELECT min(r) FROM l WHERE r >= want AND (stop - start) // r <= 2000), greatest((stop - start) // 2000 + 1, 604800000)) AS BIGINT) AS bucket FROM w""",
+w AS (SELECT *, CASE name WHEN 'minute' THEN 60000 WHEN '15m' THEN 900000 WHEN 'hour' THEN 3600000 WHEN '4h' THEN 14400000 WHEN 'week' THEN 604800000 ELSE 86400000 END AS want FROM b1)
+SELECT seq, start, stop, CAST(coalesce((SELECT min(r) FROM l WHERE r >= want AND (stop - start) // r <= 2000), greatest((stop - start) // 2000 + 1, 604800000)) AS BIGINT) AS bucket FROM w""",
+    adapter.SQL.rstrip() + ", ",
+)
+_add(
+    "range_presets",
+    lambda s, d: adapter.facts(s, d).selectExpr("seq", "received_ms", "CASE seq % 8 WHEN 0 THEN '24h' WHEN 1 THEN '7d' WHEN 2 THEN '30d' WHEN 3 THEN '90d' WHEN 4 THEN '180d' WHEN 5 THEN '12m' WHEN 6 THEN 'all' ELSE 'other' END AS name")
+    .select("seq", ranges.preset_range("name", "received_ms", START).alias("r"), ranges.custom_interval(F.col("seq") % 300).alias("custom")).select("seq", "r.start", "r.stop", "r.interval", "custom"),
+    f"""SELECT seq, CASE seq % 8 WHEN 6 THEN {START} WHEN 7 THEN NULL ELSE received_ms - CAST(list_extract([1, 7, 30, 90, 180, 365], seq % 8 + 1) AS BIGINT) * {DAY_MS} END AS start, CASE WHEN seq % 8 < 7 THEN received_ms END AS stop,
+ list_extract(['15m', 'hour', '4h', 'day', 'day', 'week', 'week'], seq % 8 + 1) AS interval, CASE WHEN seq % 300 <= 2 THEN '15m' WHEN seq % 300 <= 14 THEN 'hour' WHEN seq % 300 <= 60 THEN '4h' WHEN seq % 300 <= 200 THEN 'day' ELSE 'week' END AS custom FROM f""",
+    adapter.SQL,
+)
+_add(
+    "axis_ticks",
+    lambda s, d: adapter.facts(s, d).groupBy(F.expr("received_ms div 3600000").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("duration_ms"), F.lit(0)).alias("longest"))
+    .select("hour", ranges.nice_ticks("n").alias("a"), ranges.nice_ticks("longest").alias("b")).select("hour", F.col("a.step").alias("step"), F.col("a.count").alias("count"), F.col("b.step").alias("long_step"), F.col("b.count").alias("long_count")),
+    """h AS (SELECT received_ms // 3600000 AS hour, count(*) AS n, coalesce(max(duration_ms), 0) AS longest FROM f GROUP BY 1),
+l AS (SELECT greatest(1, CAST(round(m * CAST('1e' || e AS DOUBLE)) AS BIGINT)) AS step, m * CAST('1e' || e AS DOUBLE) AS x, CAST('1e' || e AS DOUBLE) AS p FROM (SELECT unnest([1, 2, 2.5, 5, 10]) AS m), (SELECT unnest(range(-1, 9)) AS e)),
+t AS (SELECT v, (SELECT min(step) FROM l WHERE p <= greatest(v / 4, 0.25) AND p * 10 > greatest(v / 4, 0.25) AND 4 * x >= v) AS step FROM (SELECT n AS v FROM h UNION SELECT longest FROM h))
+SELECT hour, a.step, greatest(1, CAST(ceil(n / a.step) AS BIGINT)) AS count, b.step AS long_step, greatest(1, CAST(ceil(longest / b.step) AS BIGINT)) AS long_count FROM h JOIN t a ON a.v = n JOIN t b ON b.v = longest""",
+    adapter.SQL.rstrip() + ", ",
 )
 
 

@@ -82,40 +82,3 @@ def pixel_hits(df: DataFrame, pixels: DataFrame) -> DataFrame:
 def is_first_today(if_modified_since, now):
     """A visitor without a cached answer from today is new today."""
     return if_modified_since.isNull() | (if_modified_since < F.date_trunc("day", now))
-
-
-def zones(spark) -> DataFrame:
-    """(zone, country) of this machine's time-zone tables: zone.tab first, then the first country of zone1970.tab, then the links of tzdata.zi. An error where it has none."""
-    import os
-
-    found: dict[str, str] = {}
-    root = "/usr/share/zoneinfo"
-    for name, first in (("zone.tab", 2), ("zone1970.tab", 2)):
-        if os.path.exists(f"{root}/{name}"):
-            with open(f"{root}/{name}") as f:
-                for row in (x.rstrip("\n").split("\t") for x in f if x[:1] not in "#\n"):
-                    found.setdefault(row[first], row[0].split(",")[0])
-    if os.path.exists(f"{root}/tzdata.zi"):
-        with open(f"{root}/tzdata.zi") as f:
-            links = {x.split()[2]: x.split()[1] for x in f if x.startswith("L ")}
-        for alias, target in links.items():
-            for _ in range(32):
-                if target in found or target not in links:
-                    break
-                target = links[target]
-            if target in found:
-                found.setdefault(alias, found[target])
-    if not found:
-        raise FileNotFoundError(f"no time-zone tables below {root}; pass a table (zone, country)")
-    return spark.createDataFrame(sorted(found.items()), "zone string, country string")
-
-
-def countries(spark) -> DataFrame:
-    """(code, name) of this machine's country table; empty where it has none."""
-    import os
-
-    at, rows = "/usr/share/zoneinfo/iso3166.tab", []
-    if os.path.exists(at):
-        with open(at, encoding="utf-8") as f:
-            rows = [tuple(x.rstrip("\n").split("\t")[:2]) for x in f if x[:1] not in "#\n"]
-    return spark.createDataFrame(rows, "code string, name string")

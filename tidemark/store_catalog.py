@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.ingest_catalog import END, HALF, START, payload_lines, payload_sql, pixel_table
 from tidemark.operators import details
 from tidemark.schema import DAY_MS, TRIAGE
-from tidemark.sources import adapter, enrich, hot, scan, store
+from tidemark.sources import adapter, hot, scan, store, zones
 from tidemark.sources.entities import Entities
 from tidemark.streaming import ingest
 
@@ -94,7 +94,7 @@ def _shared(spark, sf_dir) -> DataFrame:
     df, rows, cold = adapter.facts(spark, sf_dir), _hot(spark), store.new_folder(spark, "cold")
     folder, mark = store.new_folder(spark, "lines"), store.new_folder(spark, "mark")
     lines = payload_lines(spark, sf_dir)
-    stream = lambda: ingest.start(spark, folder, rows, mark, enrich.zones(spark), once=True, files_per_trigger=2).awaitTermination()
+    stream = lambda: ingest.start(spark, folder, rows, mark, zones.zones(spark), once=True, files_per_trigger=2).awaitTermination()
     rows.append(df.where("seq % 2 = 0"))
     lines.where("received_ms % 2 = 0").repartition(3).write.mode("append").json(folder)
     stream()
@@ -270,7 +270,7 @@ def _stream(spark, sf_dir) -> DataFrame:
     rows = _hot(spark)
     payload_lines(spark, sf_dir).repartition(4).write.json(folder)
     known = lambda: spark.read.parquet(names) if store.exists(spark, names) else spark.createDataFrame([], "uri string")
-    ingest.start(spark, folder, rows, mark, enrich.zones(spark), once=True, register=lambda fresh: fresh.write.mode("append").parquet(names), known=known, files_per_trigger=2).awaitTermination()
+    ingest.start(spark, folder, rows, mark, zones.zones(spark), once=True, register=lambda fresh: fresh.write.mode("append").parquet(names), known=known, files_per_trigger=2).awaitTermination()
     counts = rows.read().groupBy("kind", "source").agg(_count(), F.count_distinct("seq").alias("numbers"))
     return counts.unionByName(spark.read.parquet(names).groupBy(F.lit("new").alias("kind"), F.col("uri").alias("source")).agg(_count(), F.lit(0).cast("long").alias("numbers")))
 
@@ -283,6 +283,47 @@ _add(
 )
 
 
+def _new_sources(spark, sf_dir) -> DataFrame:
+    """A stream over payloads and events in two runs; some of the sources are known when it first begins."""
+    folder, mark = store.new_folder(spark, "lines"), store.new_folder(spark, "mark")
+    tables, now = Entities(spark, store.new_folder(spark, "entities")), dt.datetime(2024, 1, 1)
+    tables.register(adapter.sources(spark).where("uri LIKE 'https%'"), now, 10_000)
+    lines = payload_lines(spark, sf_dir)
+    for part in (0, 1):
+        lines.where(F.col("received_ms") % 2 == part).repartition(3).write.mode("append").json(folder)
+        facts = ingest.facts_of(ingest.lines(spark, folder, 4), zones.zones(spark))
+        ingest.register_sources(spark, facts, tables, mark, now + dt.timedelta(days=1 + part), once=True).awaitTermination()
+    return tables.read("sources").select("uri", "kind", F.unix_date(F.to_date("created_at")).cast("long").alias("day"))
+
+
+_add(
+    "new_sources_stream",
+    _new_sources,
+    """s AS (SELECT source, min(received_ms % 2) AS part FROM lines GROUP BY 1) SELECT uri, CASE WHEN uri LIKE 'app://%' THEN 'application' ELSE 'website' END AS kind, CAST(19723 AS BIGINT) AS day FROM sources WHERE uri LIKE 'https%'
+ UNION ALL SELECT source, 'website', 19724 + part FROM s WHERE source NOT IN (SELECT uri FROM sources)""",
+    adapter.SQL.rstrip() + f", {payload_sql()}, ",
+)
+
+
+def _links(spark, sf_dir) -> DataFrame:
+    """Zones by nation, and customers as aliases: of a nation, of another customer, in chains that are too long, or in rings."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("Zone/"), "n_nationkey").alias("zone"), F.substring("n_name", 1, 2).alias("country"))
+    links = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('c', c_custkey) AS alias", f"{_TARGET} AS target")
+    return zones.with_links(nations, links).groupBy("country").agg(_count(), F.max("zone").alias("last"))
+
+
+_TARGET = "CASE WHEN c_custkey % 11 = 0 THEN concat('Zone/', c_nationkey) WHEN c_custkey % 211 = 1 THEN concat('c', c_custkey + 1) WHEN c_custkey % 211 = 2 THEN concat('c', c_custkey - 1) WHEN c_custkey % 50 < 49 THEN concat('c', c_custkey - 1) ELSE concat('c', c_custkey - 11) END"
+_add(
+    "zone_links",
+    _links,
+    f"""WITH RECURSIVE known AS (SELECT 'Zone/' || n_nationkey AS zone, substr(n_name, 1, 2) AS country FROM nation), l AS (SELECT 'c' || c_custkey AS alias, {_TARGET} AS target FROM customer),
+way AS (SELECT alias, alias AS now, 0 AS hops FROM l UNION ALL SELECT w.alias, l.target, w.hops + 1 FROM way w JOIN l ON l.alias = w.now WHERE w.hops < 32),
+every AS (SELECT zone, country FROM known UNION ALL SELECT DISTINCT w.alias, k.country FROM way w JOIN known k ON k.zone = w.now)
+SELECT country, {_n(('n', 'count(*)'))}, max(zone) AS last FROM every GROUP BY 1""",
+    "",
+)
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

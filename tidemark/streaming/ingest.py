@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from tidemark.schema import MAX_SOURCES
 from tidemark.sources import enrich
+from tidemark.sources.entities import Entities
 from tidemark.sources.hot import HotStore
 from tidemark.sources.scan import new_sources
 
@@ -43,6 +46,55 @@ def start(spark: SparkSession, folder: str, hot: HotStore, checkpoint: str, zone
     return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime="1 second")).start()
 
 
+class _FirstSeen(StatefulProcessor):
+    """Lets the first row of a key through. Keys of the initial state have been seen."""
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "known boolean")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.update((True,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield Row(uri=key[0])
+
+    def close(self) -> None:
+        pass
+
+
+def _each_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0).unique()], ["source"])
+
+
+def new_source_stream(facts: DataFrame, known: DataFrame) -> DataFrame:
+    """Streaming URIs (column uri) of facts that are met for the first time and were not known when the stream first began.
+
+    The stream's state holds a row a source, seeded from known (column uri) at the first start; a batch
+    is looked up in it by key and is never joined with all known sources. Batches send a source once a task.
+    """
+    sources = facts.select("source").where("source IS NOT NULL").mapInArrow(_each_once, "source string").groupBy("source")
+    seen = known.select(F.col("uri").alias("source")).distinct().groupBy("source")
+    return sources.transformWithState(statefulProcessor=_FirstSeen(), outputStructType="uri string", outputMode="Append", timeMode="None", initialState=seen)
+
+
+#: The state store that keyed state needs.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def register_sources(spark: SparkSession, facts: DataFrame, entities: Entities, checkpoint: str, now, once: bool = False):
+    """Starts a query that registers new sources of a stream of facts, up to MAX_SOURCES. A batch that is run again finds its sources registered."""
+    was = spark.conf.get(ROCKS[0])
+    spark.conf.set(*ROCKS)
+    try:
+        stream = new_source_stream(facts, entities.read("sources")).writeStream.foreachBatch(lambda fresh, _: entities.register(fresh, now, MAX_SOURCES) if not fresh.isEmpty() else None).option("checkpointLocation", checkpoint)
+        return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime="1 minute")).start()
+    finally:
+        spark.conf.set(ROCKS[0], was)
+
+
 def live_series(facts: DataFrame, bucket: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
     """Streaming counts by epoch-aligned bucket of received time, each row once by its sequence number."""
     at = F.timestamp_millis("received_ms")
