@@ -694,6 +694,15 @@ def test_every_pair_has_one_shard(counts, size, vocabulary):
     assert (np.diff(at) >= 0).all()
 
 
+def test_words_of_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(textops.Words, "hashes", lambda w: (w.end - w.start).astype(np.uint64))  # words of one length agree
+    windows = decontam.Windows([("i", b"one two six"), ("j", b"abc def")])
+    windows.set_counts({int(x): 1 for keys in windows.shingles.values() for x in keys})
+    text = b"two one six one two six abc dex abc def"
+    for _, _, w in decontam.tokens(pa.array([text], pa.binary())):
+        assert sorted(windows.hits(w, w.hashes())) == [(0, 3, 6), (1, 8, 10)]
+
+
 @pytest.mark.parametrize("limit", [decontam.BLOCK_BYTES, 1])
 def test_items_without_an_id_have_the_empty_name(spark, limit):
     docs = spark.createDataFrame([(1, "x one two three y"), (2, "four five"), (3, None)], "doc_id long, text string")

@@ -5,29 +5,28 @@ A window is contained only if all its shingles are, so one of them, its rarest i
 necessary prefix. Documents are probed with prefix shingles alone; a hit is kept if the document has
 room for the whole window around it (length and positional bounds) and the words agree one by one.
 
-A benchmark of at most BLOCK_BYTES is one broadcast block, probed in one map-only scan. A larger one is
-read block by block, of which only one is broadcast at a time; the occurrences that each finds are
-written, and documents' hit words and items are counted over all of them by a shuffle.
+A benchmark of at most BLOCK_BYTES is broadcast and probed in one map-only scan. A larger one is joined
+by a shuffle of prefixes with the same rules: places in documents that have a prefix, found by a Bloom
+filter of bounded size, meet the windows and bring the words around them.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.bloom import EVERYTHING, bloom_of
 from tidemark.llm.runtime import doc_key, materialise, read_table, ship
 from tidemark.llm.textops import Words, byte_class, ngrams, slices, split_words
 
 WINDOW = 13
 SHINGLE = 5
-#: Benchmark items are probed in blocks of about this many bytes, each broadcast by itself (a window of two to six bytes takes some 250 in memory).
+#: A benchmark of at most this many bytes is broadcast (a word of it takes some 500 in memory).
 BLOCK_BYTES = 4 << 20
 _ALNUM = byte_class("alnum")
 
@@ -43,25 +42,28 @@ class Windows:
     def __init__(self, items: list[tuple[str, bytes]]):
         self.items = [i for i, _ in items]
         self.rows: list[tuple[int, int, np.ndarray]] = []  # item, width, word hashes
+        self.words: list[list[bytes]] = []
         for a, b, w in tokens(pa.array([t for _, t in items], pa.binary())):
             h = w.hashes()
             for item in range(a, b):
                 own = h[w.first[item - a] : w.first[item - a + 1]]
                 n = min(WINDOW, len(own))
                 if n:
+                    plain = [w.word(i) for i in range(w.first[item - a], w.first[item - a + 1])]
                     self.rows += [(item, n, own[i : i + n]) for i in range(len(own) - n + 1)]
+                    self.words += [plain[i : i + n] for i in range(len(own) - n + 1)]
         self.widths = sorted({min(SHINGLE, n) for _, n, _ in self.rows})
         self.shingles = {k: np.unique(np.concatenate([ngrams(h, k) for _, n, h in self.rows if min(SHINGLE, n) == k])) for k in self.widths}
 
     def set_counts(self, counts: dict[int, int]) -> None:
         """Each window's prefix is its rarest shingle (ties: the lower hash)."""
         found: dict[int, dict[int, list]] = {k: {} for k in self.widths}
-        for item, n, h in self.rows:
+        for (item, n, h), words in zip(self.rows, self.words, strict=True):
             k = min(SHINGLE, n)
             s = ngrams(h, k)
             at = min(range(len(s)), key=lambda i: (counts.get(int(s[i]), 0), int(s[i])))
             if counts.get(int(s[at]), 0):
-                found[k].setdefault(int(s[at]), []).append((item, at, h))
+                found[k].setdefault(int(s[at]), []).append((item, at, h, words))
         self.prefixes = {k: (np.array(sorted(v), np.uint64), [v[x] for x in sorted(v)]) for k, v in found.items()}
 
     def hits(self, w: Words, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -73,10 +75,11 @@ class Windows:
             where = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
             for p in np.flatnonzero(keys[where] == g):
                 lo, hi = w.first[w.doc[p]], w.first[w.doc[p] + 1]
-                for item, at, words in uses[where[p]]:
-                    a = p - at
-                    if lo <= a and a + len(words) <= hi and (h[a : a + len(words)] == words).all():
-                        yield item, int(a), int(a) + len(words)
+                for item, at, hashes, words in uses[where[p]]:
+                    a, n = p - at, len(words)
+                    # hashes sort out what cannot be equal; words are compared byte by byte
+                    if lo <= a and a + n <= hi and (h[a : a + n] == hashes).all() and all(w.word(a + i) == x for i, x in enumerate(words)):
+                        yield item, int(a), int(a) + n
 
 
 def _count(windows, batches) -> Iterator[pa.RecordBatch]:
@@ -123,32 +126,20 @@ def _probe(windows, batches) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _spans(windows, batches) -> Iterator[pa.RecordBatch]:
-    """(k, tie, item, a, b) of every occurrence; a, b: its words in the text."""
-    for batch in batches:
-        for start, _, w in tokens(batch.column(2)):
-            found = [(w.doc[x], windows.value.items[item], x - w.first[w.doc[x]], y - w.first[w.doc[x]]) for item, x, y in windows.value.hits(w, w.hashes())]
-            if found:
-                row, item, a, b = zip(*found, strict=True)
-                at = pa.array(start + np.array(row))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(item, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["k", "tie", "item", "a", "b"])
-
-
 def count_words(texts: pa.Array) -> pa.Array:
     n = [np.diff(w.first) for _, _, w in tokens(texts)]
     return pa.array(np.concatenate(n) if n else [], pa.int64())
 
 
-def item_blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Items in blocks of at most `limit` bytes (a longer item is a block), one after another."""
-    block, size = [], 0
+def head_of(items: DataFrame, limit: int) -> list[tuple[str, bytes]] | None:
+    """All items, if their texts have at most `limit` bytes together; no more than one item beyond that is read."""
+    out, size = [], 0
     for r in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t")).toLocalIterator():
-        if block and size + len(r.t) > limit:
-            yield block
-            block, size = [], 0
-        block.append((r.i, bytes(r.t)))
         size += len(r.t)
-    yield block
+        if size > limit:
+            return None
+        out.append((r.i, bytes(r.t)))
+    return out
 
 
 def prepared(texts: DataFrame, items: list[tuple[str, bytes]]):
@@ -165,19 +156,92 @@ def prepared(texts: DataFrame, items: list[tuple[str, bytes]]):
     return sc.broadcast(windows)
 
 
-def _with_hits(docs: DataFrame, blocks: Iterator[list]) -> DataFrame:
-    """docs (k, tie, text binary and more) with n_words, n_hit and items, over any number of blocks. Equal rows of (k, tie) have equal texts."""
-    parts = []
-    for items in blocks:
-        sent = prepared(docs, items)
-        if sent.value:
-            found = docs.select("k", "tie", "text").mapInArrow(lambda it, s=sent: _spans(s, it), "k long, tie long, item string, a long, b long")
-            parts.append(materialise(found.distinct(), "spans"))
-        sent.unpersist()
-    rows = docs.withColumn("n_words", F.arrow_udf(count_words, "long")("text"))
-    if not parts:
-        return rows.withColumn("n_hit", F.lit(0).cast("long")).withColumn("items", F.array().cast("array<string>"))
-    found = reduce(DataFrame.unionByName, parts)
+# a benchmark that is too large to be sent out: the same join as a shuffle
+
+
+def _window_rows(batches) -> Iterator[pa.RecordBatch]:
+    """(item, n, body, shingles) of every window of items: its words, joined by one space, and their shingles' hashes."""
+    for batch in batches:
+        for a, b, w in tokens(batch.column(1)):
+            h, j, out = w.hashes(), w.joined(), ([], [], [], [])
+            line = j.data.tobytes()
+            for d in range(b - a):
+                lo, hi = int(w.first[d]), int(w.first[d + 1])
+                n = min(WINDOW, hi - lo)
+                if n:
+                    s = ngrams(h[lo:hi], min(SHINGLE, n)).view(np.int64)
+                    each = range(hi - lo - n + 1)
+                    out[0].extend([a + d] * len(each))
+                    out[1].extend([n] * len(each))
+                    out[2].extend(line[j.start[lo + i] : j.end[lo + i + n - 1]] for i in each)
+                    out[3].extend(s[i : i + n - min(SHINGLE, n) + 1] for i in each)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))], ["item", "n", "body", "shingles"])
+
+
+def _counted(asked, widths: list[int], batches) -> Iterator[pa.RecordBatch]:
+    """(shingle, n) of the shingles of some texts that the filter knows."""
+    for batch in batches:
+        for _, _, w in tokens(batch.column(0)):
+            h = w.hashes()
+            for k in widths:
+                g = ngrams(h, k)
+                x, n = np.unique(g[asked.value.has(g)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
+
+
+def _met(asked, widths: list[int], batches) -> Iterator[pa.RecordBatch]:
+    """(shingle, k, tie, p, lo, hi, near) of every place where a text has a prefix that the filter knows: the words around it, from word lo, of hi words of the text."""
+    for batch in batches:
+        for a, _, w in tokens(batch.column(2)):
+            h, j = w.hashes(), w.joined()
+            line = j.data.tobytes()
+            for width in widths:
+                g = ngrams(h, width)
+                p = np.flatnonzero(asked.value.has(g))
+                p = p[p + width <= w.first[w.doc[p] + 1]] if len(p) else p
+                first, last = w.first[w.doc[p]], w.first[w.doc[p] + 1]
+                lo, hi = np.maximum(p - WINDOW + 1, first), np.minimum(p + WINDOW, last)
+                near = [line[x:y].decode() for x, y in zip(j.start[lo].tolist(), j.end[hi - 1].tolist(), strict=True)] if len(p) else []
+                row = pa.array(a + w.doc[p])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g[p].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(p - first), pa.array(lo - first), pa.array(last - first), pa.array(near, pa.string())],
+                    ["shingle", "k", "tie", "p", "lo", "hi", "near"],
+                )
+
+
+def _filter(hashes: DataFrame, column: str):
+    """A broadcast Bloom filter of bounded size; one that knows everything where the list is too long for it."""
+    return hashes.sparkSession.sparkContext.broadcast(bloom_of(hashes, column, hashes.count()) or EVERYTHING)
+
+
+def shuffled_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(k, tie, a, b, body): words a to b of a text are the window body. docs: (k, tie, text binary).
+
+    Two scans of docs, whatever the benchmark's size: one counts the windows' shingles, one finds the
+    places of the chosen prefixes. Places meet windows by a shuffle and bring the words around them.
+    """
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary"))
+    windows = materialise(items.mapInArrow(_window_rows, "item string, n int, body binary, shingles array<long>"), "windows")
+    each = windows.groupBy("body").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    widths = sorted(r[0] for r in windows.select(F.least("n", F.lit(SHINGLE))).distinct().collect())
+    asked = _filter(materialise(windows.select(F.explode("shingles").alias("shingle")).distinct(), "shingles"), "shingle")
+    counts = docs.select("text").mapInArrow(lambda it: _counted(asked, widths, it), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("often"))
+    own = each.select("body", "n", F.size("shingles").alias("of"), F.posexplode("shingles").alias("at", "shingle")).join(counts, "shingle")
+    # a window of which the corpus lacks a shingle occurs nowhere; of the others the rarest shingle is the prefix
+    prefixes = own.groupBy("body").agg(F.first("n").alias("n"), F.first("of").alias("of"), F.count(F.lit(1)).alias("found"), F.min(F.struct("often", "shingle", "at")).alias("rarest"))
+    prefixes = materialise(prefixes.where("found = of").select("body", "n", "rarest.shingle", "rarest.at"), "window-prefixes")
+    sent = _filter(prefixes.select("shingle").distinct(), "shingle")
+    met = docs.select("k", "tie", "text").mapInArrow(lambda it: _met(sent, widths, it), "shingle long, k long, tie long, p long, lo long, hi long, near string")
+    start = F.col("p") - F.col("at")
+    both = met.join(prefixes, "shingle").where((start >= 0) & (start + F.col("n") <= F.col("hi")))
+    same = F.array_join(F.slice(F.split("near", " "), (start - F.col("lo") + 1).cast("int"), F.col("n")), " ").cast("binary") == F.col("body")
+    spans = materialise(both.where(same).select("k", "tie", start.alias("a"), (start + F.col("n")).alias("b"), "body").distinct(), "spans")
+    return spans.join(windows.select("body", "item").distinct(), "body")
+
+
+def _with_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs (k, tie, text binary and more) with n_words, n_hit and items. Equal rows of (k, tie) have equal texts."""
+    rows, found = docs.withColumn("n_words", F.arrow_udf(count_words, "long")("text")), shuffled_spans(docs, benchmark)
     words = found.select("k", "tie", "a", "b").distinct().select("k", "tie", F.explode(F.sequence("a", F.col("b") - 1)).alias("p")).distinct()
     words = words.groupBy("k", "tie").agg(F.count(F.lit(1)).alias("n_hit"))
     items = found.groupBy("k", "tie").agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -192,13 +256,12 @@ def _named(docs: DataFrame, key: str, *more) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with all columns, of which hit words are none or under a twentieth."""
     ship(docs.sparkSession)
-    blocks = item_blocks(benchmark, limit)
-    head = list(islice(blocks, 2))
-    if len(head) == 1:
-        shared = prepared(docs.select(F.col("text").cast("binary")), head[0])
+    head = head_of(benchmark, limit)
+    if head is not None:
+        shared = prepared(docs.select(F.col("text").cast("binary")), head)
         at = docs.columns.index("text")
         return docs.mapInArrow(lambda it: _clean(shared, at, it), docs.schema)
-    rows = _with_hits(_named(docs, "doc_id", F.struct(*docs.columns).alias("row")), chain(head, blocks))
+    rows = _with_hits(_named(docs, "doc_id", F.struct(*docs.columns).alias("row")), benchmark)
     return rows.where(~is_contaminated(F.col("n_hit"), F.col("n_words"))).select("row.*")
 
 
@@ -208,18 +271,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", li
     Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z. A null or
     wordless text has 0 words and no hit; a null or wordless item has no window. Items with equal
     windows are all reported, a null item_id as the empty string; repeated rows of docs each give a row. Only `key`, `text`, `item_id`
-    are read, so other columns cannot clash. An empty benchmark finds nothing. The benchmark is the
-    query set, taken in blocks of at most `limit` bytes.
+    are read, so other columns cannot clash. An empty benchmark finds nothing. One of more than
+    `limit` bytes of text is not sent out but joined by a shuffle.
     """
     ship(docs.sparkSession)
-    blocks = item_blocks(benchmark, limit)
-    head = list(islice(blocks, 2))
-    if len(head) == 1:
+    head = head_of(benchmark, limit)
+    if head is not None:
         rows = docs.select(F.col(key).alias("_key"), F.col("text").cast("binary").alias("text"))
-        shared = prepared(rows, head[0])
+        shared = prepared(rows, head)
         out = rows.mapInArrow(lambda it: _probe(shared, it), f"_key {docs.schema[key].dataType.simpleString()}, n_words long, n_hit long, items array<string>")
     else:
-        out = _with_hits(_named(docs, key, F.col(key).alias("_key")), chain(head, blocks)).select("_key", "n_words", "n_hit", "items")
+        out = _with_hits(_named(docs, key, F.col(key).alias("_key")), benchmark).select("_key", "n_words", "n_hit", "items")
     return out.withColumnRenamed("_key", key)
 
 
