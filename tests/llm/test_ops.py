@@ -153,20 +153,34 @@ def test_automaton_knows_the_first_document_of_each_window(docs, width):
     assert auto.least_of_windows(["z"] * width, width) == [None]
 
 
-@pytest.mark.parametrize(("bits", "hot"), [(bloom.MAX_BITS, None), (0, None), (bloom.MAX_BITS, 4), (bloom.MAX_BITS, 0), (0, 4)])
-def test_substrings_against_brute_force(spark, monkeypatch, bits, hot):
+@pytest.mark.parametrize(("bits", "hot", "often", "words"), [(bloom.MAX_BITS, None, 64, 50_000), (0, None, 64, 50_000), (bloom.MAX_BITS, 4, 2, 50_000), (bloom.MAX_BITS, 0, 1, 900), (0, 4, 64, 900), (bloom.MAX_BITS, None, 1, 50_000), (bloom.MAX_BITS, None, 3, 400), (0, None, 2, 2_000)])
+def test_substrings_against_brute_force(spark, monkeypatch, bits, hot, often, words):
     monkeypatch.setattr(bloom, "MAX_BITS", bits)  # 0: the shuffled join instead of the filter
     r = np.random.default_rng(3)
     parts = [[f"w{x}" for x in r.integers(0, 50, 20)] for _ in range(6)]
     docs = [(i, sum((parts[r.integers(6)][r.integers(0, 5) : r.integers(12, 20)] if r.random() < 0.6 else [f"u{x}" for x in r.integers(0, 9, 7)] for _ in range(r.integers(1, 6))), [])) for i in range(60)]
     df = spark.createDataFrame([(i, "  ".join(w)) for i, w in docs], "doc_id long, text string").repartition(5)
     want = brute_windows(docs, 13, lambda f, me: f[0] < me[0])
-    for row in substring.remove_repeats(df, hot=hot).collect():
+    for row in substring.remove_repeats(df, hot=hot, often=often, shard_words=words).collect():
         gone = want[row.doc_id]
         assert bytes(row.kept).decode().split() == [w for j, w in enumerate(docs[row.doc_id][1]) if j not in gone]
         assert sum(s["to"] - s["from"] for s in row.spans) == len(gone)
 
 
+def test_an_anchor_of_many_words_takes_several_automata(monkeypatch):
+    monkeypatch.setattr(substring, "SHARD_WORDS", 40)
+    r = np.random.default_rng(9)
+    docs = [[f"w{x}" for x in r.integers(0, 3, r.integers(4, 12))] for _ in range(60)]
+    rows = [(7, " ".join(d).encode(), i, 10**6) for i, d in enumerate(docs)]
+    made = pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows]) for c in range(4)], ["key", "body", "lo", "hi"])
+    got = {(r["h"], tuple(r["leasts"])) for b in substring._match(4, [made]) for r in b.to_pylist()}
+    least = {}
+    for i, d in enumerate(docs):
+        for a in range(len(d) - 3):
+            least.setdefault(tuple(d[a : a + 4]), i)
+    assert got == {(substring.body_hash(b), tuple(least[tuple(d[a : a + 4])] for a in range(len(d) - 3))) for (_, b, _, _), d in zip(rows, docs, strict=True)}
+
+
 def test_substring_edges(odd, empty):
     rows = {(r.doc_id, r.n_words): bytes(r.kept) for r in substring.remove_repeats(odd).collect()}
     assert rows[(8, 15)] == b"" and rows[(1, 15)].decode() == P + " alpha" and rows[(2, 15)] == b"intro" and rows[(None, 16)] == b"no id"
