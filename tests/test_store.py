@@ -1,12 +1,13 @@
 import datetime as dt
 import json
 from concurrent.futures import ThreadPoolExecutor
+from threading import Event
 
 import pytest
 from pyspark.sql import functions as F
 from rows import exc, frame, load
 
-from tidemark.schema import COLUMNS, DAY_MS, PIXEL, PROJECT, SOURCE, TRIAGE
+from tidemark.schema import COLUMNS, DAY_MS, MAX_BODY, PIXEL, PROJECT, SOURCE, TRIAGE
 from tidemark.sources import enrich, hot, log, scan, store
 from tidemark.sources import zones as tz
 from tidemark.sources.entities import Entities
@@ -130,6 +131,28 @@ def test_upkeep(spark, tmp_path):
     assert scan.window(spark, cold, store_, 0, 99 * DAY_MS).count() == 2
 
 
+def test_upkeep_goes_on_after_a_failure(spark, tmp_path):
+    store_, stop, told, times = hot.HotStore(spark, str(tmp_path / "hot")), Event(), [], iter([5 * DAY_MS, 6 * DAY_MS])
+    store_.append(frame(spark, load(1)))
+
+    def clock():
+        if len(told) == 0:
+            raise OSError("no clock")
+        now = next(times)
+        if now > 5 * DAY_MS:
+            stop.set()
+        return now
+
+    assert hot.keep_up(store_, str(tmp_path / "cold"), "me", stop, clock, every_ms=1, failed=told.append) == 2
+    assert [str(e) for e in told] == ["no clock"] and store_.read().count() == 0
+
+
+def test_large_bodies_are_refused(spark):
+    body = lambda n: '{"u":"https://e.com/","n":"' + "x" * n + '"}'
+    lines = spark.createDataFrame([(body(n),) for n in (5, MAX_BODY - 29, MAX_BODY - 28, 10**6)] + [(None,), ("",)], "body string")
+    assert sorted(len(r.n) for r in enrich.parse(lines, "hit").collect()) == sorted(n for n in (5, MAX_BODY - 29, MAX_BODY - 28) if len(body(n)) <= MAX_BODY)
+
+
 def test_regroup_rewrites_changed_parts_only(spark, tmp_path):
     at, cold, aside, state = place(tmp_path, "hot", "cold", "aside", "state")
     stack = {"exc_stack": "at handler (app.js:1:2)"}

@@ -39,3 +39,5 @@ BOUNCE_MS, MIN_SAMPLES, MAX_POINTS = (100, 5000), 5, 5000
 DAY_MS = 86_400_000
 MAX_PATH, KEEP_HOT_MS, EVERY_MS = 1024, 48 * 3_600_000, 3_600_000
 MAX_FIELD, MAX_APP_FIELD, MAX_METADATA, MAX_VALUE, MAX_MESSAGE, MAX_STACK, MAX_SOURCES = 256, 120, 32, 1024, 1000, 16_000, 10_000
+#: Bytes of a payload; larger ones are refused unread.
+MAX_BODY = 16 * 1024

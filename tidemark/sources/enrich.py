@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.functions.agents import ua_classes, url_fields
-from tidemark.schema import HIT, MAX_APP_FIELD, MAX_FIELD, MAX_MESSAGE, MAX_PATH, MAX_STACK, REPORT
+from tidemark.schema import HIT, MAX_APP_FIELD, MAX_BODY, MAX_FIELD, MAX_MESSAGE, MAX_PATH, MAX_STACK, REPORT
 from tidemark.sources.scan import conform
 
 
 def parse(lines: DataFrame, kind: str) -> DataFrame:
-    """JSON text in column `body` as payload columns; lines that are no JSON object, or a hit of an unknown kind, go."""
+    """JSON text in column `body` as payload columns; lines of more than MAX_BODY bytes, that are no JSON object, or a hit of an unknown kind, go."""
     schema = HIT if kind == "hit" else REPORT
-    rows = lines.withColumn("p", F.from_json("body", schema)).where(F.col("p.u").isNotNull())
+    rows = lines.where(F.octet_length("body") <= MAX_BODY).withColumn("p", F.from_json("body", schema)).where(F.col("p.u").isNotNull())
     if kind == "hit":
         rows = rows.where(F.coalesce("p.e", F.lit("load")).isin("load", "unload", "custom"))
     return rows.select("p.*", *[c for c in lines.columns if c != "body"])

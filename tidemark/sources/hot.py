@@ -17,7 +17,10 @@ them, so numbers are unique across writers and restarts; a writer that is cut of
 from __future__ import annotations
 
 import uuid
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
+from threading import Event
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -53,9 +56,9 @@ class HotStore:
     def state(self) -> dict:
         return self.log.load()[1]
 
-    def span(self) -> tuple[int, int]:
+    def span(self, state: dict | None = None) -> tuple[int, int]:
         """Times of the first and last row, from the log; (0, -1) if there is none."""
-        parts = self.state()["parts"].values()
+        parts = (self.state() if state is None else state)["parts"].values()
         return (min(p["first"] for p in parts), max(p["last"] for p in parts)) if parts else (0, -1)
 
     def parts_of(self, names: list[str]) -> DataFrame:
@@ -63,10 +66,10 @@ class HotStore:
             return self.spark.createDataFrame([], FACT)
         return self.spark.read.schema(FACT).parquet(*[f"{self.folder}/{n}" for n in names])
 
-    def read(self, start: int | None = None, end: int | None = None) -> DataFrame:
-        """The rows of the newest version. Parts that have no rows from `start` up to `end` are not opened; others are read whole."""
+    def read(self, start: int | None = None, end: int | None = None, state: dict | None = None) -> DataFrame:
+        """The rows of the newest version, or of a state that was taken before. Parts that have no rows from `start` up to `end` are not opened; others are read whole."""
         inside = lambda p: (start is None or p["last"] >= start) and (end is None or p["first"] < end)
-        return self.parts_of([n for n, p in self.state()["parts"].items() if inside(p)])
+        return self.parts_of([n for n, p in (self.state() if state is None else state)["parts"].items() if inside(p)])
 
     # appending
 
@@ -199,6 +202,10 @@ class HotStore:
         return gone
 
 
+def _warn(e: Exception) -> None:
+    warnings.warn(f"upkeep failed: {e}", stacklevel=3)
+
+
 def upkeep(hot: HotStore, cold: str, now: int, owner: str, keep_hot_ms: int = store.KEEP_HOT_MS, every_ms: int = store.EVERY_MS, keep_cold_ms: int | None = None, vacuum_ms: int = store.DAY_MS) -> dict | None:
     """Compaction, retention and vacuum, if they are due and nobody else is at it. Returns what was moved and deleted, or None.
 
@@ -215,3 +222,15 @@ def upkeep(hot: HotStore, cold: str, now: int, owner: str, keep_hot_ms: int = st
     finally:
         hot.release("replace", owner)
     return {"moved": moved, "days": days, "vacuumed": len(gone)}
+
+
+def keep_up(hot: HotStore, cold: str, owner: str, stop: Event, clock: Callable[[], int], every_ms: int = store.EVERY_MS, failed: Callable[[Exception], None] = _warn, **more) -> int:
+    """Calls `upkeep` whenever it can be due, until `stop` is set; returns how many runs did something. A run that fails is told to `failed`, and the next one tries again."""
+    done = 0
+    while not stop.is_set():
+        try:
+            done += upkeep(hot, cold, clock(), owner, every_ms=every_ms, **more) is not None
+        except Exception as e:  # noqa: BLE001  the next run may succeed
+            failed(e)
+        stop.wait(max(every_ms, 1000) / 1000)
+    return done

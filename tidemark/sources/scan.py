@@ -147,7 +147,8 @@ def window(spark: SparkSession, cold: str, hot, start: int, end: int, skip: Call
     The hot store's version is taken first: rows that are moved afterwards are then seen twice, and
     never not at all.
     """
-    young, span = hot.read(start, end), hot.span()
+    state = hot.state()
+    young, span = hot.read(start, end, state), hot.span(state)
     old = read_cold(spark, cold, start, end, skip) if Files(spark, cold).exists(cold) else spark.createDataFrame([], FACT)
     return combined(old, young, start, end, span)
 
