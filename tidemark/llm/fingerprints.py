@@ -84,9 +84,13 @@ def with_next(docs: DataFrame, key: str = "k", quantiles: int = QUANTILES, rows:
     inner = Window.partitionBy("stretch").orderBy(key, "tie")
     row = F.struct(*docs.columns)
     rows = rows.withColumn("n", F.lead(row).over(inner))
-    first = docs.withColumn("stretch", at.cast("int")).groupBy("stretch").agg(F.min_by(row, F.struct(key, "tie")).alias("f"))
+    # the first row of each stretch: found by key and tie alone, and fetched whole by a semi join, so that no more rows are described anew
+    head = docs.select(key, "tie", at.cast("int").alias("stretch")).groupBy("stretch").agg(F.min(F.struct(key, "tie")).alias("f"))
     over = Window.orderBy("stretch")
-    first = first.select("stretch", F.coalesce(F.lead("f").over(over), F.first("f").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("f"))
+    head = head.select("stretch", F.coalesce(F.lead("f").over(over), F.first("f").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("f"))
+    head = materialise(head.select("stretch", F.col(f"f.{key}").alias(key), "f.tie"), "stretches")
+    whole = docs.join(head.select(key, "tie").distinct(), [key, "tie"], "left_semi").dropDuplicates([key, "tie"]).select(key, "tie", row.alias("f"))
+    first = head.join(whole, [key, "tie"]).select("stretch", "f")
     rows = rows.join(first, "stretch", "left")
     return rows.withColumn("n", F.coalesce("n", "f")).drop("f", "stretch")
 
@@ -102,16 +106,17 @@ def op1_fingerprint(spark, sf_dir: str, hash_of: Callable[[Column], Column] = wi
     docs = read_table(spark, sf_dir, "documents")
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key(F.col("doc_id")).alias("k"), F.xxhash64(body).alias("tie"), body.alias("text"))
-    keyed = keyed.withColumn("h", hash_of(canonical(F.col("text"))))
+    # digests are made after neighbours have met: each text and each edited text is normalised once
     pairs = with_next(keyed)
     new = edited(F.col("text"), F.col("n.text"))
     digests = materialise(
         pairs.select(
             "doc_id", "k", "tie", F.col("n.k").alias("nk"), F.col("n.tie").alias("ntie"), F.length("text").cast("long").alias("n_chars"),
-            F.sha2(new, 256).alias("edited_sha256"), "h", hash_of(canonical(new)).alias("eh"), F.col("n.h").alias("nh"),
+            F.sha2(new, 256).alias("edited_sha256"), hash_of(canonical(F.col("text"))).alias("h"), hash_of(canonical(new)).alias("eh"),
         ),
         "fingerprint-digests",
     )
+    digests = digests.join(digests.select(F.col("k").alias("nk"), F.col("tie").alias("ntie"), F.col("h").alias("nh")).dropDuplicates(["nk", "ntie"]), ["nk", "ntie"])
     # byte comparison inside every bucket of more than one row, over originals and edited texts
     both = digests.select(F.explode(F.array("h", "eh")).alias("hash"))
     many = both.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
