@@ -337,11 +337,20 @@ def keep_first(docs: DataFrame) -> DataFrame:
     checksum of its other columns stays, so reruns agree. Null and wordless texts are copies of each other.
     """
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    known = [doc_key(F.col("doc_id")).alias("_k"), F.xxhash64(body).alias("_tie")]
-    rows, member = groups(docs.select(known[0].alias("k"), known[1].alias("tie"), body.cast("binary").alias("text")))
-    root = F.coalesce("root", "node")
-    first = rows.join(member, "node", "left").groupBy(root.alias("root")).agg(F.min(F.struct("k", "tie")).alias("f"))
-    first = first.select(F.col("f.k").alias("_k"), F.col("f.tie").alias("_tie"))
-    own = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))).alias("_order"), *known)
-    one = own.join(first, ["_k", "_tie"], "left_semi").groupBy("_k", "_tie").agg(F.min_by("_row", "_order").alias("_row"))
-    return one.select("_row.*")
+    known_as = [doc_key(F.col("doc_id")).alias("_k"), F.xxhash64(body).alias("_tie")]
+    rows, member = groups(docs.select(known_as[0].alias("k"), known_as[1].alias("tie"), body.cast("binary").alias("text")))
+    names = rows.join(member, "node", "left").groupBy("k", "tie").agg(F.first(F.coalesce("root", "node")).alias("root"), F.count(F.lit(1)).alias("c"))
+    names = materialise(names, "names")
+    first = names.groupBy("root").agg(F.min(F.struct("k", "tie")).alias("f"))
+    # names of rows that go, or of which there are several; the others are the only row of theirs to stay
+    doubtful = names.join(first, "root").where((F.struct("k", "tie") != F.col("f")) | (F.col("c") > 1)).select("k", "tie", (F.struct("k", "tie") == F.col("f")).alias("stays"))
+    doubtful = materialise(doubtful.withColumn("name", F.xxhash64("k", "tie")), "doubtful")
+    sent = _filter(doubtful, "name")
+    known = F.arrow_udf(lambda x: pa.array(sent.value.has(x.to_numpy())), "boolean")(F.xxhash64("_k", "_tie"))
+    own = docs.select("*", *known_as).withColumn("_doubtful", known)
+    sure = own.where("not _doubtful").select(*docs.columns)
+    # only rows that the filter takes for doubtful meet the list by a shuffle
+    asked = own.where("_doubtful").select(F.struct(*docs.columns).alias("_row"), F.xxhash64(F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))).alias("_order"), "_k", "_tie")
+    asked = asked.join(doubtful.select(F.col("k").alias("_k"), F.col("tie").alias("_tie"), "stays"), ["_k", "_tie"], "left").where(F.coalesce("stays", F.lit(True)))
+    one = asked.groupBy("_k", "_tie").agg(F.min_by("_row", "_order").alias("_row"))
+    return sure.unionByName(one.select("_row.*"))
