@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import struct
 import unicodedata
 import zlib
 from collections import Counter
@@ -356,6 +357,20 @@ def test_shards(spark, odd, empty):
     assert len(got) == len(ODD) and {r.size for r in got if r.doc_id in (3, 4)} == {1} and sharding.assign_shards(empty).count() == 0
 
 
+def test_shards_equal_brute_force_scheduling(spark):
+    r = np.random.default_rng(12)
+    texts = [f"text {i} " + "x" * int(n) for i, n in enumerate(r.integers(1, 4000, 70))]
+    picks = [texts[i] for i in r.integers(0, 70, 300)]
+    docs = spark.createDataFrame(list(enumerate(picks)), "doc_id long, text string").repartition(5)
+    groups = sorted(((sum(len(t) + 1 for t in picks if t == g), hashlib.sha256(g.encode()).hexdigest(), g) for g in set(picks)), key=lambda x: (-x[0], x[1]))
+    for shards in (3, 16):
+        loads, at = [0] * shards, {}
+        for size, _, g in groups:  # every group is large enough to be scheduled by itself
+            at[g] = min(range(shards), key=lambda s: (loads[s], s))
+            loads[at[g]] += size
+        assert {r.doc_id: r.shard for r in sharding.assign_shards(docs, shards).collect()} == {i: at[t] for i, t in enumerate(picks)}
+
+
 def test_slots_of_a_hot_group_in_many_parts(spark):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 200, "copy").otherwise(F.col("id").cast("string")).alias("text"))
     one, many = (sharding.assign_shards(docs, 4, part_rows=n).collect() for n in (10**6, 3))
@@ -614,6 +629,37 @@ def test_mix_follows_targets(spark, odd, empty):
     assert mixing.sample_copies(odd).count() == len(ODD) and mixing.sample_copies(empty).count() == 0
 
 
+def spark_xxhash(*values):
+    """Spark's xxhash64 of ints (as tuples ("i", x)), longs, texts and nulls."""
+    h = 42
+    for v in values:
+        if v is not None:
+            data = struct.pack("<i", v[1]) if isinstance(v, tuple) else struct.pack("<q", v) if isinstance(v, int) else v.encode()
+            h = xxhash.xxh64_intdigest(data, h)
+    return h - 2**64 if h >> 63 else h
+
+
+@pytest.mark.parametrize("part_rows", [10**6, 20])
+def test_mix_equals_brute_force(spark, part_rows):
+    r = np.random.default_rng(13)
+    rows = [(None if r.random() < 0.1 else int(i // 2), " ".join(["w"] * int(r.integers(0, 200))), [None, "a", "b", "é"][r.integers(4)]) for i in range(150)] + [(7, None, "a")] * 2
+    got = mixing.sample_copies(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), part_rows=part_rows).collect()
+    sizes = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for _, _, s in rows}
+    goal, parts, ranked = brute_targets(sizes), 16 + len(rows) // part_rows, {}
+    for i, t, s in rows:
+        n, h = len((t or "").split()), spark_xxhash(i, t, s)
+        unit = 2 ** max(len(f"{n:b}") - 6, 0)
+        part = spark_xxhash(("i", 42), i, h) % parts
+        ranked.setdefault(s, []).append(((n // unit * unit, part, n, spark_xxhash(("i", 42), i), i is not None, i or 0, h), i, t, s))
+    want = []
+    for s, own in ranked.items():
+        offset = spark_xxhash(("i", 42), "n" if s is None else "s" + s) % (1 << 20) / (1 << 20)
+        rate = goal[s] / sizes[s] if sizes[s] else 0.0
+        for rank, (_, i, t, _) in enumerate(sorted(own, key=lambda x: x[0]), 1):
+            want.append((i, t, s, math.floor(rank * rate + offset) - math.floor((rank - 1) * rate + offset)))
+    assert sorted(map(str, want)) == sorted(str((x.doc_id, x.text, x.source, x.copies)) for x in got)
+
+
 def test_equal_and_null_ids_are_mixed_alike_in_any_order(spark):
     rows = [(None if i % 2 else 7, f"w{i} x y", "en", "ab"[i % 3 == 0], i) for i in range(80)]
     seen = set()
