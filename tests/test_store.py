@@ -264,20 +264,28 @@ def test_enrichment(spark):
 
 
 def test_stream_equals_batch_and_registers_sources(spark, tmp_path):
-    box, store_ = tmp_path / "in", hot.HotStore(spark, str(tmp_path / "hot"))
+    box, store_, tables = tmp_path / "in", hot.HotStore(spark, str(tmp_path / "hot")), Entities(spark, str(tmp_path / "e"))
     box.mkdir()
     (box / "a.json").write_text("\n".join(json.dumps(x) for x in LINES[:3]))
-    seen = []
-    known = lambda: spark.createDataFrame([], "uri string")
-    go = lambda: ingest.start(spark, str(box), store_, str(tmp_path / "cp"), zones(spark), once=True, register=lambda df: seen.extend(r.uri for r in df.collect()), known=known).awaitTermination()
+    go = lambda: ingest.start(spark, str(box), store_, str(tmp_path / "cp"), zones(spark), once=True).awaitTermination()
+    tables.register(spark.createDataFrame([("https://known.com",)], "uri string"), dt.datetime(2024, 1, 1), 10)
+
+    def register(day):
+        facts = ingest.facts_of(ingest.lines(spark, str(box)), zones(spark))
+        ingest.register_sources(spark, facts, tables, str(tmp_path / "cs"), dt.datetime(2024, 1, day), once=True).awaitTermination()
+
     go()
+    register(2)
     store_.append(frame(spark, load(4)))
-    (box / "b.json").write_text("\n".join(json.dumps(x) for x in LINES[3:]))
+    more = [raw("hit", {"e": "load", "u": f"https://{h}.com/"}, received_ms=5000) for h in ("known", "new", "new")]
+    (box / "b.json").write_text("\n".join(json.dumps(x) for x in LINES[3:] + more))
     go()
+    register(3)
     got = store_.read().where("received_ms > 4")
-    want = ingest.facts_of(spark.createDataFrame(LINES, ingest.RAW), zones(spark))
+    want = ingest.facts_of(spark.createDataFrame(LINES + more, ingest.RAW), zones(spark))
     assert sorted(map(str, got.drop("seq").collect())) == sorted(map(str, want.drop("seq").collect()))
-    assert [r.seq for r in store_.read().orderBy("seq").collect()] == [1, 2, 3, 4] and seen == ["https://example.com", "https://example.com"]
+    assert [r.seq for r in store_.read().orderBy("seq").collect()] == list(range(1, 8))
+    assert sorted((r.uri, r.created_at.day) for r in tables.read("sources").collect()) == [("https://example.com", 2), ("https://known.com", 1), ("https://new.com", 3)]
 
 
 def test_live_series(spark, tmp_path):

@@ -266,13 +266,14 @@ _add(
 
 
 def _stream(spark, sf_dir) -> DataFrame:
-    folder, mark, names = (store.new_folder(spark, x) for x in ("lines", "mark", "sources"))
-    rows = _hot(spark)
+    folder, mark, marks = (store.new_folder(spark, x) for x in ("lines", "mark", "mark"))
+    rows, tables = _hot(spark), Entities(spark, store.new_folder(spark, "entities"))
     payload_lines(spark, sf_dir).repartition(4).write.json(folder)
-    known = lambda: spark.read.parquet(names) if store.exists(spark, names) else spark.createDataFrame([], "uri string")
-    ingest.start(spark, folder, rows, mark, zones.zones(spark), once=True, register=lambda fresh: fresh.write.mode("append").parquet(names), known=known, files_per_trigger=2).awaitTermination()
+    ingest.start(spark, folder, rows, mark, zones.zones(spark), once=True, files_per_trigger=2).awaitTermination()
+    facts = ingest.facts_of(ingest.lines(spark, folder, 2), zones.zones(spark))
+    ingest.register_sources(spark, facts, tables, marks, dt.datetime(2024, 1, 1), once=True).awaitTermination()
     counts = rows.read().groupBy("kind", "source").agg(_count(), F.count_distinct("seq").alias("numbers"))
-    return counts.unionByName(spark.read.parquet(names).groupBy(F.lit("new").alias("kind"), F.col("uri").alias("source")).agg(_count(), F.lit(0).cast("long").alias("numbers")))
+    return counts.unionByName(tables.read("sources").groupBy(F.lit("new").alias("kind"), F.col("uri").alias("source")).agg(_count(), F.lit(0).cast("long").alias("numbers")))
 
 
 _add(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -13,7 +13,6 @@ from tidemark.schema import MAX_SOURCES
 from tidemark.sources import enrich
 from tidemark.sources.entities import Entities
 from tidemark.sources.hot import HotStore
-from tidemark.sources.scan import new_sources
 
 #: A raw line with its request; `kind` is hit or exception.
 RAW = "kind string, body string, user_agent string, accept_language string, dnt string, sec_gpc string, received_ms long"
@@ -30,20 +29,14 @@ def facts_of(raw: DataFrame, zones: DataFrame) -> DataFrame:
     return hits.unionByName(enrich.reports(enrich.parse(raw.where("kind = 'exception'").drop("kind"), "exception")))
 
 
-def sink(hot: HotStore, zones: DataFrame, stream: str = "payloads", register: Callable[[DataFrame], None] | None = None, known: Callable[[], DataFrame] | None = None):
+def sink(hot: HotStore, zones: DataFrame, stream: str = "payloads"):
     """A foreachBatch function that appends to the hot store. A batch that is run again adds nothing twice: the store knows the last one of each stream."""
+    return lambda raw, batch: hot.append(facts_of(raw, zones), (stream, batch)) and None
 
-    def write(raw: DataFrame, batch: int) -> None:
-        facts = facts_of(raw, zones)
-        if hot.append(facts, (stream, batch)) and register is not None and known is not None:
-            register(new_sources(facts, known(), MAX_SOURCES))
 
-    return write
-
-
-def start(spark: SparkSession, folder: str, hot: HotStore, checkpoint: str, zones: DataFrame, once: bool = False, files_per_trigger: int = 512, **more):
-    stream = lines(spark, folder, files_per_trigger).writeStream.foreachBatch(sink(hot, zones, **more)).option("checkpointLocation", checkpoint)
-    return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime="1 second")).start()
+def start(spark: SparkSession, folder: str, hot: HotStore, checkpoint: str, zones: DataFrame, once: bool = False, files_per_trigger: int = 512, stream: str = "payloads"):
+    query = lines(spark, folder, files_per_trigger).writeStream.foreachBatch(sink(hot, zones, stream)).option("checkpointLocation", checkpoint)
+    return (query.trigger(availableNow=True) if once else query.trigger(processingTime="1 second")).start()
 
 
 class _FirstSeen(StatefulProcessor):
