@@ -371,6 +371,14 @@ def test_shards_equal_brute_force_scheduling(spark):
         assert {r.doc_id: r.shard for r in sharding.assign_shards(docs, shards).collect()} == {i: at[t] for i, t in enumerate(picks)}
 
 
+def test_rows_without_id_are_numbered_in_many_parts(spark):
+    docs = spark.range(400).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("doc_id"), F.lit("copy").alias("text")).repartition(3)
+    rows = sharding.assign_shards(docs, 4, part_rows=30).collect()
+    assert len({r.shard for r in rows}) == 1 and sorted(r.slot for r in rows) == list(range(400)) and sum(r.doc_id is None for r in rows) == 300
+    none = sorted(r.slot for r in rows if r.doc_id is None)
+    assert none[-1] - none[0] > 300  # they are not one run of slots, as they were dealt out
+
+
 def test_slots_of_a_hot_group_in_many_parts(spark):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 200, "copy").otherwise(F.col("id").cast("string")).alias("text"))
     one, many = (sharding.assign_shards(docs, 4, part_rows=n).collect() for n in (10**6, 3))

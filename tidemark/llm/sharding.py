@@ -49,7 +49,8 @@ def assign_shards(docs: DataFrame, shards: int = 16, text: str = "text", key: st
         F.crc32(F.col("t").cast("binary")).alias("text_crc32"),
         F.sha2("t", 256).alias("digest"),
     )
-    rows = materialise(rows, "shard-rows")
+    # rows without an id are told apart by their place, which is written down with them
+    rows = materialise(rows.withColumn("place", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), "shard-rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
     light = F.concat(F.lit("u"), F.pmod(F.xxhash64("digest"), F.lit(units)).cast("string"))
     groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
@@ -60,7 +61,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, text: str = "text", key: st
     sizes = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()
     shard_of = lpt([(r.unit, r.bytes) for r in sizes], shards)
     plan = docs.sparkSession.createDataFrame([(r.unit, shard_of[r.unit], PARTS + r.n // part_rows) for r in sizes], "unit string, shard int, parts long")
-    part = F.pmod(F.xxhash64(doc_key(F.col("doc_id"))), F.col("parts"))
+    part = F.pmod(F.xxhash64(doc_key(F.col("doc_id")), "place"), F.col("parts"))
     parts = rows.join(F.broadcast(plan), "unit").withColumn("part", part).drop("parts")
     counts = parts.groupBy("shard", "unit", "part").agg(F.count(F.lit(1)).alias("n"))
     # at most (UNITS + HEAVY) * PARTS rows and one more for each part_rows rows
