@@ -9,26 +9,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.predicates import is_event
 from tidemark.operators.metrics import between
 from tidemark.schema import COLUMNS, DAY_MS, FACT
 from tidemark.sources.log import Files
 
 PARTITIONED = T.StructType([*FACT.fields, T.StructField("event_date", T.DateType()), T.StructField("shard", T.IntegerType())])
-#: Sessions of a day are dealt into this many shards, and all its exceptions are in one of their own.
+#: Page views of a day are dealt into this many shards by session; its exceptions and its events are in one each.
 SHARDS = 16
-EXCEPTIONS = SHARDS
+EXCEPTIONS, EVENTS = SHARDS, SHARDS + 1
 
 
 def shard() -> Column:
     """The cold table's second partition column, by kind and session; rows of no session are dealt out by time."""
     key = F.coalesce(F.nullif("sid", F.lit("")), F.col("received_ms").cast("string"))
-    return F.when(F.col("kind") == "exception", EXCEPTIONS).otherwise(F.pmod(F.xxhash64(key), F.lit(SHARDS)).cast("int")).cast("int")
+    return F.when(F.col("kind") == "exception", EXCEPTIONS).when(is_event(), EVENTS).otherwise(F.pmod(F.xxhash64(key), F.lit(SHARDS)).cast("int")).cast("int")
 
 
 def session_shards(sid: str) -> Column:
     """Where a session's rows can lie. The session's own shard is a constant, so other partitions are pruned."""
     own = F.pmod(F.xxhash64(F.lit(sid)), F.lit(SHARDS)).cast("int")
-    return (F.col("shard") == own) | (F.col("shard") == EXCEPTIONS)
+    return (F.col("shard") == own) | F.col("shard").isin(EXCEPTIONS, EVENTS)
 
 
 def conform(df: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def read_cold(spark: SparkSession, path: str, start: int | None = None, end: int
 
 
 def read_session(spark: SparkSession, path: str, sid: str, start: int | None = None, end: int | None = None) -> DataFrame:
-    """The cold rows of one session: two of a day's shards, and in them the row groups whose statistics and Bloom filters allow it."""
+    """The cold rows of one session: three of a day's shards, and in them the row groups whose statistics and Bloom filters allow it."""
     return read_cold(spark, path, start, end, shards=session_shards(sid)).where(F.col("sid") == sid)
 
 
@@ -120,9 +121,14 @@ def read_group(spark: SparkSession, path: str, group: str, start: int | None = N
     return read_cold(spark, path, start, end, shards=F.col("shard") == EXCEPTIONS).where((F.col("kind") == "exception") & (F.col("exc_group") == group))
 
 
+def read_events(spark: SparkSession, path: str, name: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """The cold rows of custom and pixel events of one name: one of a day's shards, sorted by name."""
+    return read_cold(spark, path, start, end, shards=F.col("shard") == EVENTS).where(is_event() & (F.col("event_name") == name))
+
+
 def read_sessions(spark: SparkSession, path: str, ids: list[str], start: int | None = None, end: int | None = None) -> DataFrame:
     """The cold rows of a few sessions, as `traces_of` asks for them."""
-    shards = F.col("shard") == EXCEPTIONS
+    shards = F.col("shard").isin(EXCEPTIONS, EVENTS)
     for sid in ids:
         shards = shards | session_shards(sid)
     return read_cold(spark, path, start, end, shards=shards).where(F.col("sid").isin(*ids))

@@ -62,19 +62,25 @@ def with_seq(df: DataFrame, after: int) -> DataFrame:
 
 
 def write_cold(df: DataFrame, cold: str) -> int:
-    """Adds rows to their day and shard partitions; a shard's rows are spread over tasks by group, session and time. Returns how many.
-
-    A session's rows lie in one shard of a day (its exceptions in the shard of exceptions) and close to
-    each other there; Bloom filters of sessions and groups let readers pass over row groups without them.
-    """
+    """Adds rows to their day and shard partitions, clustered. Returns how many."""
     seen = Observation()
-    order = ["event_date", "shard", "exc_group", "sid", "received_ms"]
-    rows = conform(df).withColumn("event_date", event_date()).withColumn("shard", shard()).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = clustered(conform(df).withColumn("event_date", event_date()).withColumn("shard", shard()))
     # counted behind the shuffle: what is before it runs once more to sample the bounds
     cold_writer(rows.observe(seen, F.count(F.lit(1)).alias("n"))).mode("append").parquet(cold)
     return seen.get["n"]
 
 
+def clustered(rows: DataFrame) -> DataFrame:
+    """Rows of day and shard partitions, spread over tasks and sorted by exception group, event name, session and time.
+
+    A session's page views lie in one shard of a day and close to each other there, and so do an
+    exception group's and an event's rows in theirs. Bloom filters of sessions and groups let readers
+    pass over row groups without them.
+    """
+    order = ["event_date", "shard", "exc_group", "event_name", "sid", "received_ms"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def cold_writer(rows: DataFrame) -> DataFrameWriter:
     """Parquet by day and shard with Bloom filters, which grow with what a row group holds."""
     out = rows.write.partitionBy("event_date", "shard").option("parquet.bloom.filter.adaptive.enabled", "true")
@@ -147,9 +153,8 @@ def regroup_cold(spark: SparkSession, cold: str, staging: str) -> int:
     days = {r.event_date: r.n for r in rows.groupBy("event_date").agg(F.count_if("changed").alias("n")).where("n > 0").collect()}
     if days:
         # written aside first, since a table cannot be overwritten while it is read
-        order = ["event_date", "shard", "exc_group", "sid", "received_ms"]
         rows.where(F.col("event_date").isin(list(days))).drop("changed").write.mode("overwrite").parquet(staging)
-        again = spark.read.schema(PARTITIONED).parquet(staging).repartitionByRange(*order).sortWithinPartitions(*order)
+        again = clustered(spark.read.schema(PARTITIONED).parquet(staging))
         cold_writer(again).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(cold)
     return sum(days.values())
 

@@ -224,6 +224,20 @@ _add(
 )
 
 
+def _events(spark, sf_dir) -> DataFrame:
+    df = adapter.facts(spark, sf_dir)
+    name = df.where("kind IN ('custom', 'pixel') AND event_name IS NOT NULL").groupBy("event_name").agg(_count()).orderBy(F.desc("n"), "event_name").first().event_name
+    return details.event_variants(scan.read_events(spark, _cold(spark, df), name, HALF, END), 50).select("metadata_json", "n", "first_ms", "last_ms")
+
+
+_NAME = "(SELECT event_name FROM f WHERE kind IN ('custom', 'pixel') AND event_name IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+_add(
+    "event_lookup",
+    _events,
+    f"SELECT metadata_json, {_n(('n', 'count(*)'))}, min(received_ms) AS first_ms, max(received_ms) AS last_ms FROM f WHERE kind IN ('custom', 'pixel') AND event_name = {_NAME} AND received_ms >= {HALF} GROUP BY 1 ORDER BY n DESC, metadata_json NULLS FIRST LIMIT 50",
+)
+
+
 def _entities(spark, sf_dir) -> DataFrame:
     """Changes to the small tables, two of which meet: both count."""
     start = {"projects": adapter.projects(spark), "sources": adapter.sources(spark).withColumns({"kind": F.lit("website"), "created_at": F.lit(None).cast("timestamp"), "first_seen": F.lit(None).cast("timestamp"), "last_seen": F.lit(None).cast("timestamp")}), "pixels": pixel_table(spark)}
