@@ -161,8 +161,10 @@ def test_regroup_rewrites_changed_parts_only(spark, tmp_path):
     store_ = hot.HotStore(spark, at)
     for rows in (good, frame(spark, exc(2, "stale", **stack), load(3))):
         store_.append(rows)
+    assert store_.take("replace", "compaction", 5, 1000) and store.regroup_if_needed(spark, store_, cold, state, aside, 5) is None
+    store_.release("replace", "compaction")
     day0, parts = sorted((tmp_path / "cold" / "event_date=1970-01-01").rglob("*.parquet")), set(store_.state()["parts"])
-    assert store.regroup_if_needed(spark, store_, cold, state, aside) == (1, 1) and store.regroup_if_needed(spark, store_, cold, state, aside) is None
+    assert store.regroup_if_needed(spark, store_, cold, state, aside, 5) == (1, 1) and store.regroup_if_needed(spark, store_, cold, state, aside, 5) is None
     assert sorted((tmp_path / "cold" / "event_date=1970-01-01").rglob("*.parquet")) == day0 and len(parts & set(store_.state()["parts"])) == 1
     rows = scan.read_cold(spark, cold).unionByName(store_.read())
     assert rows.where("kind = 'exception'").select("exc_group").distinct().count() == 1 and rows.count() == 6

@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import uuid
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from threading import Event
 
@@ -126,6 +127,16 @@ class HotStore:
     def release(self, name: str, owner: str) -> None:
         self.log.commit(lambda s: s | {"leases": {k: v for k, v in s["leases"].items() if k != name or v["owner"] != owner}})
 
+    @contextmanager
+    def alone(self, owner: str, now: int) -> Iterator[bool]:
+        """Whether `owner` may replace parts and rewrite the cold table inside the block: nobody else does so by this store's lease."""
+        mine = self.take("replace", owner, now)
+        try:
+            yield mine
+        finally:
+            if mine:
+                self.release("replace", owner)
+
     def _replace(self, old: list[str], new: dict, **more) -> None:
         def change(s: dict) -> dict:
             if not set(old) <= s["parts"].keys():
@@ -157,7 +168,7 @@ class HotStore:
         return Move(moved, list(due), young)
 
     def compact(self, cold: str, cutoff: int) -> int:
-        """Moves rows received before `cutoff` to the cold table; returns how many. Parts without such rows are not touched, nor is what is appended meanwhile."""
+        """To be called inside `alone`. Moves rows received before `cutoff` to the cold table; returns how many. Parts without such rows are not touched, nor is what is appended meanwhile."""
         move = self.copy_old(cold, cutoff)
         if move is None:
             return 0
@@ -212,15 +223,15 @@ def upkeep(hot: HotStore, cold: str, now: int, owner: str, keep_hot_ms: int = st
     To be called by a scheduler as often as it likes, on any number of machines: a run is due once in
     every_ms, and one owner holds the lease. An owner that dies keeps it until it runs out.
     """
-    if now < store.next_run(hot.state()["last_run"], every_ms) or not hot.take("replace", owner, now):
+    if now < store.next_run(hot.state()["last_run"], every_ms):
         return None
-    try:
+    with hot.alone(owner, now) as mine:
+        if not mine:
+            return None
         moved = hot.compact(cold, store.cutoff(now, keep_hot_ms))
         days = store.enforce_retention(hot.spark, cold, now, keep_cold_ms) if keep_cold_ms is not None and store.exists(hot.spark, cold) else []
         gone = hot.vacuum(now - vacuum_ms)
         hot.log.commit(lambda s: s | {"last_run": now})
-    finally:
-        hot.release("replace", owner)
     return {"moved": moved, "days": days, "vacuumed": len(gone)}
 
 

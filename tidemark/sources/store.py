@@ -138,12 +138,19 @@ def applied_version(spark: SparkSession, state: str) -> int:
     return spark.read.parquet(state).first()[0] if exists(spark, state) else 0
 
 
-def regroup_if_needed(spark: SparkSession, hot, cold: str, state: str, staging: str, version: int = FINGERPRINT_VERSION) -> tuple[int, int] | None:
-    """Groups stored exceptions of a HotStore and the cold table anew if they were grouped by other rules, and writes the version down. (hot, cold) rows changed, or None if nothing was due."""
+def regroup_if_needed(spark: SparkSession, hot, cold: str, state: str, staging: str, now: int, owner: str = "regroup", version: int = FINGERPRINT_VERSION) -> tuple[int, int] | None:
+    """Groups stored exceptions of a HotStore and the cold table anew if they were grouped by other rules, and writes the version down.
+
+    (hot, cold) rows changed, or None if nothing was due or another step is at the store. The cold
+    rewrite replaces whole partitions, so it must not meet a compaction: both hold the store's lease.
+    """
     if applied_version(spark, state) == version:
         return None
-    changed = hot.regroup(), regroup_cold(spark, cold, f"{staging}/cold") if exists(spark, cold) else 0
-    spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("overwrite").parquet(state)
+    with hot.alone(owner, now) as mine:
+        if not mine:
+            return None
+        changed = hot.regroup(), regroup_cold(spark, cold, f"{staging}/cold") if exists(spark, cold) else 0
+        spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("overwrite").parquet(state)
     return changed
 
 

@@ -178,8 +178,8 @@ def _regroup(spark, sf_dir) -> DataFrame:
     stale = adapter.facts(spark, sf_dir).withColumn("exc_group", F.when(F.col("exc_group").isNotNull() & (F.col("seq") % 3 == 0), "old").otherwise(F.col("exc_group")))
     state, aside = store.new_folder(spark, "state"), store.new_folder(spark, "staging")
     rows, cold = _hot(spark, stale.where(F.col("received_ms") >= HALF)), _cold(spark, stale.where(F.col("received_ms") < HALF))
-    changed = store.regroup_if_needed(spark, rows, cold, state, aside)
-    again = store.regroup_if_needed(spark, rows, cold, state, aside)
+    changed = store.regroup_if_needed(spark, rows, cold, state, aside, END)
+    again = store.regroup_if_needed(spark, rows, cold, state, aside, END)
     groups = rows.read().unionByName(scan.read_cold(spark, cold)).where("exc_group IS NOT NULL").groupBy(F.col("exc_group").alias("what")).agg(_count())
     marks = spark.createDataFrame([("hot", changed[0]), ("cold", changed[1]), ("version", store.applied_version(spark, state)), ("again", int(again is not None))], "what string, n long")
     return groups.unionByName(marks)
