@@ -110,6 +110,18 @@ def test_versions_are_published_once(spark, tmp_path):
     assert not [n for n, _, _ in first.files.listed(first.folder) if not n.startswith("0")]
 
 
+def test_versions_in_a_store_without_links(spark, tmp_path):
+    (tmp_path / "far").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.far.link./x", f"file://{tmp_path}/far")
+    first, second = (log.Log(spark, "viewfs://far/x/store", {"n": 0}) for _ in range(2))
+    assert first.files.fs.getScheme() == "viewfs" and first.commit(lambda s: {"n": 1})[0] == 1
+    assert not second.files.publish("other", f"{second.folder}/{1:020}.json") and second.commit(lambda s: {"n": s["n"] + 1}) == (2, {"n": 2}) == first.load()
+    assert [n for n, _, _ in first.files.listed(first.folder)] == sorted(f"{v:020}.json" for v in (1, 2)) or len(first.versions()) == 2
+    far = hot.HotStore(spark, "viewfs://far/x/hot")
+    assert far.append(frame(spark, load(1), load(DAY_MS))) == 2 and far.compact("viewfs://far/x/cold", 5) == 1
+    assert scan.window(spark, "viewfs://far/x/cold", far, 0, 2 * DAY_MS).count() == 2 and scan.list_days(spark, "viewfs://far/x/cold").count() == 1
+
+
 def test_leases_do_not_overlap(spark, tmp_path):
     stores = [hot.HotStore(spark, str(tmp_path / "hot")) for _ in range(4)]
     with ThreadPoolExecutor(4) as pool:
