@@ -312,23 +312,41 @@ _talk = lambda s, d: s.read.parquet(f"{d}/conversations.parquet")
 _add("summary_line", lambda s, d: _talk(s, d).select("conv_id", "turn", text.summary_line("text").alias("line")), "SELECT conv_id, turn, coalesce(list_filter(list_transform(string_split_regex(text, '\\r?\\n'), lambda v: trim(v, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda v: v <> '')[1], '') AS line FROM conversations", "")
 _add("normalize_path", lambda s, d: _pages(s, d).select("page_id", text.normalize_path(F.regexp_extract("url", "^https?://[^/?#]*([^?#]*)", 1)).alias("path")), "SELECT page_id, CASE WHEN p = '' THEN '/' ELSE p END AS path FROM (SELECT page_id, regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') AS p FROM pages)", "")
 _add("slugify", lambda s, d: _docs(s, d).select("doc_id", text.slugify("source").alias("slug"), text.slugify("text").alias("both")), "SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'project') AS slug, coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'project') AS both FROM documents", "")
-_add("primary_language", lambda s, d: _docs(s, d).select("doc_id", text.primary_language(F.concat("lang", F.lit("-XX,en;q=0.5"))).alias("language")), "SELECT doc_id, lang AS language FROM documents", "")
+_add(
+    "primary_language",
+    lambda s, d: _docs(s, d).select("doc_id", text.primary_language(F.concat(F.substring_index("text", " ", 1), F.when(F.col("doc_id") % 2 == 0, "-XX;q=1, en").otherwise(" ,fr"))).alias("language")),
+    """SELECT doc_id, CASE WHEN regexp_full_match(x, '[a-z]+') THEN x END AS language FROM (SELECT doc_id, lower(split_part(trim(split_part(split_part(h, ',', 1), ';', 1)), '-', 1)) AS x
+ FROM (SELECT doc_id, split_part(text, ' ', 1) || CASE WHEN doc_id % 2 = 0 THEN '-XX;q=1, en' ELSE ' ,fr' END AS h FROM documents))""",
+    "",
+)
 _add("utm_extract", lambda s, d: _pages(s, d).select("page_id", text.utm(F.concat("url", F.when(F.locate("?", F.col("url")) > 0, "&").otherwise("?"), F.lit("utm_source=a&utm_source=+b%20"), "page_id"), "utm_source").alias("utm_source")), "SELECT page_id, 'b ' || page_id AS utm_source FROM pages WHERE url NOT LIKE '%#%' UNION ALL SELECT page_id, NULL FROM pages WHERE url LIKE '%#%'", "")
 _add("strip_urls", lambda s, d: _pages(s, d).select("page_id", text.strip_urls(F.concat(F.lit("at ("), "url", F.lit(") end"))).alias("t")), "SELECT page_id, regexp_replace('at (' || url || ') end', '[A-Za-z]+://[^ \\t\\n\\r)\\]}>\"''`,;]*', '', 'g') AS t FROM pages", "")
 
 
-def _masked(s, d) -> DataFrame:
-    h = F.md5(F.col("url").cast("binary"))
-    part = lambda a, n: F.substring(h, a, n)
-    uuid = F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12))
-    line = F.concat_ws(" ", F.lit("at"), uuid, F.concat(F.lit("0x"), part(1, 6)), F.concat(part(1, 12), F.lit("1")), F.lit("end"))
-    return _pages(s, d).select("page_id", text.mask_ids(line).alias("t"))
-
-
-_add("mask_ids", _masked, "SELECT page_id, 'at <uuid> <addr> <hash> end' AS t FROM pages", "")
+#: Words like ids of changing lengths and glued to other letters, for both engines.
+_IDS = {
+    "h": "substr(md5(url), 1, 6 + cast(page_id % 12 as int))", "a": "'0x' || substr(md5(url), 7, cast(page_id % 4 as int))", "g": "CASE page_id % 3 WHEN 0 THEN 'g' WHEN 1 THEN '_' ELSE '' END || substr(md5(url), 3, 14)",
+    "u": "CASE WHEN page_id % 5 = 0 THEN upper(md5(url)) ELSE md5(url) END", "p": "CASE WHEN page_id % 2 = 0 THEN '(' ELSE '-' END",
+}
+_UUID = "p || concat_ws('-', substr(u, 1, 8), substr(u, 9, 4), substr(u, 13, 4), substr(u, 17, 4), substr(u, 21, 12))"
+_ids = [f"{sql} AS {n}" for n, sql in _IDS.items()]
+_add(
+    "mask_ids",
+    lambda s, d: _pages(s, d).selectExpr("page_id", *_ids).selectExpr("page_id", f"concat_ws(' ', 'at', h, a, g, {_UUID}) AS t").select("page_id", text.mask_ids("t").alias("t")),
+    f"""SELECT page_id, concat_ws(' ', 'at', CASE WHEN length(h) >= 10 AND regexp_matches(h, '[0-9]') THEN '<hash>' ELSE h END, CASE WHEN length(a) > 2 THEN '<addr>' ELSE a END,
+ CASE WHEN page_id % 3 = 2 AND regexp_matches(g, '[0-9]') THEN '<hash>' ELSE g END, CASE WHEN p = '(' THEN '(<uuid>' ELSE {_UUID} END) AS t FROM (SELECT page_id, {', '.join(_ids)} FROM pages)""",
+    "",
+)
 _add("normal_frame", lambda s, d: _pages(s, d).select("page_id", text.normal_frame(F.concat(F.lit("  At Handler ("), F.lit("/srv/app/lib/Util.js:"), "page_id", F.lit(":2)  x"), "page_id", F.lit("?q=1"))).alias("t")), "SELECT page_id, 'at handler (util.js::) x' AS t FROM pages", "")
 _add("version_label", lambda s, d: adapter.facts(s, d).select("seq", text.version_label(text.source_label("source"), "app_version").alias("label")), "SELECT seq, regexp_replace(source, '^(https|http|app|pixel)://', '') || CASE WHEN app_version IS NULL THEN '' ELSE ' @ ' || app_version END AS label FROM f")
-_add("metadata_split", lambda s, d: adapter.facts(s, d).where("metadata_json IS NOT NULL").select("seq", F.size(text.metadata_part("metadata_json", True)).cast("long").alias("tags"), F.size(text.metadata_part("metadata_json", False)).cast("long").alias("context")), f"SELECT seq, {_n(('tags', '1'), ('context', '0'))} FROM f WHERE metadata_json IS NOT NULL")
+_add(
+    "metadata_split",
+    lambda s, d: _pages(s, d).select("page_id", F.to_json(F.create_map(F.substring(F.concat("url", "url"), F.lit(1), (F.col("page_id") % 40 + 1).cast("int")), F.substring(F.concat("url", "url"), F.lit(1), (F.col("page_id") % 61).cast("int")), F.lit("u"), F.col("url"))).alias("j"))
+    .select("page_id", F.size(text.metadata_part("j", True)).cast("long").alias("tags"), F.size(text.metadata_part("j", False)).cast("long").alias("context")),
+    f"""SELECT page_id, {_n(('tags', 'a::INT + b::INT'), ('context', '2 - a::INT - b::INT'))} FROM
+ (SELECT page_id, least(2 * length(url), page_id % 40 + 1) <= 24 AND least(2 * length(url), page_id % 61) <= 32 AS a, length(url) <= 32 AS b FROM pages)""",
+    "",
+)
 
 
 def _dashboard(s, d) -> DataFrame:
