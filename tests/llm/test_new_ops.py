@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, repair, wand
+from tidemark.llm import chat, repair, textops, wand
 
 DOC, ITEM, TURN = "doc_id long, text string", "item_id long, text string", "conv_id long, turn long, role string, text string"
 CLASH = ["key", "n", "terms", "times", "item", "rank", "score", "cid", "pos", "segment", "step", "edit", "fault", "initial", "turns", "blocks", "starts", "formatted"]
@@ -66,6 +66,16 @@ def test_ranks_equal_brute_force(spark, shard_docs, cursors, block, parts):
     assert sorted(map(tuple, got.collect()), key=str) == brute_ranks(docs, ITEMS)
 
 
+def test_terms_of_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(textops.Words, "hashes", lambda w: (w.end - w.start).astype(np.uint64))  # words of one length agree
+    terms = wand.Terms(["one two six", "seven one"])
+    for _, _, w in wand.words_of(pa.array(["two one ten Six seven seven eight a", ""])):
+        place, term = terms.find(w)
+        names = [bytes(terms.data[s : s + n]) for s, n in zip(terms.start, terms.size, strict=True)]
+        assert sorted((int(p), names[t]) for p, t in zip(place, term, strict=True)) == [(0, b"two"), (1, b"one"), (3, b"six"), (4, b"seven"), (5, b"seven")]
+    assert wand.Terms([None, "?"]).n == 0
+
+
 def test_shards_skip_documents_that_cannot_enter():
     docs = [(i, "common rare" if i % 400 == 0 else "common filler") for i in range(4000)]
     made = wand.Terms(["common rare"])

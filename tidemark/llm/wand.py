@@ -56,25 +56,28 @@ class Terms:
         off = np.cumsum([0, *map(len, number)])
         own = Words(np.frombuffer(data, np.uint8), off[:-1], off[1:], np.zeros(self.n, np.int64), np.array([0, self.n]))
         hashes = own.hashes()
-        if len(np.unique(hashes)) < self.n:
-            raise ValueError("two terms share a 64-bit hash")
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
+        order = np.argsort(hashes, kind="stable")
+        # terms of one hash, should there be any, are in tables of their own
+        place = np.arange(self.n) - np.searchsorted(hashes[order], hashes[order])
+        self.tables = [(hashes[order[place == p]], order[place == p]) for p in range(int(place.max(initial=-1)) + 1)]
         self.data, self.start, self.size = own.data, own.start, own.end - own.start
 
     def find(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(place of a word, number of its term) of all words that are terms: looked up by hash, compared byte by byte."""
-        if not self.n or not len(w):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = [(np.zeros(0, np.int64),) * 2]
         h = w.hashes()
-        at = np.minimum(np.searchsorted(self.hashes, h), self.n - 1)
-        place = np.flatnonzero(self.hashes[at] == h)
-        term = self.order[at[place]]
+        for hashes, order in self.tables if len(w) else ():
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            place = np.flatnonzero(hashes[at] == h)
+            found.append(self._same(w, place, order[at[place]]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _same(self, w: Words, place: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         same = w.end[place] - w.start[place] == self.size[term]
         place, term = place[same], term[same]
-        size = self.size[term]
         if not len(place):
             return place, term
+        size = self.size[term]
         inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         differ = w.data[np.repeat(w.start[place], size) + inside] != self.data[np.repeat(self.start[term], size) + inside]
         same = np.add.reduceat(differ, np.cumsum(size) - size) == 0
