@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession, W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import fingerprint, source_kind
-from tidemark.schema import COLUMNS, DAY_MS, EVERY_MS, FACT, KEEP_HOT_MS
+from tidemark.schema import COLUMNS, DAY_MS, EVERY_MS, KEEP_HOT_MS
 from tidemark.sources.log import Files
 from tidemark.sources.scan import EXCEPTIONS, PARTITIONED, conform, list_days, shard
 
