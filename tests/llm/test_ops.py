@@ -647,25 +647,30 @@ def spark_xxhash(*values):
     return h - 2**64 if h >> 63 else h
 
 
+def brute_mix(rows, part_rows=10**6):
+    """(row, copies) of rows whose first three columns are doc_id, text and source; `hashed` of a row is what Spark hashes of it, in order."""
+    sizes = {r["source"]: 0 for r in rows}
+    for r in rows:
+        sizes[r["source"]] += len((r["text"] or "").split())
+    goal, parts, ranked, out = brute_targets(sizes), 16 + len(rows) // part_rows, {}, []
+    for r in rows:
+        n, h, i = len((r["text"] or "").split()), spark_xxhash(*r.values()), r["doc_id"]
+        unit = 2 ** max(len(f"{n:b}") - 6, 0)
+        ranked.setdefault(r["source"], []).append(((n // unit * unit, spark_xxhash(("i", 42), i, h) % parts, n, spark_xxhash(("i", 42), i), i is not None, i or 0, h), r))
+    for s, own in ranked.items():
+        offset = spark_xxhash(("i", 42), "n" if s is None else "s" + s) % (1 << 20) / (1 << 20)
+        rate = goal[s] / sizes[s] if sizes[s] else 0.0
+        out += [(r, math.floor(rank * rate + offset) - math.floor((rank - 1) * rate + offset)) for rank, (_, r) in enumerate(sorted(own, key=lambda x: x[0]), 1)]
+    return out
+
+
 @pytest.mark.parametrize("part_rows", [10**6, 20])
 def test_mix_equals_brute_force(spark, part_rows):
     r = np.random.default_rng(13)
     rows = [(None if r.random() < 0.1 else int(i // 2), " ".join(["w"] * int(r.integers(0, 200))), [None, "a", "b", "é"][r.integers(4)]) for i in range(150)] + [(7, None, "a")] * 2
     got = mixing.sample_copies(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), part_rows=part_rows).collect()
-    sizes = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for _, _, s in rows}
-    goal, parts, ranked = brute_targets(sizes), 16 + len(rows) // part_rows, {}
-    for i, t, s in rows:
-        n, h = len((t or "").split()), spark_xxhash(i, t, s)
-        unit = 2 ** max(len(f"{n:b}") - 6, 0)
-        part = spark_xxhash(("i", 42), i, h) % parts
-        ranked.setdefault(s, []).append(((n // unit * unit, part, n, spark_xxhash(("i", 42), i), i is not None, i or 0, h), i, t, s))
-    want = []
-    for s, own in ranked.items():
-        offset = spark_xxhash(("i", 42), "n" if s is None else "s" + s) % (1 << 20) / (1 << 20)
-        rate = goal[s] / sizes[s] if sizes[s] else 0.0
-        for rank, (_, i, t, _) in enumerate(sorted(own, key=lambda x: x[0]), 1):
-            want.append((i, t, s, math.floor(rank * rate + offset) - math.floor((rank - 1) * rate + offset)))
-    assert sorted(map(str, want)) == sorted(str((x.doc_id, x.text, x.source, x.copies)) for x in got)
+    want = brute_mix([dict(zip(("doc_id", "text", "source"), x, strict=True)) for x in rows], part_rows)
+    assert sorted(str((x["doc_id"], x["text"], x["source"], n)) for x, n in want) == sorted(str((x.doc_id, x.text, x.source, x.copies)) for x in got)
 
 
 def test_equal_and_null_ids_are_mixed_alike_in_any_order(spark):
