@@ -82,10 +82,14 @@ class EliasFano:
         lo, end = both[: len(b)], both[len(b) :]
         want = x & U((1 << self.bits) - 1)
         a, z = lo.copy(), end.copy()
-        for _ in range(int((end - lo).max()).bit_length()):
-            mid = (a + z) >> 1
-            less = (a < z) & (self._low(np.minimum(mid, self.n - 1)) < want)
-            a, z = np.where(less, mid + 1, a), np.where((a < z) & ~less, mid, z)
+        left = np.flatnonzero(a < z)
+        while len(left):  # most buckets hold an element or two, so few places are left after the first steps
+            x, y = a[left], z[left]
+            mid = (x + y) >> 1
+            less = self._low(mid) < want[left]
+            x, y = np.where(less, mid + 1, x), np.where(less, y, mid)
+            a[left], z[left] = x, y
+            left = left[x < y]
         ok = a < end
         ok[ok] = self._low(a[ok]) == want[ok]
         return np.where(ok, a, -1)

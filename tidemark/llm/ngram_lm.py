@@ -132,7 +132,7 @@ def sum_pairs(c: np.ndarray, w: np.ndarray, n: np.ndarray, words: int) -> tuple[
     if not len(c):
         return c, w, n
     if int(c.max()) < (2**63 - 1) // words - 1:
-        order = np.argsort(c * words + w, kind="stable")
+        order = np.argsort(c * words + w)
     else:
         order = np.lexsort((w, c))
     c, w, n = c[order], w[order], n[order]
@@ -279,17 +279,16 @@ class Trie:
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))
 
     def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Node (-1: unknown) and count of every token."""
+        """Node (-1: unknown) of every distinct token, and which of them each token is."""
         known, place = np.unique(h, return_inverse=True)
-        node = self.words.find(known)
-        count = np.zeros(len(known))
-        ok = node >= 0
-        count[ok] = self.words.values("count", node[ok])
-        return node[place], count[place]
+        return self.words.find(known), place
+
+    def descend(self, level: Grams, context: np.ndarray, word: np.ndarray, weigh: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node, backoff weight, share) of every pair; context or word -1: no node, weight 1, share 0. The last two only if asked for.
 
-    def descend(self, level: Grams, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(node, backoff) of every pair; context or word -1: no node, no backoff."""
-        node, back = np.full(len(word), -1), np.zeros(len(word))
+        Distinct pairs are looked up in ascending order, and so come out in the order of their nodes.
+        """
+        node, back, mass = np.full(len(word), -1), np.ones(len(word) * weigh), np.zeros(len(word) * weigh)
         has = np.flatnonzero(context >= 0)
         if len(has):
             c, w = context[has], np.where(word[has] >= 0, word[has], self.vocabulary)
@@ -298,30 +297,34 @@ class Trie:
             c, w = c[order], w[order]
             new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
             n, b = level.find(c[new], w[new])
-            place = np.cumsum(new) - 1
-            node[has[order]], back[has[order]] = n[place], b[place]
-        return node, back
-
-    def walk(self, word: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For level 2, 3 ...: (context, node, backoff) of every token. A text's first token follows an end."""
+            place, at = np.cumsum(new) - 1, has[order]
+            node[at] = n[place]
+            if weigh:
+                share, hit = np.zeros(len(n)), np.flatnonzero(n >= 0)
+                share[hit] = 10 ** level.values("mass", n[hit])
+                back[at], mass[at] = (10**b)[place], share[place]
+        return node, back, mass
+
+    def walk(self, word: np.ndarray, first: np.ndarray, weigh: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For level 2, 3 ...: (node, backoff weight, share) of every token. A text's first token follows an end."""
         end = self.words.find(np.array([END]))[0]
         node = word
         for n, level in enumerate(self.grams, 2):
             context = np.concatenate([[-1], node[:-1]])
             context[first[:-1]] = end if n == 2 else -1
-            node, back = self.descend(level, context, word)
-            yield context, node, back
+            node, back, mass = self.descend(level, context, word, weigh)
+            yield node, back, mass
 
     def score(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sums of a text's tokens: known ones, base score, score."""
-        word, count = self.ids(h)
+        node, place = self.ids(h)
+        count, ok = np.zeros(len(node)), node >= 0
+        count[ok] = self.words.values("count", node[ok])
         base = self.base_logp(count)
-        p = 10**base
-        for level, (_, node, back) in zip(self.grams, self.walk(word, first), strict=True):
-            p *= 10**back
-            hit = np.flatnonzero(node >= 0)
-            nodes, place = np.unique(node[hit], return_inverse=True)
-            p[hit] += (10 ** level.values("mass", nodes))[place]
+        p, word, base = (10**base)[place], node[place], base[place]
+        for _, back, mass in self.walk(word, first, weigh=True):
+            p *= back
+            p += mass
         logp = np.log10(np.minimum(p, 1))
         add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has its end token
         return add((word >= 0).astype(np.int64)), add(base), add(logp)
@@ -361,9 +364,9 @@ def _count_grams(sent, batches) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for _, _, h, first in token_blocks(b.column(0)):
-            word, _ = trie.ids(h)
-            node = word
-            for _, node, _ in trie.walk(word, first):
+            known, place = trie.ids(h)
+            node = word = known[place]
+            for node, _, _ in trie.walk(word, first):
                 pass
             context = np.concatenate([[-1], node[:-1]])
             context[first[:-1]] = -1 if trie.grams else trie.words.find(np.array([END]))[0]
