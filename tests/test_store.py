@@ -363,3 +363,16 @@ def test_zone_links(spark):
     assert dict(map(tuple, tz.with_links(known, links.where("false")).collect())) == dict(map(tuple, known.collect()))
     with pytest.raises(FileNotFoundError):
         tz.zones(spark, "file:///nowhere")
+
+
+def test_zone_links_of_many_aliases(spark):
+    """More steps than one recursive query of Spark may have rows, and every number of hops."""
+    chains = spark.range(75_000).select(F.concat(F.lit("c"), "id").alias("alias"), F.when(F.col("id") % 30 == 0, F.lit("Z")).otherwise(F.concat(F.lit("c"), F.col("id") - 1)).alias("target"))
+    links = chains.unionByName(spark.createDataFrame([("r", "s"), ("s", "r"), (None, "Z"), ("none", None), ("Z", "Y")], "alias string, target string"))
+    known = spark.createDataFrame([("Z", "XA"), ("Y", "XB")], "zone string, country string")
+    got = tz.with_links(known, links).groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+    assert dict(map(tuple, got.collect())) == {"XA": 75_001, "XB": 1}
+    few = links.where("alias IN ('r', 's', 'Z') OR try_cast(substr(alias, 2) AS int) < 30")
+    for hops in (0, 1, 2, 3, 5, 6, 7, 11, 30, 31):
+        got = sorted(r.zone for r in tz.with_links(known, few, hops).collect())
+        assert got == sorted(["Y", "Z"] + [f"c{i}" for i in range(min(hops, 30))]), hops
