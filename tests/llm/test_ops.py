@@ -725,6 +725,55 @@ def test_one_meeting_of_many_texts_loses_no_link(spark):
         assert sorted(sorted(v) for v in got.values()) == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9), st.integers(0, 3)), max_size=40))
+def test_a_forest_joins_what_all_edges_join(edges):
+    edges = [e for e in edges if e[0] != e[1]]
+    a, b, w = (np.array([e[i] for e in edges], np.int64) for i in range(3))
+
+    def joined(places):
+        root = list(range(10))
+        for e in places:
+            x, y = root[a[e]], root[b[e]]
+            root = [min(x, y) if z in (x, y) else z for z in root]
+        return root
+
+    at = jaccard.forest(a, b, w)
+    want = joined(range(len(edges)))
+    assert joined(at) == want and len(at) == 10 - len(set(want))
+    root = list(range(10))  # a least one: by Kruskal's rule
+    total = 0
+    for e in sorted(range(len(edges)), key=lambda e: w[e]):
+        x, y = root[a[e]], root[b[e]]
+        total += int(w[e]) if x != y else 0
+        root = [min(x, y) if z in (x, y) else z for z in root]
+    assert int(w[at].sum()) == total
+
+
+def test_large_meetings_bring_fewer_pairs_than_texts(spark, monkeypatch):
+    """Texts with 4 of 400 words changed are alike, those with 9 are alike to none but meet all others. The first round is left out, so all is left to the meetings."""
+    made, candidates = [], jaccard.candidates
+
+    def counted(met, pairs_of, keys=("h",)):
+        out = candidates(met, pairs_of, keys).cache()
+        if keys != ("h",):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "candidates", counted)
+    for place, name in ((jaccard, "star"), (jaccard.simhash, "links")):
+        monkeypatch.setattr(place, name, lambda *_, own=getattr(place, name): own(*_).limit(0))
+    r, texts = np.random.default_rng(8), []
+    for i in range(160):
+        x = [f"w{p}" for p in range(400)]
+        for p in r.choice(9, 4 if i < 40 else 9, replace=False):
+            x[44 * p + int(r.integers(5, 35))] = f"e{i}-{p}"
+        texts.append(" ".join(x))
+    kept = jaccard.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(x.doc_id for x in kept.select("doc_id").collect()) == [0, *range(40, 160)]
+    assert made and max(made) < 160, made
+
+
 def test_rows_of_one_key_and_text_are_chosen_by_their_other_columns(spark):
     rows = [(1, "a b c", s) for s in ("x", None, "y")] + [(None, "d e", "x"), (None, "f g", "x"), (7, "h i", "x"), (7, "j k", "x")]
     out = [sorted(map(str, jaccard.keep_first(spark.createDataFrame(r, "doc_id long, text string, source string")).collect())) for r in (rows, rows[::-1])]

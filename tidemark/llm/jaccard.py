@@ -13,7 +13,10 @@ both a pair is verified on its whole sets before it links.
    texts last, so texts seldom meet under them. In a meeting of many texts a pair is only asked about
    if the parity bitmaps of its sets, whose difference never exceeds that of the sets, allow 4/5. Its texts
    are dealt into blocks of bounded size, and each two blocks are one task's group; a meeting whose
-   texts are linked already is not compared.
+   texts are linked already is not compared. Of the pairs that a group finds it brings a forest over
+   the texts that are not linked yet, fewer pairs than texts. What forests link is taken into account
+   and the rest is compared again, turn by turn, while most pairs prove alike; at the end all pairs
+   that are left are verified, so none is missed.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ BLOCK = 2048
 #: Most members of a set, and bytes of its parity bitmap.
 BITMAPS = ((256, 64), (1024, 256), (None, 1024))
 TILE = 512
+#: Most turns in which large meetings bring forests.
+TURNS = 8
 _SPACE = byte_class("space")
 
 
@@ -154,13 +159,39 @@ def _sets(asked, batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(a, end - a), b.column(1).slice(a, end - a), pa.array([s.tobytes() for s in shingle_sets(data, off)], pa.binary())], ["k", "tie", "members"])
 
 
-def _pairs(node: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, bits: list | None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a meeting that are not linked yet and can be 4/5 alike by their sizes, places and bitmaps (None: not looked at); with side only pairs of two sides."""
+def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of edges between groups a and b that join all groups that the edges join, without rings: the least of each group, again and again. There are fewer of them than groups."""
+    at = np.argsort(weight, kind="stable")
+    names, ends = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+    x, y, label, out = ends[: len(at)], ends[len(at) :], np.arange(len(names)), [at[:0]]
+    while True:
+        p, q = label[x], label[y]
+        apart = p != q
+        x, y, at, p, q = x[apart], y[apart], at[apart], p[apart], q[apart]
+        if not len(at):
+            return np.concatenate(out)
+        group, first = np.unique(np.stack([p, q], axis=1).ravel(), return_index=True)
+        first //= 2
+        out.append(at[np.unique(first)])
+        onto = np.arange(len(names))
+        onto[group] = p[first] + q[first] - group
+        # two groups that go onto each other: the lesser one stays
+        onto = np.where((onto[onto] == np.arange(len(names))) & (np.arange(len(names)) < onto), np.arange(len(names)), onto)
+        while (onto[onto] != onto).any():
+            onto = onto[onto]
+        label = onto[label]
+
+
+def _pairs(node: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, bits: list, side: np.ndarray | None = None, turn: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a meeting that are not linked yet and can be 4/5 alike by their sizes, places and bitmaps; with side only pairs of two sides.
+
+    With turn only those of a forest over the groups that they would link: the likeliest at turn 0, later by a hash.
+    """
     order = np.argsort(n, kind="stable")
     node, n, left, root = node[order], n[order], n[order] - at[order], root[order]
     side = side if side is None else side[order]
-    maps = bits and Bitmaps([bits[x] for x in order])
-    out = [(node[:0], node[:0])]
+    maps = Bitmaps([bits[x] for x in order])
+    out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
     for a in range(0, len(node), TILE):
         x = slice(a, a + TILE)
         for b in range(a, len(node), TILE):
@@ -173,24 +204,41 @@ def _pairs(node: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, bi
             i, j = np.nonzero(ok)
             i, j = i + a, j + b
             i, j = i[i < j], j[i < j]
-            if maps and len(i):
-                near = 9 * maps.difference(i, j) <= n[i] + n[j]
-                i, j = i[near], j[near]
-            out.append((node[i], node[j]))
-    p, q = (np.concatenate(c) for c in zip(*out, strict=True))
-    return np.minimum(p, q), np.maximum(p, q)
-
-
-def _large(frames) -> Iterator[pd.DataFrame]:
-    """The pairs of blocks of large meetings."""
-    keys = ["h", "i", "j"]
-    for part in whole_groups(frames, keys):
-        cut = np.any([np.diff(part[c].to_numpy()) != 0 for c in keys], axis=0)
-        edge = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(part)]])
-        out = [(np.zeros(0, np.int64),) * 2]
-        out += [_solve_blocks(part.iloc[edge[i] : edge[i + 1]]) for i in np.flatnonzero(np.diff(edge) > 1)]
-        a, b = (np.concatenate(c) for c in zip(*out, strict=True))
-        yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+            differ = maps.difference(i, j)
+            near = 9 * differ <= n[i] + n[j]
+            i, j, differ = i[near], j[near], differ[near]
+            differ = differ / (n[i] + n[j])
+            out.append((i, j, differ) if turn is None else _fewest(node, root, i, j, differ, turn))
+    i, j, differ = (np.concatenate(c) for c in zip(*out, strict=True))
+    if turn is not None:
+        i, j, _ = _fewest(node, root, i, j, differ, turn)
+    return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+
+
+def _fewest(node: np.ndarray, root: np.ndarray, i: np.ndarray, j: np.ndarray, differ: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if turn:
+        low, high = (f(node[i], node[j]).view(np.uint64) for f in (np.minimum, np.maximum))
+        weight = mix(mix(low + np.uint64(turn)) ^ high)
+    else:
+        weight = differ
+    at = forest(root[i], root[j], weight)
+    return i[at], j[at], differ[at]
+
+
+def _large(turn: int | None = None):
+    """A function that makes the pairs of blocks of large meetings, of a forest or (None) all."""
+
+    def large(frames) -> Iterator[pd.DataFrame]:
+        keys = ["h", "i", "j"]
+        for part in whole_groups(frames, keys):
+            cut = np.any([np.diff(part[c].to_numpy()) != 0 for c in keys], axis=0)
+            edge = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(part)]])
+            out = [(np.zeros(0, np.int64),) * 2]
+            out += [_solve_blocks(part.iloc[edge[i] : edge[i + 1]], turn) for i in np.flatnonzero(np.diff(edge) > 1)]
+            a, b = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+    return large
 
 
 def _few(frames) -> Iterator[pd.DataFrame]:
@@ -211,9 +259,9 @@ def _few(frames) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)}).drop_duplicates()
 
 
-def _solve_blocks(f: pd.DataFrame):
+def _solve_blocks(f: pd.DataFrame, turn: int | None):
     side = f["own"].to_numpy() if f["i"].iloc[0] != f["j"].iloc[0] else None
-    return _pairs(*(f[c].to_numpy() for c in ("node", "n", "at", "root")), f["bits"].tolist(), side)
+    return _pairs(*(f[c].to_numpy() for c in ("node", "n", "at", "root")), f["bits"].tolist(), side, turn)
 
 
 def candidates(met: DataFrame, pairs_of, keys: tuple[str, ...] = ("h",)) -> DataFrame:
@@ -321,12 +369,28 @@ def groups(docs: DataFrame, sample: int = SAMPLE, hot: int = HOT, most: int = BL
     close = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     near = verified(close.unionByName(star(many)).distinct(), nodes, docs)
     member = components(near)
-    many = many.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     root = lambda c: member.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     rare = candidates(meetings(False), _few).join(root("a"), "a", "left").join(root("b"), "b", "left")
     rare = rare.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    near = near.unionByName(verified(rare.unionByName(candidates(blocks(many, nodes.select("node", "bits"), most), _large, ("h", "i", "j"))).distinct(), nodes, docs))
-    return rows.select("k", "tie", "node"), components(near)
+
+    def large(turn: int | None) -> DataFrame:
+        apart = many.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return candidates(blocks(apart, nodes.select("node", "bits"), most), _large(turn), ("h", "i", "j"))
+
+    near = near.unionByName(verified(rare.unionByName(large(0)).distinct(), nodes, docs))
+    member, turn = components(near), 1
+    while True:
+        pairs = materialise(large(turn), "apart")
+        asked = pairs.count()
+        if not asked:  # a forest is empty only if no pair is left
+            break
+        linked = verified(pairs, nodes, docs)
+        near = near.unionByName(linked)
+        member = components(near)
+        if turn is None:
+            break
+        turn = turn + 1 if turn < TURNS and 2 * linked.count() > asked else None
+    return rows.select("k", "tie", "node"), member
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
