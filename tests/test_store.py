@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from rows import custom, exc, frame, load
 
+from tidemark import store_catalog
 from tidemark.schema import COLUMNS, DAY_MS, MAX_BODY, PIXEL, PROJECT, SOURCE, TRIAGE
 from tidemark.sources import enrich, hot, log, scan, store
 from tidemark.sources import zones as tz
@@ -376,3 +377,16 @@ def test_zone_links_of_many_aliases(spark):
     for hops in (0, 1, 2, 3, 5, 6, 7, 11, 30, 31):
         got = sorted(r.zone for r in tz.with_links(known, few, hops).collect())
         assert got == sorted(["Y", "Z"] + [f"c{i}" for i in range(min(hops, 30))]), hops
+
+
+def test_facts_of_appended_batches_are_made_once(spark, monkeypatch):
+    rows, seen = frame(spark, *[load(ms % 7) for ms in range(100)]), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    monkeypatch.setattr(store_catalog.adapter, "facts", lambda *_: rows.mapInArrow(counted, rows.schema))
+    got = store_catalog.queries()["append_batches"](spark, "").collect()
+    assert [(r.n, r.first, r.last, r.total, r.used) for r in got] == [(100, 1, 100, 5050, 100)] and seen.value == 100
